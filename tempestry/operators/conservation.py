@@ -20,8 +20,8 @@ def _totals(pairs: DataFrame, by: list[str], totals: dict[str, Column]) -> tuple
     per_field = pairs.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
     if by:
         return pairs.join(per_field, by), {n: F.col(n) for n in totals}
-    row = per_field.select(F.struct(*totals).alias("t")).scalar()
-    return pairs, {n: row.getField(n) for n in totals}
+    rows = pairs.withColumn("_totals", per_field.select(F.struct(*totals)).scalar())
+    return rows.select("*", "_totals.*").drop("_totals"), {n: F.col(n) for n in totals}
 
 
 def loss_mse(pairs: DataFrame, pred: str, truth: str, by: list[str] | None = None) -> DataFrame:

@@ -128,9 +128,8 @@ def zscore_transform(df: DataFrame, stats: DataFrame, by: list[str] | None = Non
         joined = df.join(stats, by)
         fitted = {c: F.col(c) for c in stats.columns}
     else:
-        joined = df
-        row = stats.select(F.struct("*").alias("fitted")).scalar()
-        fitted = {c: row.getField(c) for c in stats.columns}
+        joined = df.withColumn("_fitted", stats.select(F.struct("*")).scalar())
+        fitted = {c: F.col(f"_fitted.{c}") for c in stats.columns}
     n = fitted["n_rows"]
     factor = F.when(n > 1, F.sqrt((n - 1) / n)).otherwise(F.lit(1.0))
     scaled = {}

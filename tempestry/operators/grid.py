@@ -200,10 +200,10 @@ def grid_zscore(
     fitted = stats.agg(F.map_from_entries(F.collect_list(entry))).scalar()
     scaled = {}
     for v in present:
-        own = F.element_at(fitted, F.lit(v))
+        own = F.element_at(F.col("_fitted"), F.lit(v))
         z = (F.col(v) - own.getField("mean")) / (own.getField("std") + SCALE_GUARD)
         scaled[v] = F.when(own.isNull(), F.col(v)).otherwise(z)
-    return grid.withColumns(scaled)
+    return grid.withColumn("_fitted", fitted).withColumns(scaled).drop("_fitted")
 
 
 # -- export ------------------------------------------------------------------------------------
@@ -227,12 +227,12 @@ def grid_to_tensor(grid: DataFrame, variables: list[str] | None = None) -> DataF
             "_lines"
         )
     )
-    channels = [
-        F.transform("_lines", lambda line, v=v: F.transform(line["_cells"], lambda c: c[v]))
-        for v in present
-    ]
+
+    def channel(variable):
+        return F.transform("_lines", lambda line: line["_cells"][variable])
+
     return fields.select(
         "time",
         F.array(*[F.lit(v) for v in present]).alias("variables"),
-        F.array(*channels).alias("tensor"),
+        F.array(*[channel(v) for v in present]).alias("tensor"),
     )

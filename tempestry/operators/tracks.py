@@ -190,7 +190,9 @@ def storms_per_year(tracks: DataFrame, years: list[int] | None = None) -> DataFr
     )
     if years is None:
         return counts
-    listed = tracks.sparkSession.createDataFrame([(y,) for y in years], "year int")
+    listed = tracks.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(y) for y in years])).alias("year")
+    )
     return listed.join(counts, "year", "left").fillna(0, ["n_storms"])
 
 

@@ -253,17 +253,6 @@ def levels(spark, sf):
     return grid(spark, sf).select("time", "latitude", "longitude", F.inline(winds))
 
 
-def ensemble(spark, sf):
-    """Members (line prices) and observation (order price) of each order."""
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("case_id"), F.ln("l_extendedprice").alias("member")
-    )
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("case_id"), F.ln("o_totalprice").alias("observed")
-    )
-    return lines.join(orders, "case_id")
-
-
 def event_probabilities(spark, sf):
     """Share of returned lines per order, and whether the order is finished."""
     share = (

@@ -187,11 +187,11 @@ def _(spark, sf):
 
 @Q.add(
     "storm_list_tracks",
-    f"{_ALL} FROM tracks WHERE storm_id IN (SELECT storm_id FROM tracks WHERE max_wind >= 119)",
+    f"{_ALL} FROM tracks WHERE storm_id IN (SELECT storm_id FROM tracks WHERE max_wind >= 100)",
 )
 def _(spark, sf):
     rows = fx.tracks(spark, sf)
-    listed = rows.filter(F.col("max_wind") >= 119).select("storm_id").distinct()
+    listed = rows.filter(F.col("max_wind") >= 100).select("storm_id").distinct()
     return tr.storm_list_tracks(rows, listed)
 
 
