@@ -1,4 +1,8 @@
-"""Time arithmetic that stays exact to the microsecond."""
+"""Time arithmetic on timestamps without time zone, exact to the microsecond.
+
+Nothing here goes through the session time zone, so daylight saving of the
+session cannot shift or merge hours.
+"""
 
 import math
 
@@ -10,28 +14,35 @@ HOURS_PER_DAY = 24.0
 DAYS_PER_YEAR = 365.0
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 on the clock of the timestamp."""
+    elapsed = (ts.cast("timestamp_ntz") - _epoch()).cast("interval second")
+    return (elapsed.cast("decimal(18,6)") * 1_000_000).cast("long")
 
 
-def hours_between(earlier: Column, later: Column) -> Column:
-    return (micros(later) - micros(earlier)) / F.lit(float(MICROS_PER_HOUR))
+def from_micros(value: Column) -> Column:
+    zero = F.lit(0)
+    seconds = (value.cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)")
+    return _epoch() + F.make_dt_interval(zero, zero, zero, seconds)
 
 
-def add_micros(ts: Column, delta: Column) -> Column:
-    """Shift a timestamp without time zone by a number of microseconds."""
-    return F.timestamp_micros(micros(ts) + delta).cast("timestamp_ntz")
+def hours_between(earlier: Column, later: Column) -> Column:
+    return (micros(later) - micros(earlier)) / F.lit(float(MICROS_PER_HOUR))
 
 
 def add_hours(ts: Column, hours: Column) -> Column:
-    return add_micros(ts, hours.cast("long") * F.lit(MICROS_PER_HOUR))
+    return ts + F.make_dt_interval(F.lit(0), hours.cast("int"))
 
 
 def nearest_step(ts: Column, step_hours: int) -> Column:
     """Nearest multiple of the step; a time half way goes to the later one."""
-    step = F.lit(step_hours * MICROS_PER_HOUR)
     half = F.lit(step_hours * MICROS_PER_HOUR // 2)
-    return F.timestamp_micros(F.floor((micros(ts) + half) / step) * step).cast("timestamp_ntz")
+    steps = F.floor((micros(ts) + half) / F.lit(step_hours * MICROS_PER_HOUR))
+    return add_hours(_epoch(), steps * step_hours)
 
 
 def temporal_features(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:

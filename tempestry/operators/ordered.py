@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tempestry.functions.clock import micros
+
 POINT = "point"
 BLOCK_ROWS = 1_000_000
 MAX_SLICES = 4096
@@ -36,8 +38,10 @@ _COARSE = 64
 def _order_value(df: DataFrame, order: str) -> Column:
     """Order column as a number that quantiles can be taken of."""
     kind = dict(df.dtypes)[order]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(order).cast("timestamp"))
+    if kind == "timestamp":
+        return F.unix_micros(order)
+    if kind == "timestamp_ntz":
+        return micros(F.col(order))
     if kind == "date":
         return F.unix_date(F.col(order)).cast("long")
     return F.col(order)

@@ -11,7 +11,7 @@ side is broadcast when it is below the session's broadcast limit.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempestry.functions.clock import MICROS_PER_HOUR, add_micros, nearest_step
+from tempestry.functions.clock import add_hours, nearest_step
 from tempestry.functions.geo import wrap_longitude
 from tempestry.schema import GRID_COORDS
 
@@ -143,13 +143,12 @@ def storm_boxes(
             side("east", "_east_low", "_east_high"), side("west", "_west_low", "_west_high")
         ),
     ).otherwise(F.array(side("all", "_low", "_high")))
-    hour = F.lit(MICROS_PER_HOUR)
     return spans.select(
         "storm_id",
         (F.col("_south") - half).alias("lat_min"),
         (F.col("_north") + half).alias("lat_max"),
-        add_micros(F.col("_first"), hour * -lead_hours).alias("start_time"),
-        add_micros(F.col("_last"), hour * lag_hours).alias("end_time"),
+        add_hours(F.col("_first"), F.lit(-lead_hours)).alias("start_time"),
+        add_hours(F.col("_last"), F.lit(lag_hours)).alias("end_time"),
         F.inline(sides),
     )
 

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempestry.functions.clock import from_micros, micros
 from tempestry.operators import features, ordered, patches
 from tempestry.sources.tiles import tile_placeholders
 
@@ -114,7 +115,7 @@ def aligned_windows_patches(
     fixes by timestamp, so channels join on (storm, timestamp) and no image is
     copied before the join.
     """
-    stamped = tracks.withColumn("_stamp", F.unix_micros(F.col(order).cast("timestamp")).cast("double"))
+    stamped = tracks.withColumn("_stamp", micros(F.col(order)).cast("double"))
     shared = features.common_window_count(tracks, sequence_length, forecast_length).scalar()
     windows = features.sliding_sequences(
         stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_stamp"], order, block_rows
@@ -122,7 +123,7 @@ def aligned_windows_patches(
     steps = windows.select("storm_id", "window_index", F.posexplode("inputs").alias("position", "_in"))
     steps = steps.withColumn(
         "timestamp",
-        F.timestamp_micros(F.element_at("_in", -1).cast("long")).cast("timestamp_ntz"),
+        from_micros(F.element_at("_in", -1).cast("long")),
     ).withColumn("state", F.slice("_in", 1, len(features.STATE_FEATURES))).drop("_in")
     images = patch_channels(tracks, grid, step_hours, patch_size)
     return steps.join(images, ["storm_id", "timestamp"])

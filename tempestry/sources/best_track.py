@@ -98,12 +98,24 @@ def decode_fixes(fixes: DataFrame, null_wind_sentinel: bool = False) -> DataFram
 
     clock = field(1)
     minute = F.when(F.length(clock) == 4, F.substring(clock, 3, 2)).otherwise(F.lit("00"))
-    stamp = F.concat(field(0), F.substring(clock, 1, 2), minute)
+    date = field(0)
+
+    def digits(text, start, size):
+        return F.substring(text, start, size).try_cast("int")
+
+    stamp = F.try_make_timestamp_ntz(
+        digits(date, 1, 4),
+        digits(date, 5, 2),
+        digits(date, 7, 2),
+        digits(clock, 1, 2),
+        minute.try_cast("int"),
+        F.lit(0),
+    )
     wind = _number(field(6), MISSING_WIND if null_wind_sentinel else None)
     columns = {
         "storm_id": F.try_element_at(F.col("_head"), F.lit(1)),
         "name": F.try_element_at(F.col("_head"), F.lit(2)),
-        "timestamp": F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmm")).cast("timestamp_ntz"),
+        "timestamp": stamp,
         "record_identifier": field(2),
         "storm_type": field(3),
         "latitude": _degrees(field(4), "S"),
