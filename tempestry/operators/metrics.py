@@ -144,42 +144,48 @@ def complete_mean(value: Column, counted: Column | None = None) -> Column:
     return F.when(missing == 0, F.avg(F.when(counts, value)))
 
 
-def _distance() -> Column:
-    return haversine_km(F.col("lat"), F.col("lon"), F.col("true_lat"), F.col("true_lon"))
+def with_errors(pairs: DataFrame) -> DataFrame:
+    """Error columns the metrics aggregate.
 
-
-def _wind_error() -> Column:
-    return F.col("wind") - F.col("true_wind")
-
-
-def _motion_frame():
-    """Error and unit truth motion in the plane at the mean true latitude."""
+    ``km`` great-circle distance, ``wind_error``, ``along_km`` and ``cross_km``
+    components of the error in the plane at the mean true latitude (NULL where the
+    truth did not move, flagged by ``moved``), and whether intensification was
+    forecast (``said``) and happened (``seen``).
+    """
     ref = F.col("reference_lat")
-    move_x = east_km(F.col("true_lon"), ref) - east_km(F.col("before_lon"), ref)
-    move_y = north_km(F.col("true_lat")) - north_km(F.col("before_lat"))
-    error_x = east_km(F.col("lon"), ref) - east_km(F.col("true_lon"), ref)
-    error_y = north_km(F.col("lat")) - north_km(F.col("true_lat"))
-    length = F.sqrt(move_x * move_x + move_y * move_y)
-    return error_x, error_y, move_x, move_y, length
-
-
-def _along() -> Column:
-    ex, ey, mx, my, length = _motion_frame()
-    return complete_mean(F.abs(F.try_divide(ex * mx + ey * my, length)), length > 0)
-
-
-def _cross() -> Column:
-    ex, ey, mx, my, length = _motion_frame()
-    return complete_mean(F.abs(F.try_divide(mx * ey - my * ex, length)), length > 0)
+    placed = pairs.select(
+        *IDS,
+        "step",
+        haversine_km(F.col("lat"), F.col("lon"), F.col("true_lat"), F.col("true_lon")).alias("km"),
+        (F.col("wind") - F.col("true_wind")).alias("wind_error"),
+        (east_km(F.col("true_lon"), ref) - east_km(F.col("before_lon"), ref)).alias("_mx"),
+        (north_km(F.col("true_lat")) - north_km(F.col("before_lat"))).alias("_my"),
+        (east_km(F.col("lon"), ref) - east_km(F.col("true_lon"), ref)).alias("_ex"),
+        (north_km(F.col("lat")) - north_km(F.col("true_lat"))).alias("_ey"),
+        F.coalesce(F.col("wind") - F.col("forecast_base") >= RI_KNOTS, F.lit(False)).alias("said"),
+        F.coalesce(F.col("true_wind") - F.col("wind_base") >= RI_KNOTS, F.lit(False)).alias("seen"),
+    )
+    length = F.sqrt(F.col("_mx") * F.col("_mx") + F.col("_my") * F.col("_my"))
+    along = F.col("_ex") * F.col("_mx") + F.col("_ey") * F.col("_my")
+    cross = F.col("_mx") * F.col("_ey") - F.col("_my") * F.col("_ex")
+    return placed.withColumn("_length", length).select(
+        *IDS,
+        "step",
+        "km",
+        "wind_error",
+        F.coalesce(F.col("_length") > 0, F.lit(False)).alias("moved"),
+        F.abs(F.try_divide(along, F.col("_length"))).alias("along_km"),
+        F.abs(F.try_divide(cross, F.col("_length"))).alias("cross_km"),
+        "said",
+        "seen",
+    )
 
 
 def _rapid_intensification_f1() -> Column:
     """F1 of intensification events; 0 without a hit or with fewer than five steps."""
-    said = F.coalesce(F.col("wind") - F.col("forecast_base") >= RI_KNOTS, F.lit(False))
-    seen = F.coalesce(F.col("true_wind") - F.col("wind_base") >= RI_KNOTS, F.lit(False))
-    hits = F.count(F.when(said & seen, 1))
-    misses = F.count(F.when(~said & seen, 1))
-    alarms = F.count(F.when(said & ~seen, 1))
+    hits = F.count_if(F.col("said") & F.col("seen"))
+    misses = F.count_if(~F.col("said") & F.col("seen"))
+    alarms = F.count_if(F.col("said") & ~F.col("seen"))
     precision, recall = F.try_divide(hits, hits + alarms), F.try_divide(hits, hits + misses)
     f1 = F.try_divide(precision * recall * 2.0, precision + recall)
     return F.when(hits > 0, f1).otherwise(F.lit(0.0))
@@ -188,19 +194,19 @@ def _rapid_intensification_f1() -> Column:
 Metric = Callable[[], Column]
 
 METRICS: dict[str, Metric] = {
-    "track_error": lambda: complete_mean(_distance()),
-    "track_rmse": lambda: F.sqrt(complete_mean(_distance() * _distance())),
-    "along_track_error": _along,
-    "cross_track_error": _cross,
-    "intensity_mae": lambda: complete_mean(F.abs(_wind_error())),
-    "intensity_rmse": lambda: F.sqrt(complete_mean(_wind_error() * _wind_error())),
+    "track_error": lambda: complete_mean(F.col("km")),
+    "track_rmse": lambda: F.sqrt(complete_mean(F.col("km") * F.col("km"))),
+    "along_track_error": lambda: complete_mean(F.col("along_km"), F.col("moved")),
+    "cross_track_error": lambda: complete_mean(F.col("cross_km"), F.col("moved")),
+    "intensity_mae": lambda: complete_mean(F.abs("wind_error")),
+    "intensity_rmse": lambda: F.sqrt(complete_mean(F.col("wind_error") * F.col("wind_error"))),
     "rapid_intensification_skill": _rapid_intensification_f1,
 }
 DEFAULT_METRICS = list(METRICS)
 
 
 def register_metric(name: str, build: Metric) -> None:
-    """Add a metric: a function returning an aggregate over the columns of a pair."""
+    """Add a metric: a function returning an aggregate over the columns of ``with_errors``."""
     METRICS[name] = build
 
 
@@ -209,7 +215,8 @@ def score(pairs: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     chosen = [m for m in (metrics or DEFAULT_METRICS) if m in METRICS]
     if not chosen:
         raise ValueError("no known metric requested")
-    return pairs.groupBy(*IDS).agg(*[METRICS[m]().alias(m) for m in chosen])
+    errors = with_errors(pairs)
+    return errors.groupBy(*IDS).agg(*[METRICS[m]().alias(m) for m in chosen])
 
 
 def score_with_python(
