@@ -14,7 +14,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     chord = F.sin(half_dlat) * F.sin(half_dlat) + F.cos(F.radians(lat1)) * F.cos(
         F.radians(lat2)
     ) * F.sin(half_dlon) * F.sin(half_dlon)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    # not least(): that would turn a missing position into the longest distance
+    clamped = F.when(chord > 1, F.lit(1.0)).otherwise(chord)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
 
 
 def planar_nm(dlat: Column, dlon: Column) -> Column:

@@ -84,11 +84,15 @@ def crps_ensemble(
 def reliability_curve(
     cases: DataFrame, probability: str, event: str, bins: int = RELIABILITY_BINS
 ) -> DataFrame:
-    """Mean probability and event frequency in equal bins (lo, hi], the first closed."""
+    """Mean probability and event frequency in equal bins (lo, hi], the first closed.
+
+    Cases without a probability are in no bin.
+    """
     p = F.col(probability)
     number = F.least(F.greatest(F.ceil(p * bins), F.lit(1)), F.lit(bins)).cast("int")
     return (
-        cases.groupBy(number.alias("bin"))
+        cases.filter(p.isNotNull())
+        .groupBy(number.alias("bin"))
         .agg(
             F.avg(p).alias("mean_probability"),
             F.avg(F.col(event).cast("double")).alias("event_frequency"),

@@ -64,7 +64,7 @@ def storm_forecaster(
     ``features`` is a pandas frame of the storm's last ``history`` fixes, so a
     group is small whatever the length of the track.  ``predict`` returns a frame
     with ``latitude, longitude, max_wind``, one row per step.  A storm it raises
-    on gets no rows, which scoring reports as missing.
+    on gets missing values in every step, which scoring turns into missing scores.
     """
     newest = Window.partitionBy("storm_id").orderBy(F.col(order).desc())
     recent = (
@@ -76,12 +76,12 @@ def storm_forecaster(
     def one_storm(key, rows):
         import pandas as pd
 
-        columns = ["storm_id", "forecast", "step", "latitude", "longitude", "max_wind"]
         features = rows.sort_values(order).reset_index(drop=True)
         try:
             out = predict(features, steps, step_hours).reset_index(drop=True)
         except Exception:
-            return pd.DataFrame({c: [] for c in columns})
+            gap = [float("nan")] * steps
+            out = pd.DataFrame({"latitude": gap, "longitude": gap, "max_wind": gap})
         out = out[["latitude", "longitude", "max_wind"]].astype("float64")
         out.insert(0, "step", range(1, len(out) + 1))
         out.insert(0, "forecast", name)

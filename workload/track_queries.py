@@ -400,8 +400,8 @@ def _(spark, sf):
 
 
 HAVERSINE = (
-    "2 * 6371e0 * asin(sqrt(least(1e0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b}))"
-    " * pow(sin(radians({d} - {c}) / 2), 2))))"
+    "CASE WHEN {a} IS NOT NULL THEN 2 * 6371e0 * asin(sqrt(least(1e0, pow(sin(radians({b} - {a}) / 2), 2)"
+    " + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))) END"
 )
 
 
