@@ -203,8 +203,16 @@ def aligned_windows(
     rows: stacking all storms of an index into one value would grow with the
     number of storms.
     """
-    shared = common_window_count(tracks, sequence_length, forecast_length).scalar()
-    windows = sliding_sequences(
-        tracks, sequence_length, forecast_length, STATE_FEATURES, order, block_rows
+    kept = shared_fixes(tracks, sequence_length, forecast_length, order)
+    return sliding_sequences(
+        kept, sequence_length, forecast_length, STATE_FEATURES, order, block_rows
     )
-    return windows.filter(F.col("window_index") < shared)
+
+
+def shared_fixes(
+    tracks: DataFrame, sequence_length: int, forecast_length: int, order: str = "timestamp"
+) -> DataFrame:
+    """Numbered fixes that the shared windows reach; later ones are in no such window."""
+    shared = common_window_count(tracks, sequence_length, forecast_length).scalar()
+    reach = shared + sequence_length + forecast_length - 1
+    return ordered.with_points(tracks, KEY, order).filter(F.col(ordered.POINT) <= reach)

@@ -105,11 +105,16 @@ def history_truth_split(
     bound is pushed below the exchange, so a task never ships more than
     ``history + forecast`` rows of a storm, however long the storm is.
     """
-    step = F.row_number().over(Window.partitionBy("storm_id").orderBy(order))
     if POINT in tracks.columns:
-        step = F.col(POINT)
-    first = tracks.withColumn("step", step.cast("int")).filter(
-        F.col("step") <= history + forecast
+        number = F.col(POINT)
+    else:
+        number = F.row_number().over(Window.partitionBy("storm_id").orderBy(order))
+    # bounded on the bare number: behind a cast the bound would not be pushed down
+    first = (
+        tracks.withColumn("_number", number)
+        .filter(F.col("_number") <= history + forecast)
+        .withColumn("step", F.col("_number").cast("int"))
+        .drop("_number")
     )
     role = F.when(F.col("step") <= history, "history").otherwise("truth")
     return first.withColumn("role", role)

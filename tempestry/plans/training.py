@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions.clock import from_micros, micros
 from tempestry.operators import features, ordered, patches
-from tempestry.sources.tiles import tile_placeholders
+from tempestry.sources.tiles import TILE_SOURCES, corner_tiles, tile_placeholders
 
 SOURCES = ("best_track", "arrays")
 FIELD_CHANNELS = ["u10", "v10", "msl", "sst"]
@@ -84,19 +84,21 @@ def patch_channels(
     step_hours: int,
     patch_size: float = patches.DEFAULT_PATCH,
     channels: list[str] | None = None,
+    fixes: DataFrame | None = None,
 ) -> DataFrame:
     """Per fix and cell: tile channels, then field channels.
 
     Tiles are 2 x 2, so they meet the field cells with the same row and column.
     Both sides are matched by the fix's own timestamp, not by their place in time.
+    ``fixes`` limits the work to some fixes of the tracks.
     """
     on = ["storm_id", "timestamp", "row", "col"]
     chosen = channels or FIELD_CHANNELS
-    cells = patches.patch_extract(grid, tracks, patch_size, chosen, step_hours)
+    wanted = tracks if fixes is None else fixes
+    cells = patches.patch_extract(grid, wanted, patch_size, chosen, step_hours)
     fields = patches.as_channels(cell_numbers(cells), [c for c in chosen if c in grid.columns], on)
-    tiles = tile_placeholders(tracks, patch_size).withColumnRenamed("time", "timestamp")
-    names = [c for c in tiles.columns if c not in ("storm_id", "timestamp", "latitude", "longitude")]
-    return patches.channel_concat(patches.as_channels(cell_numbers(tiles), names, on), fields, on)
+    tiles = corner_tiles(tracks, patch_size, fixes=fixes).withColumnRenamed("time", "timestamp")
+    return patches.channel_concat(patches.as_channels(tiles, TILE_SOURCES, on), fields, on)
 
 
 def aligned_windows_patches(
@@ -115,15 +117,15 @@ def aligned_windows_patches(
     fixes by timestamp, so channels join on (storm, timestamp) and no image is
     copied before the join.
     """
-    stamped = tracks.withColumn("_stamp", micros(F.col(order)).cast("double"))
-    shared = features.common_window_count(tracks, sequence_length, forecast_length).scalar()
+    kept = features.shared_fixes(tracks, sequence_length, forecast_length, order)
+    stamped = kept.withColumn("_stamp", micros(F.col(order)).cast("double"))
     windows = features.sliding_sequences(
         stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_stamp"], order, block_rows
-    ).filter(F.col("window_index") < shared)
+    )
     steps = windows.select("storm_id", "window_index", F.posexplode("inputs").alias("position", "_in"))
     steps = steps.withColumn(
         "timestamp",
         from_micros(F.element_at("_in", -1).cast("long")),
     ).withColumn("state", F.slice("_in", 1, len(features.STATE_FEATURES))).drop("_in")
-    images = patch_channels(tracks, grid, step_hours, patch_size)
+    images = patch_channels(tracks, grid, step_hours, patch_size, fixes=kept)
     return steps.join(images, ["storm_id", "timestamp"])

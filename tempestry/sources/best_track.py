@@ -46,7 +46,11 @@ def parse_lines(
     is_header = F.col("value").rlike(header_pattern)
     marked = trimmed.withColumn("_header", F.when(is_header, F.col("value")))
 
-    in_block = Window.partitionBy("file", "block").orderBy("line_no")
+    in_block = (
+        Window.partitionBy("file", "block")
+        .orderBy("line_no")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     carried = marked.withColumn("_own", F.last("_header", ignorenulls=True).over(in_block))
 
     # split sizes are fixed, so this is one short row per 128 MB of text
