@@ -14,6 +14,8 @@ leads and short row frames are exact inside a run.  It needs no statistics, and
 a table that arrives hash-partitioned by the key needs no further exchange.
 """
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,24 +31,12 @@ _BLOCK = "_block"
 _HALO = "_halo"
 _SLICE = "_slice"
 _CUTS = "_cuts"
-_COARSE = 64
+_HOT = "_hot"
 
 
 # -- numbering ---------------------------------------------------------------------------------
 
 
-def _order_value(df: DataFrame, order: str) -> Column:
-    """Order column as a number that quantiles can be taken of."""
-    kind = dict(df.dtypes)[order]
-    if kind == "timestamp":
-        return F.unix_micros(order)
-    if kind == "timestamp_ntz":
-        return micros(F.col(order))
-    if kind == "date":
-        return F.unix_date(F.col(order)).cast("long")
-    return F.col(order)
-
-
 def hot_cuts(
     df: DataFrame,
     keys: list[str],
@@ -60,7 +50,6 @@ def hot_cuts(
     most ``max_slices`` keys can each hold more than one part in ``max_slices``
     of the rows, and cuts are in proportion to rows, so no more than
     ``2 * max_slices`` numbers come to the driver whatever the size of the table.
-    Cuts are a two-level array, so that placing a row scans two short arrays.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     large = (
@@ -87,7 +76,7 @@ def hot_cuts(
         F.lit(",".join(str(i / max_slices) for i in range(1, max_slices))), ","
     ).cast("array<double>")
     quantiles = (
-        df.select(*keys, _order_value(df, order).alias("_value"))
+        df.select(*keys, F.col(order).alias("_value"))
         .join(F.broadcast(hot_keys), keys)
         .groupBy(*keys)
         .agg(
@@ -100,28 +89,67 @@ def hot_cuts(
     def pick(i):
         return F.element_at("_quantiles", F.floor(i * max_slices / F.col("_parts")).cast("int"))
 
-    flat = quantiles.select(
+    found = quantiles.select(
         *keys,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), pick)).alias(
-            "_flat"
-        ),
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), pick)).alias(_CUTS),
     )
-    nested = F.transform(
-        F.sequence(F.lit(1), F.size("_flat"), F.lit(_COARSE)),
-        lambda start: F.slice("_flat", start, F.lit(_COARSE)),
-    )
-    found = flat.select(*keys, nested.alias(_CUTS))
     return session.createDataFrame(found.collect(), found.schema)
 
 
-def _slice_of(value: Column) -> Column:
-    """Number of cuts at or below the value; 0 where the key is not hot."""
-    passed = F.size(F.filter(F.col(_CUTS), lambda block: F.element_at(block, 1) <= value))
-    inside = F.size(F.filter(F.element_at(F.col(_CUTS), passed), lambda cut: cut <= value))
+def _number(value: Column, kind: str) -> Column:
+    """A double that never falls as the value rises."""
+    if kind == "timestamp_ntz":
+        value = micros(value)
+    elif kind == "timestamp":
+        value = F.unix_micros(value)
+    elif kind == "date":
+        value = F.unix_date(value)
+    return value.cast("double")
+
+
+def _bin(value: Column) -> Column:
+    """Equal-width bin between the first and the last cut, 0 to the number of cuts."""
+    share = F.try_divide(value - F.col("_low"), F.col("_high") - F.col("_low"))
+    bins = F.col("_bins").cast("double")
+    place = F.least(F.greatest(share * bins, F.lit(0.0)), bins)
+    return F.floor(F.coalesce(place, F.lit(0.0))).cast("int")
+
+
+def _with_slice(df: DataFrame, cuts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add the number of cuts at or below the order value; 0 where the key is not hot.
+
+    A row finds the cuts near its value through its bin, so it compares with about
+    one cut instead of with all of them.  Bins rise with the value, hence all cuts
+    of lower bins lie below it.  Both lookup tables are as small as the cuts.
+    """
+    kind = dict(df.dtypes)[order]
+    spans = cuts.select(
+        *keys,
+        _CUTS,
+        _number(F.element_at(_CUTS, 1), kind).alias("_low"),
+        _number(F.element_at(_CUTS, -1), kind).alias("_high"),
+        F.size(_CUTS).alias("_bins"),
+    )
+    placed = spans.withColumn("_places", F.transform(_CUTS, lambda c: _bin(_number(c, kind))))
+    lookup = []
+    for row in placed.collect():
+        for number in range(row["_bins"] + 1):
+            first, last = bisect_left(row["_places"], number), bisect_right(row["_places"], number)
+            lookup.append((*[row[k] for k in keys], number, first, row[_CUTS][first:last]))
+    fields = [T.StructField("_bin", T.IntegerType()), T.StructField("_below", T.IntegerType())]
+    schema = T.StructType([*[df.schema[k] for k in keys], *fields, cuts.schema[_CUTS]])
+    table = df.sparkSession.createDataFrame(lookup, schema)
+
+    value = F.col(order)
+    hot = F.col("_bins").isNotNull()
+    within = F.size(F.filter(_CUTS, lambda cut: cut <= value))
     return (
-        F.when(F.col(_CUTS).isNull() | value.isNull() | (passed == 0), F.lit(0))
-        .otherwise((passed - 1) * F.lit(_COARSE) + inside)
-        .cast("int")
+        df.join(F.broadcast(spans.drop(_CUTS)), keys, "left")
+        .withColumn("_bin", F.when(hot & value.isNotNull(), _bin(_number(value, kind))))
+        .join(F.broadcast(table), [*keys, "_bin"], "left")
+        .withColumn(_SLICE, F.coalesce(F.col("_below") + within, F.lit(0)))
+        .withColumn(_HOT, hot)
+        .drop("_low", "_high", "_bins", "_bin", "_below", _CUTS)
     )
 
 
@@ -140,18 +168,14 @@ def with_position(
     if cuts is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering)).cast("long"))
 
-    sliced = df.join(F.broadcast(cuts), keys, "left").withColumn(
-        _SLICE, _slice_of(_order_value(df, order))
-    )
-    sizes = sliced.filter(F.col(_CUTS).isNotNull()).groupBy(*keys, _SLICE).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
+    sliced = _with_slice(df, cuts, keys, order)
+    sizes = sliced.filter(_HOT).groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, _SLICE, F.sum("_rows").over(earlier).alias("_before"))
     own = F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*ordering))
     # starts has a row per slice of a hot key, at most 3 * max_slices rows
     return (
-        sliced.drop(_CUTS)
+        sliced.drop(_HOT)
         .join(F.broadcast(starts), [*keys, _SLICE], "left")
         .withColumn(name, own + F.coalesce(F.col("_before"), F.lit(0).cast("long")))
         .drop(_SLICE, "_before")

@@ -14,20 +14,45 @@ def write_scores(scores: DataFrame, path: str) -> None:
         scores.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_storm_dataset(tracks: DataFrame, path: str, grid: DataFrame | None = None, csv: bool = False):
-    """Tracks and storm cubes as tables partitioned by storm."""
-    writer = tracks.write.mode("overwrite").partitionBy("storm_id")
+def write_storm_dataset(
+    tracks: DataFrame,
+    path: str,
+    grid: DataFrame | None = None,
+    csv: bool = False,
+    per_storm: bool = False,
+) -> None:
+    """Tracks and storm cubes under ``path``.
+
+    By default the tables are range-partitioned by storm and time, so files cover
+    few storms, a lookup skips the others by file statistics, and a very long
+    storm is spread over several files.  ``per_storm`` makes one directory per
+    storm instead, which suits a handful of storms.
+    """
+    _write_by_storm(tracks, f"{path}/track", "timestamp", csv, per_storm)
+    if grid is not None:
+        _write_by_storm(grid, f"{path}/grid", "time", False, per_storm)
+
+
+def _write_by_storm(df, path, time, csv, per_storm):
+    order = [c for c in ("storm_id", time, "latitude", "longitude") if c in df.columns]
+    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = laid_out.write.mode("overwrite")
+    if per_storm:
+        writer = writer.partitionBy("storm_id")
     if csv:
-        writer.option("header", True).csv(f"{path}/track")
+        writer.option("header", True).csv(path)
     else:
-        writer.parquet(f"{path}/track")
-    if grid is not None:
-        grid.write.mode("overwrite").partitionBy("storm_id").parquet(f"{path}/grid")
+        writer.parquet(path)
 
 
 def write_grid(grid: DataFrame, path: str) -> None:
-    """Wide grid partitioned by year, so a time range prunes directories."""
-    grid.withColumn("year", F.year("time")).write.mode("overwrite").partitionBy("year").parquet(path)
+    """Wide grid in directories by year, rows in order of time and place.
+
+    A time range prunes directories, then files and row groups by statistics.
+    """
+    order = [c for c in ("time", "latitude", "longitude") if c in grid.columns]
+    laid_out = grid.withColumn("year", F.year("time")).repartitionByRange(*order)
+    laid_out.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def read_grid(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:

@@ -205,8 +205,12 @@ def test_storm_dataset_and_grid_files(spark, make_tracks, tmp_path):
     tracks = make_tracks({"A": [(10, 20)], "B": [(11, 21), (12, 22)]})
     sinks.write_storm_dataset(tracks, str(tmp_path / "d"), csv=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "d" / "track")).count() == 3
-    sinks.write_storm_dataset(tracks, str(tmp_path / "p"), grid=tracks.select("storm_id", "latitude"))
-    assert spark.read.parquet(str(tmp_path / "p" / "grid")).filter("storm_id = 'B'").count() == 2
+    boxes = tracks.select("storm_id", "latitude")
+    for per_storm in (False, True):
+        out = tmp_path / f"p{per_storm}"
+        sinks.write_storm_dataset(tracks, str(out), grid=boxes, per_storm=per_storm)
+        assert spark.read.parquet(str(out / "grid")).filter("storm_id = 'B'").count() == 2
+        assert (out / "track" / "storm_id=A").is_dir() == per_storm
     cube = spark.createDataFrame(
         [(datetime(2022, 12, 31), 1.0), (datetime(2023, 1, 1), 2.0)], "time timestamp_ntz, u10 double"
     )
