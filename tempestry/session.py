@@ -11,8 +11,6 @@ def build_session(app_name="tempestry", master=None, **conf):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # call sites in error messages cost a JVM round trip per column expression
-        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if master is not None:
         builder = builder.master(master)
