@@ -17,16 +17,23 @@ def con():
     return check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+QUERIES = {name: query for q in entry.REGISTRIES for name, query in q.queries.items()}
+ORACLES = {name: sql for q in entry.REGISTRIES for name, sql in q.oracles.items()}
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    good, message = check.compare(
-        spark, con, SF_DIR, entry.queries()[name], entry.oracle_sql().get(name)
-    )
+    good, message = check.compare(spark, con, SF_DIR, QUERIES[name], ORACLES.get(name))
     assert good, message
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
