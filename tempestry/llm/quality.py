@@ -24,6 +24,8 @@ from tempestry.llm.common import stored, text_function
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 0.5
+#: No vote is taken to be rarer than this.
+LEAST_SHARE = 1e-5
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -86,73 +88,83 @@ def base_failed(c) -> Column:
     return (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > 100 * MOST_REPEATED * c["n_words"])
 
 
-def vote(value: Column, good_to, bad_from) -> Column:
-    """1 up to good_to, -1 from bad_from on, else 0; the other way round where good_to is the larger bound."""
-    if good_to > bad_from:
-        return F.when(value >= good_to, 1).when(value <= bad_from, -1).otherwise(0)
-    return F.when(value <= good_to, 1).when(value >= bad_from, -1).otherwise(0)
+def fault(found: Column) -> Column:
+    """-1 where a fault is found, else an abstention."""
+    return F.when(found, -1).otherwise(0)
+
+
+def either(good: Column, bad: Column) -> Column:
+    return F.when(good, 1).when(bad, -1).otherwise(0)
 
 
 def rule_votes(c) -> dict[str, Column]:
     """The rules. Bounds are parameters of the rules, not of the corpus."""
     words = F.greatest(c["n_words"], F.lit(1))
-    length = c["word_chars"] / words
+    length, symbols = c["word_chars"] / words, c["n_symbols"] / words
+    letters = c["n_letters"] / F.greatest(c["n_chars"] - c["n_words"], F.lit(1))
     return {
-        "length": vote(c["n_words"], 80, LEAST_WORDS - 1),
-        "repetition": vote(c["n_repeat_words"] / words, 0.2, 0.4),
-        "symbols": vote(c["n_symbols"] / words, 0.02, 0.2),
-        "lines": vote(c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)), 0.1, 0.4),
-        "capitals": vote(c["n_upper_words"] / words, 0.1, 0.4),
-        "emphasis": vote(c["n_marked_words"] / words, 0.05, 0.3),
-        "word_length": F.when(length.between(3, 9), 1).when(~length.between(2, 16), -1).otherwise(0),
-        "letters": vote(c["n_letters"] / F.greatest(c["n_chars"] - c["n_words"], F.lit(1)), 0.9, 0.75),
+        "length": either(c["n_words"] >= 80, c["n_words"] < LEAST_WORDS),
+        "word_length": either(length.between(3, 9), ~length.between(2, 16)),
+        "prose": either((letters >= 0.78) & (symbols <= 0.02), letters < 0.5),
+        "repetition": fault(c["n_repeat_words"] / words >= 0.4),
+        "symbols": fault(symbols >= 0.2),
+        "lines": fault(c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)) >= 0.5),
+        "capitals": fault(c["n_upper_words"] / words >= 0.4),
+        "emphasis": fault(c["n_marked_words"] / words >= 0.3),
+        "letters": fault(letters <= 0.75),
     }
 
 
 class Supervision:
-    """Prior of good and, per rule, P(vote good | good, voted) and P(vote bad | bad, voted)."""
+    """Prior of good and, per rule, P(vote good) and P(vote bad) on good and on bad documents.
+
+    The starting values say that a bad vote is rare on good documents and that a rule sees few of the bad ones,
+    as each looks for a fault of its own. Estimates lean on them by `strength` documents.
+    """
 
-    def __init__(self, names, prior=0.9, right=0.8, strength=50.0, rounds=200):
-        self.names, self.prior = list(names), prior
-        self.start, self.strength, self.rounds = right, strength, rounds
-        self.right_good = np.full(len(self.names), right)
-        self.right_bad = np.full(len(self.names), right)
+    def __init__(self, names, prior=0.9, strength=10.0, rounds=300):
+        self.names, self.prior, self.strength, self.rounds = list(names), prior, strength, rounds
+        n = len(self.names)
+        #: Rows: vote good on good, vote good on bad, vote bad on good, vote bad on bad.
+        self.shares = np.repeat(np.array([[0.8], [0.6], [0.001], [0.2]]), n, axis=1)
+
+    def weights(self):
+        """Log odds of good that a good vote, a bad vote and an abstention of each rule give."""
+        logs = np.log(self.shares)
+        abstain = np.log(np.maximum(1 - self.shares[:2] - self.shares[2:], LEAST_SHARE))
+        return logs[0] - logs[1], logs[2] - logs[3], abstain[0] - abstain[1]
 
     def log_odds(self, votes):
-        good = np.where(votes > 0, np.log(self.right_good), np.where(votes < 0, np.log1p(-self.right_good), 0))
-        bad = np.where(votes < 0, np.log(self.right_bad), np.where(votes > 0, np.log1p(-self.right_bad), 0))
-        return math.log(self.prior) - math.log1p(-self.prior) + (good - bad).sum(axis=1)
+        good, bad, abstain = self.weights()
+        odds = (votes > 0) @ good + (votes < 0) @ bad + (votes == 0) @ abstain
+        return math.log(self.prior) - math.log1p(-self.prior) + odds
 
-    def fit(self, votes, weights):
-        """votes: patterns by rules; weights: documents of each pattern. Estimates lean on `strength` documents."""
+    def fit(self, votes, documents):
+        """votes: patterns by rules; documents: how many have each pattern."""
         if not len(votes):
             return self
-        total = weights.sum()
+        lean = self.strength * self.shares
         for _ in range(self.rounds):
-            good = weights / (1 + np.exp(-np.clip(self.log_odds(votes), -500, 500)))
-            bad = weights - good
-            before = self.right_good.copy(), self.right_bad.copy(), self.prior
-            lean = self.strength * self.start
-            self.right_good = self.bounded(good @ (votes > 0) + lean, good @ (votes != 0) + self.strength)
-            self.right_bad = self.bounded(bad @ (votes < 0) + lean, bad @ (votes != 0) + self.strength)
-            self.prior = float(np.clip((good.sum() + 0.9) / (total + 1), 0.05, 0.999))
-            change = max(abs(self.right_good - before[0]).max(), abs(self.right_bad - before[1]).max())
-            if max(change, abs(self.prior - before[2])) < 1e-9:
+            good = documents / (1 + np.exp(-np.clip(self.log_odds(votes), -500, 500)))
+            bad = documents - good
+            counts = np.array([good @ (votes > 0), bad @ (votes > 0), good @ (votes < 0), bad @ (votes < 0)])
+            sizes = np.array([good.sum(), bad.sum(), good.sum(), bad.sum()]) + self.strength
+            shares = (counts + lean) / sizes[:, None]
+            # A vote never speaks for the opposite of what it says.
+            shares[1] = np.minimum(shares[1], shares[0])
+            shares[2] = np.minimum(shares[2], shares[3])
+            prior = float(np.clip((good.sum() + 0.9) / (documents.sum() + 1), 0.05, 0.999))
+            change = max(abs(shares - self.shares).max(), abs(prior - self.prior))
+            self.shares, self.prior = np.clip(shares, LEAST_SHARE, 1.0), prior
+            if change < 1e-9:
                 break
         return self
 
-    @staticmethod
-    def bounded(right, voted):
-        """A rule is taken to be better than a coin and never certain."""
-        return np.clip(right / voted, 0.55, 0.995)
-
     def posterior(self, votes: dict[str, Column]) -> Column:
         """P(good | votes) as a column."""
         odds = F.lit(math.log(self.prior) - math.log1p(-self.prior))
-        for name, g, b in zip(self.names, self.right_good.tolist(), self.right_bad.tolist()):
-            odds = odds + F.when(votes[name] > 0, math.log(g) - math.log1p(-b)).when(
-                votes[name] < 0, math.log1p(-g) - math.log(b)
-            ).otherwise(0.0)
+        for name, good, bad, abstain in zip(self.names, *(w.tolist() for w in self.weights())):
+            odds = odds + F.when(votes[name] > 0, good).when(votes[name] < 0, bad).otherwise(abstain)
         return 1 / (1 + F.exp(-odds))
 
 
