@@ -183,6 +183,31 @@ def top_tables(context, decision, zeros, ones, product):
     return np.exp(HALF + own - weighted), (n[1] + 0.5) / (n[0] + n[1] + 1.0)
 
 
+def pack_sorted(numbers):
+    """Sorted unsigned numbers as compressed differences."""
+    return zlib.compress(np.diff(numbers, prepend=numbers[:0].dtype.type(0)).tobytes(), 1)
+
+
+def unpack_sorted(data):
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint64), dtype=np.uint64)
+
+
+def pack_counts(counts):
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def unpack_counts(data):
+    return np.frombuffer(zlib.decompress(data), np.int64)
+
+
+def pack_words(words):
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpack_words(data):
+    return zlib.decompress(data).split(b" ")
+
+
 def block_parts(block, words, tally, buckets):
     """Packed runs of a block's words and keys, by bucket."""
     by_bucket = [[] for _ in range(buckets)]
@@ -190,8 +215,9 @@ def block_parts(block, words, tally, buckets):
         by_bucket[zlib.crc32(word) % buckets].append(word)
     for bucket, some in enumerate(by_bucket):
         if some:
+            some.sort()
             counts = np.fromiter(map(words.__getitem__, some), np.int64, len(some))
-            yield "word", block, bucket, b" ".join(some), counts.tobytes()
+            yield "word", block, bucket, pack_words(some), pack_counts(counts)
     keys, counts = tally.merged()
     pair = (keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
     bucket_of = (pair * 40503 & 0xFFFF) * buckets >> 16
@@ -200,7 +226,7 @@ def block_parts(block, words, tally, buckets):
     for bucket in range(buckets):
         some = order[bounds[bucket] : bounds[bucket + 1]]
         if len(some):
-            yield "key", block, bucket, keys[some].tobytes(), counts[some].tobytes()
+            yield "key", block, bucket, pack_sorted(keys[some]), pack_counts(counts[some])
 
 
 def part_batch(rows):
@@ -239,7 +265,7 @@ def collect_parts(buckets, depth=DEPTH):
                     feed(training)
             feed(0)
             feed(1)
-            yield part_batch(list(block_parts(block, words, tally, buckets)) or [("word", block, 0, b"", b"")])
+            yield part_batch(list(block_parts(block, words, tally, buckets)) or [("word", block, 0, pack_words([]), pack_counts(np.zeros(1)))])
 
     return collect
 
@@ -247,14 +273,14 @@ def collect_parts(buckets, depth=DEPTH):
 def merged_keys(rows):
     tally = Tally()
     for row in rows:
-        tally.add(np.frombuffer(row[3], np.uint64), np.frombuffer(row[4], np.int64))
+        tally.add(unpack_sorted(row[3]), unpack_counts(row[4]))
     return tally.merged()
 
 
 def merged_words(rows):
     counts = Counter()
     for row in rows:
-        for word, n in zip(row[3].split(b" "), np.frombuffer(row[4], np.int64).tolist()):
+        for word, n in zip(unpack_words(row[3]), unpack_counts(row[4]).tolist()):
             counts[word] += n
     return counts
 
@@ -323,13 +349,13 @@ def score_texts(
                 keys, counts = merged_keys(found)
                 value = Subtrees(keys, counts, DEPTH).log_probabilities(top) / math.log(10)
                 for row in found:
-                    own = value[np.searchsorted(keys, np.frombuffer(row[3], np.uint64))]
+                    own = value[np.searchsorted(keys, unpack_sorted(row[3]))]
                     yield part_batch([(kind, row[1], row[2], row[3], own.tobytes())])
             else:
                 counts = merged_words(found)
                 for row in found:
-                    own = np.array([counts[w] for w in row[3].split(b" ")], dtype=np.int64)
-                    yield part_batch([(kind, row[1], row[2], row[3], own.tobytes())])
+                    own = np.array([counts[w] for w in unpack_words(row[3])])
+                    yield part_batch([(kind, row[1], row[2], row[3], pack_counts(own))])
 
     answers = packed.mapInArrow(answer, PART)
     scale = math.log10(tokens + 0.1 * (different + 1))
@@ -339,11 +365,10 @@ def score_texts(
         keys, values, words = [np.empty(0, np.uint64)], [np.empty(0)], {}
         for kind, entries, numbers in zip(*(found[c].to_pylist() for c in ("kind", "entries", "counts"))):
             if kind == "key":
-                keys.append(np.frombuffer(entries, np.uint64))
+                keys.append(unpack_sorted(entries))
                 values.append(np.frombuffer(numbers))
             else:
-                own = np.log10(np.frombuffer(numbers, np.int64) + 0.1).tolist()
-                words.update(zip(entries.split(b" "), own))
+                words.update(zip(unpack_words(entries), np.log10(unpack_counts(numbers) + 0.1).tolist()))
         keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
