@@ -53,7 +53,7 @@ def hashes(data, lexicon):
     from xxhash import xxh32_hexdigest
 
     terms = set(words_of(data))
-    own = sorted(terms.intersection(lexicon))
+    own = sorted(filter(lexicon.__contains__, terms))
     kept = [[] for _ in RATES]
     if own:
         for term in own:
