@@ -7,14 +7,20 @@ EARTH_RADIUS_KM = 6371.0
 NAUTICAL_MILES_PER_DEGREE = 60.0
 
 
+def known(value: Column) -> Column:
+    """The value, or NULL where it is NaN."""
+    return F.when(~F.isnan(value), value)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance; the root is clamped so rounding cannot leave asin's domain."""
     half_dlat = F.radians(lat2 - lat1) / 2
     half_dlon = F.radians(lon2 - lon1) / 2
-    chord = F.sin(half_dlat) * F.sin(half_dlat) + F.cos(F.radians(lat1)) * F.cos(
+    chord = known(F.sin(half_dlat) * F.sin(half_dlat) + F.cos(F.radians(lat1)) * F.cos(
         F.radians(lat2)
-    ) * F.sin(half_dlon) * F.sin(half_dlon)
+    ) * F.sin(half_dlon) * F.sin(half_dlon))
     # not least(): that would turn a missing position into the longest distance
+    # and NaN compares as larger than 1, so it becomes a missing distance first
     clamped = F.when(chord > 1, F.lit(1.0)).otherwise(chord)
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
 

@@ -167,13 +167,13 @@ def grid_variables(grid: DataFrame) -> list[str]:
 
 
 def grid_stats_fit(grid: DataFrame, variables: list[str] | None = None) -> DataFrame:
-    """(variable, mean, std) over all cells and times; missing cells are left out."""
+    """(variable, mean, std) over all cells and times; missing and NaN cells are left out."""
     present = [v for v in (variables or grid_variables(grid)) if v in grid.columns]
     if not present:
         raise ValueError("none of the variables is in the grid")
     aggregates = []
     for v in present:
-        aggregates += [F.avg(v).alias(f"_mean_{v}"), F.stddev_pop(v).alias(f"_std_{v}")]
+        aggregates += [F.avg(known(F.col(v))).alias(f"_mean_{v}"), F.stddev_pop(known(F.col(v))).alias(f"_std_{v}")]
     entries = [
         F.struct(
             F.lit(v).alias("variable"),

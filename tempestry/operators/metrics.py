@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempestry.functions.geo import east_km, haversine_km, north_km
+from tempestry.functions.geo import east_km, haversine_km, known, north_km
 from tempestry.operators.baselines import MOTION_STEPS, _method_array
 from tempestry.operators.tracks import history_truth_split
 
@@ -110,9 +110,9 @@ def forecast_pairs(
     predicted = forecasts.select(
         *IDS,
         "step",
-        F.col("latitude").alias("lat"),
-        F.col("longitude").alias("lon"),
-        F.col("max_wind").alias("wind"),
+        known(F.col("latitude")).alias("lat"),
+        known(F.col("longitude")).alias("lon"),
+        known(F.col("max_wind")).alias("wind"),
     )
     if names:
         expected = truth.withColumn(

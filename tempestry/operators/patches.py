@@ -167,6 +167,11 @@ def storm_cube_extract(
     stitched extracts hold it.
     """
     boxes = storm_boxes(tracks, patch_size, lead_hours, lag_hours)
+    # a padded side may reach past the dateline: its part beyond is a range of its own
+    spans = F.explode(_spans(F.col("lon_min"), F.col("lon_max")))
+    boxes = boxes.withColumn("_span", spans).withColumns(
+        {"lon_min": F.col("_span.lon_min"), "lon_max": F.col("_span.lon_max")}
+    ).drop("_span")
     found = box_join(boxes, grid, patch_size, on_times=False, variables=variables)
     return found.drop("lat_min", "lat_max", "lon_min", "lon_max", "start_time", "end_time")
 
@@ -178,11 +183,17 @@ def nearest_hour_align(tracks: DataFrame, grid: DataFrame, step_hours: int) -> D
     return snapped.join(times, "analysis_time", "left_semi")
 
 
-def channel_concat(tiles: DataFrame, fields: DataFrame, on: list[str]) -> DataFrame:
-    """Satellite channels first, field channels after, of the same storm, time and cell."""
-    right = fields.select(*on, F.col("channels").alias("_more"))
-    return tiles.join(right, on).select(
-        *on, F.concat(F.col("channels"), F.col("_more")).alias("channels")
+def channel_concat(
+    tiles: DataFrame, fields: DataFrame, on: list[str], keep: list[str] | None = None
+) -> DataFrame:
+    """Satellite channels first, field channels after, for every field cell.
+
+    ``on`` matches cells with tiles; ``keep`` names the columns of the result, ``on``
+    by default.
+    """
+    left = tiles.select(*on, F.col("channels").alias("_tile"))
+    return fields.join(left, on, "left").select(
+        *(keep or on), F.concat(F.col("_tile"), F.col("channels")).alias("channels")
     )
 
 

@@ -83,6 +83,8 @@ def track_checks(
     check_required_columns(tracks)
     has_wind = "max_wind" in tracks.columns
     has_pressure = "min_pressure" in tracks.columns
+    measured = ("latitude", "longitude", "max_wind", "min_pressure")
+    tracks = tracks.withColumns({c: known(F.col(c)) for c in measured if c in tracks.columns})
     lat, lon = F.col("latitude"), F.col("longitude")
     wind, pressure = F.col("max_wind"), F.col("min_pressure")
 
@@ -178,7 +180,7 @@ def dq_grid(
 
     aggregates = [F.count(F.lit(1)).alias("_cells")]
     for v in variables:
-        aggregates.append(F.count(F.when(F.col(v).isNull(), 1)).alias(f"_missing_{v}"))
+        aggregates.append(F.count(F.when(F.col(v).isNull() | F.isnan(v), 1)).alias(f"_missing_{v}"))
     for axis in ("latitude", "longitude"):
         if axis in grid.columns:
             aggregates += [F.min(axis).alias(f"_min_{axis}"), F.max(axis).alias(f"_max_{axis}")]

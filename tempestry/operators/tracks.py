@@ -97,16 +97,18 @@ def storm_list_split(
 
 
 def history_truth_split(
-    tracks: DataFrame, history: int, forecast: int, order: str = "timestamp"
+    tracks: DataFrame, history: int, forecast: int, order: str = "timestamp", numbered: str | None = None
 ) -> DataFrame:
     """First ``history`` fixes of each storm and the ``forecast`` fixes after them.
 
-    A table with a ``point`` column is only filtered.  Otherwise the row-number
-    bound is pushed below the exchange, so a task never ships more than
-    ``history + forecast`` rows of a storm, however long the storm is.
+    The row-number bound is pushed below the exchange, so a task never ships more than
+    ``history + forecast`` rows of a storm, as long as that sum is at most
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).  ``numbered``
+    names a column that numbers each storm's fixes from 1 without gaps; then the table
+    is only filtered.  No column is taken for such a number by its name.
     """
-    if POINT in tracks.columns:
-        number = F.col(POINT)
+    if numbered:
+        number = F.col(numbered)
     else:
         number = F.row_number().over(Window.partitionBy("storm_id").orderBy(order))
     # bounded on the bare number: behind a cast the bound would not be pushed down

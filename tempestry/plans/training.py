@@ -78,6 +78,17 @@ def cell_numbers(patch: DataFrame) -> DataFrame:
     )
 
 
+def tile_quarters(numbered: DataFrame) -> DataFrame:
+    """Row and column of the 2 x 2 tile cell nearest to each cell of its patch."""
+    whole = Window.partitionBy("storm_id", "timestamp")
+    return numbered.withColumns(
+        {
+            "tile_row": (F.col("row") * 2 > F.max("row").over(whole)).cast("int"),
+            "tile_col": (F.col("col") * 2 > F.max("col").over(whole)).cast("int"),
+        }
+    )
+
+
 def patch_channels(
     tracks: DataFrame,
     grid: DataFrame,
@@ -86,9 +97,9 @@ def patch_channels(
     channels: list[str] | None = None,
     fixes: DataFrame | None = None,
 ) -> DataFrame:
-    """Per fix and cell: tile channels, then field channels.
+    """Per fix and cell of its patch: tile channels, then field channels.
 
-    Tiles are 2 x 2, so they meet the field cells with the same row and column.
+    Tiles are 2 x 2: every field cell takes the tile cell of its quarter of the patch.
     Both sides are matched by the fix's own timestamp, not by their place in time.
     ``fixes`` limits the work to some fixes of the tracks.
     """
@@ -96,9 +107,14 @@ def patch_channels(
     chosen = channels or FIELD_CHANNELS
     wanted = tracks if fixes is None else fixes
     cells = patches.patch_extract(grid, wanted, patch_size, chosen, step_hours)
-    fields = patches.as_channels(cell_numbers(cells), [c for c in chosen if c in grid.columns], on)
-    tiles = corner_tiles(tracks, patch_size, fixes=fixes).withColumnRenamed("time", "timestamp")
-    return patches.channel_concat(patches.as_channels(tiles, TILE_SOURCES, on), fields, on)
+    quarter = ["storm_id", "timestamp", "tile_row", "tile_col"]
+    numbered = tile_quarters(cell_numbers(cells))
+    present = [c for c in chosen if c in grid.columns]
+    fields = patches.as_channels(numbered, present, [*on, "tile_row", "tile_col"])
+    tiles = corner_tiles(tracks, patch_size, fixes=fixes).withColumnsRenamed(
+        {"time": "timestamp", "row": "tile_row", "col": "tile_col"}
+    )
+    return patches.channel_concat(patches.as_channels(tiles, TILE_SOURCES, quarter), fields, quarter, keep=on)
 
 
 def aligned_windows_patches(
@@ -113,7 +129,9 @@ def aligned_windows_patches(
 ) -> DataFrame:
     """Shared windows with the channels of each input fix.
 
-    One row per (window index, storm, input position, cell).  Windows refer to
+    One row per (window index, storm, input position, cell).  A position whose fix
+    has no cells stays as one row with NULL channels, and ``complete`` tells whether
+    every position of the window has some.  Windows refer to
     fixes by timestamp, so channels join on (storm, timestamp) and no image is
     copied before the join.
     """
@@ -128,4 +146,6 @@ def aligned_windows_patches(
         from_micros(F.element_at("_in", -1).cast("long")),
     ).withColumn("state", F.slice("_in", 1, len(features.STATE_FEATURES))).drop("_in")
     images = patch_channels(tracks, grid, step_hours, patch_size, fixes=kept)
-    return steps.join(images, ["storm_id", "timestamp"])
+    shown = steps.join(images, ["storm_id", "timestamp"], "left")
+    window = Window.partitionBy("storm_id", "window_index")
+    return shown.withColumn("complete", F.min(F.col("channels").isNotNull()).over(window))

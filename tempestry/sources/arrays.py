@@ -84,5 +84,5 @@ def grid_from_arrays(
         "time",
         latitude.alias("latitude"),
         longitude.alias("longitude"),
-        *[F.get(v, F.col("pos")).cast("double").alias(v) for v in names],
+        *[_known(F.get(v, F.col("pos")).cast("double")).alias(v) for v in names],
     )

@@ -5,6 +5,8 @@ variables).  Fetching is left to whoever owns the data service; these operators
 say what to fetch and what is there already.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +28,20 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def year_split_periods(requests: DataFrame) -> DataFrame:
+def year_split_periods(requests: DataFrame, last_midnight: bool = False) -> DataFrame:
     """One period per calendar year a request touches.
 
-    A request inside one year stays as it is; otherwise a period ends no later
-    than midnight at the start of December 31.
+    A request inside one year stays as it is; otherwise a period ends with its
+    year.  ``last_midnight`` ends it at the start of December 31 instead, which
+    leaves out that day's hours.
     """
     start, end = F.col("start_time"), F.col("end_time")
     year = F.explode(F.sequence(F.year(start), F.year(end)))
     rows = requests.withColumn("year", year)
     single = F.year(start) == F.year(end)
     first_day = F.make_timestamp_ntz(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    last_day = F.make_timestamp_ntz(F.col("year"), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0))
+    end_of_day = (0, 0, 0) if last_midnight else (23, 59, Decimal("59.999999"))
+    last_day = F.make_timestamp_ntz(F.col("year"), F.lit(12), F.lit(31), *[F.lit(x) for x in end_of_day])
     return rows.withColumns(
         {
             "period_start": F.when(single, start).otherwise(F.greatest(start, first_day)),
@@ -46,14 +50,17 @@ def year_split_periods(requests: DataFrame) -> DataFrame:
     )
 
 
-def period_day_expand(periods: DataFrame) -> DataFrame:
-    """Dates of a period in steps of 24 h from its start, with every hour of the day.
+def period_day_expand(periods: DataFrame, step_from_start: bool = False) -> DataFrame:
+    """Every date that a period touches, with every hour of the day.
 
-    A start late in the day can leave out the last date; a period that ends
-    before it starts has no dates.
+    A period that ends before it starts has no dates.  ``step_from_start`` steps 24 h
+    from the start's clock time, which can leave out the last date.
     """
     usable = periods.filter(F.col("period_start") <= F.col("period_end"))
-    days = F.sequence(F.col("period_start"), F.col("period_end"), F.expr("interval 1 day"))
+    first, last = F.col("period_start"), F.col("period_end")
+    if not step_from_start:
+        first, last = F.to_date(first), F.to_date(last)
+    days = F.sequence(first, last, F.expr("interval 1 day"))
     hours = F.sequence(F.lit(0), F.lit(23))
     return (
         usable.withColumn("_day", F.explode(days))

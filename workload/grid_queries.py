@@ -246,7 +246,8 @@ _CUBE = {
     "found": f"""
         SELECT storm_id, side, c."time", c.latitude, c.longitude, c.msl, c.sst FROM sides AS b JOIN grid_dateline AS c
           ON c."time" BETWEEN b.start_time AND b.end_time AND c.latitude BETWEEN b.lat_min AND b.lat_max
-          AND c.longitude BETWEEN b.lon_min AND b.lon_max""",
+          AND (c.longitude BETWEEN b.lon_min AND b.lon_max OR c.longitude + 360 BETWEEN b.lon_min AND b.lon_max
+            OR c.longitude - 360 BETWEEN b.lon_min AND b.lon_max)""",
 }
 
 
@@ -297,7 +298,7 @@ _CHANNELS = {
           unnest([0e0, 0e0, 0e0, CAST(CAST(u10 AS FLOAT) AS DOUBLE), CAST(CAST(v10 AS FLOAT) AS DOUBLE),
             CAST(CAST(msl AS FLOAT) AS DOUBLE), CAST(CAST(sst AS FLOAT) AS DOUBLE)]) AS value,
           unnest(range(0, 7)) AS channel
-        FROM patch WHERE row < 2 AND col < 2""",
+        FROM patch""",
 }
 
 
@@ -315,9 +316,10 @@ def _(spark, sf):
 @Q.add(
     "aligned_windows_patches",
     f"""SELECT a.storm_id, a.i AS window_index, b.i - a.i AS place, row, col, channel, b.latitude, b.max_wind,
+          min(CASE WHEN channel IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY a.storm_id, a.i) = 1 AS complete,
           {r("value", digits=4)}
         FROM placed AS a JOIN placed AS b ON a.storm_id = b.storm_id AND b.i BETWEEN a.i AND a.i + 1
-        JOIN joined AS j ON j.storm_id = b.storm_id AND j."timestamp" = b."timestamp"
+        LEFT JOIN joined AS j ON j.storm_id = b.storm_id AND j."timestamp" = b."timestamp"
         WHERE a.i + 3 <= a.n AND a.i < (SELECT min(greatest(n - 3 + 1, 0)) FROM placed)""",
     {
         **_CHANNELS,
@@ -331,7 +333,7 @@ def _(spark, sf):
     return made.select(
         "storm_id", "window_index", F.col("position").alias("place"), "row", "col",
         F.element_at("state", 1).alias("latitude"), F.element_at("state", 3).alias("max_wind"),
-        F.posexplode("channels").alias("channel", "value"),
+        "complete", F.posexplode_outer("channels").alias("channel", "value"),
     )
 
 

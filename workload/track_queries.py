@@ -61,7 +61,7 @@ _SPLIT = {
           CASE WHEN year(start_time) = year(end_time) THEN start_time
                ELSE greatest(start_time, make_timestamp(y, 1, 1, 0, 0, 0)) END AS period_start,
           CASE WHEN year(start_time) = year(end_time) THEN end_time
-               ELSE least(end_time, make_timestamp(y, 12, 31, 0, 0, 0)) END AS period_end
+               ELSE least(end_time, make_timestamp(y, 12, 31, 23, 59, 59.999999)) END AS period_end
         FROM (SELECT *, unnest(range(year(start_time), year(end_time) + 1)) AS y FROM requests)"""
 }
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 @Q.add(
     "period_day_expand",
     """SELECT storm_id, year, CAST(d AS DATE) AS date, h AS hour
-       FROM (SELECT storm_id, year, unnest(generate_series(period_start, period_end, INTERVAL 1 DAY)) AS d
+       FROM (SELECT storm_id, year, unnest(generate_series(CAST(period_start AS DATE), CAST(period_end AS DATE), INTERVAL 1 DAY)) AS d
              FROM periods WHERE period_start <= period_end), range(0, 24) AS hours(h)""",
     _SPLIT,
 )
