@@ -7,6 +7,7 @@ variable.  Everything but the spatial derivatives is a row-wise expression.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempestry.functions.geo import known
 from tempestry.schema import GRID_COORDS
 
 # Fixed values of the humidity and temperature formulas.

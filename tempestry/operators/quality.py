@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.functions.clock import hours_between
-from tempestry.functions.geo import planar_nm
+from tempestry.functions.geo import known, planar_nm
 from tempestry.functions.intensity import expected_pressure
 from tempestry.operators import ordered
 
