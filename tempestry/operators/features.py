@@ -35,16 +35,18 @@ def track_features(
     use_actual_dt: bool = False,
     order: str = "timestamp",
     block_rows: int = ordered.BLOCK_ROWS,
+    numbered: str | None = None,
 ) -> DataFrame:
     """Motion, acceleration, intensity change, heading and calendar features.
 
     Velocities divide by six hours whatever the spacing of the fixes; with
     ``use_actual_dt`` by the real time between them.  Missing values of numeric
-    columns, the original ones included, become 0.
+    columns, the original ones included, become 0.  ``numbered`` names a dense
+    row number per storm, if there is one.
     """
-    numbered = ordered.with_points(tracks, KEY, order)
-    blocked = ordered.blocks(numbered, before=2, size=block_rows)
-    over = ordered.run_window(KEY)
+    points = ordered.with_points(tracks, KEY, order, numbered)
+    blocked = ordered.blocks(points, ordered.NUMBER, before=2, size=block_rows)
+    over = ordered.run_window(KEY, ordered.NUMBER)
 
     def back(column, rows):
         return F.lag(column, rows).over(over)
@@ -92,8 +94,8 @@ def haversine_steps(
 ) -> DataFrame:
     """Great-circle distance from the previous fix; NULL on the first."""
     numbered = ordered.with_points(tracks, KEY, order)
-    blocked = ordered.blocks(numbered, before=1, size=block_rows)
-    over = ordered.run_window(KEY)
+    blocked = ordered.blocks(numbered, ordered.NUMBER, before=1, size=block_rows)
+    over = ordered.run_window(KEY, ordered.NUMBER)
     rows = blocked.withColumns(
         {"_lat": F.lag("latitude").over(over), "_lon": F.lag("longitude").over(over)}
     )
@@ -155,26 +157,28 @@ def sliding_sequences(
     features: list[str] | None = None,
     order: str = "timestamp",
     block_rows: int = ordered.BLOCK_ROWS,
+    numbered: str | None = None,
 ) -> DataFrame:
     """Every run of ``sequence_length`` input fixes and the targets right after it.
 
     One row per window: storm, 0-based window index, inputs and targets as arrays
-    of feature arrays.  Storms shorter than one window give no row.
+    of feature arrays.  Storms shorter than one window give no row.  ``numbered`` names
+    a dense row number per storm, if there is one.
     """
     wanted = [c for c in (features or SEQUENCE_FEATURES) if c in df.columns]
     if not wanted:
         raise ValueError("none of the feature columns is in the table")
     length = sequence_length + forecast_length
-    numbered = ordered.with_points(df, KEY, order)
-    narrow = numbered.select(
-        *KEY, ordered.POINT, F.array(*[F.col(c).cast("double") for c in wanted]).alias("_features")
+    points = ordered.with_points(df, KEY, order, numbered)
+    narrow = points.select(
+        *KEY, ordered.NUMBER, F.array(*[F.col(c).cast("double") for c in wanted]).alias("_features")
     )
-    blocked = ordered.blocks(narrow, after=length - 1, size=block_rows)
-    ahead = ordered.run_window(KEY).rowsBetween(0, length - 1)
+    blocked = ordered.blocks(narrow, ordered.NUMBER, after=length - 1, size=block_rows)
+    ahead = ordered.run_window(KEY, ordered.NUMBER).rowsBetween(0, length - 1)
     rows = blocked.withColumn("_run", F.collect_list("_features").over(ahead))
     return ordered.settle(rows).filter(F.size("_run") == length).select(
         *KEY,
-        (F.col(ordered.POINT) - 1).alias("window_index"),
+        (F.col(ordered.NUMBER) - 1).alias("window_index"),
         F.slice("_run", 1, sequence_length).alias("inputs"),
         F.slice("_run", sequence_length + 1, forecast_length).alias("targets"),
     )
@@ -205,7 +209,7 @@ def aligned_windows(
     """
     kept = shared_fixes(tracks, sequence_length, forecast_length, order)
     return sliding_sequences(
-        kept, sequence_length, forecast_length, STATE_FEATURES, order, block_rows
+        kept, sequence_length, forecast_length, STATE_FEATURES, order, block_rows, ordered.NUMBER
     )
 
 
@@ -215,4 +219,4 @@ def shared_fixes(
     """Numbered fixes that the shared windows reach; later ones are in no such window."""
     shared = common_window_count(tracks, sequence_length, forecast_length).scalar()
     reach = shared + sequence_length + forecast_length - 1
-    return ordered.with_points(tracks, KEY, order).filter(F.col(ordered.POINT) <= reach)
+    return ordered.with_points(tracks, KEY, order).filter(F.col(ordered.NUMBER) <= reach)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tempestry.functions.clock import micros
 
 POINT = "point"
+NUMBER = "_number"
 BLOCK_ROWS = 1_000_000
 MAX_SLICES = 4096
 MIN_HOT_ROWS = 1_000_000
@@ -217,6 +218,12 @@ def settle(blocked: DataFrame) -> DataFrame:
     return blocked.filter(~F.col(_HALO)).drop(_BLOCK, _HALO)
 
 
-def with_points(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The table with a ``point`` column: its own, or numbered in order."""
-    return df if POINT in df.columns else with_position(df, keys, order)
+def with_points(df: DataFrame, keys: list[str], order: str, numbered: str | None = None) -> DataFrame:
+    """The table with the column ``NUMBER``: numbered in order, or a copy of ``numbered``.
+
+    ``numbered`` names a column that numbers each key's rows from 1 without gaps.  No
+    column is taken for such a number by its name.
+    """
+    if numbered:
+        return df.withColumn(NUMBER, F.col(numbered))
+    return with_position(df, keys, order, name=NUMBER)

@@ -107,8 +107,8 @@ def track_checks(
     rows = tracks
     if any(rule in STEPWISE_RULES for rule in rules):
         numbered = ordered.with_points(tracks, KEY, order)
-        blocked = ordered.blocks(numbered, before=1, size=block_rows)
-        over = ordered.run_window(KEY)
+        blocked = ordered.blocks(numbered, ordered.NUMBER, before=1, size=block_rows)
+        over = ordered.run_window(KEY, ordered.NUMBER)
         lagged = {f"_prev_{c}": F.lag(c).over(over) for c in [order, "latitude", "longitude"]}
         if has_wind:
             lagged["_prev_wind"] = F.lag("max_wind").over(over)

@@ -57,10 +57,10 @@ def training_sequences(
 ) -> DataFrame:
     """Features, normalised over all storms, cut into windows."""
     numbered = ordered.with_points(tracks, ["storm_id"], order)
-    made = features.track_features(numbered, order=order, block_rows=block_rows)
+    made = features.track_features(numbered, order=order, block_rows=block_rows, numbered=ordered.NUMBER)
     scaled = features.track_zscore(made)
     return features.sliding_sequences(
-        scaled, sequence_length, forecast_length, order=order, block_rows=block_rows
+        scaled, sequence_length, forecast_length, order=order, block_rows=block_rows, numbered=ordered.NUMBER
     )
 
 
@@ -138,7 +138,7 @@ def aligned_windows_patches(
     kept = features.shared_fixes(tracks, sequence_length, forecast_length, order)
     stamped = kept.withColumn("_stamp", micros(F.col(order)).cast("double"))
     windows = features.sliding_sequences(
-        stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_stamp"], order, block_rows
+        stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_stamp"], order, block_rows, ordered.NUMBER
     )
     steps = windows.select("storm_id", "window_index", F.posexplode("inputs").alias("position", "_in"))
     steps = steps.withColumn(

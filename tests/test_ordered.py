@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempestry.operators import features, ordered, quality
+from tempestry.operators.tracks import history_truth_split
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,18 @@ def test_operators_do_not_depend_on_block_size(make_tracks):
     rules = quality.TRACK_RULES + quality.PHYSICS_RULES + ["position_jump"]
     whole, small = (quality.track_checks(tracks, rules, block_rows=n) for n in (10**6, 3))
     assert rows(whole, "storm_id") == rows(small, "storm_id")
+
+
+def test_filtered_tables_are_numbered_anew(make_tracks):
+    """A column named point is data, not a row number, once rows were filtered out."""
+    tracks = make_tracks({"S0": [(10 + i * 0.5, -50 - i, 40 + i, 1000 - i) for i in range(12)]})
+    numbered = ordered.with_position(tracks, ["storm_id"], "timestamp").filter("point > 3 AND point != 7")
+    plain = numbered.drop("point")
+    for make, by in [
+        (lambda t: features.track_features(t), ("storm_id", "timestamp")),
+        (lambda t: features.sliding_sequences(t, 2, 2), ("storm_id", "window_index")),
+        (lambda t: features.aligned_windows(t, 2, 1), ("storm_id", "window_index")),
+        (lambda t: history_truth_split(t, 2, 2), ("storm_id", "timestamp")),
+    ]:
+        assert rows(make(numbered).drop("point"), *by) == rows(make(plain), *by)
+    assert history_truth_split(numbered, 2, 2).count() == 4
