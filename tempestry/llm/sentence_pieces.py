@@ -44,21 +44,24 @@ class PieceEncoder:
                 self.ids[piece] = i
                 self.scores[piece] = -self.library.get_score(i)
         self.unknown = self.library.unk_id()
+        #: Decimal ids.
+        self.digits = list(map(str, vocabulary))
         self.separable = not any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.segments, self.older = {}, {}
 
     def agenda(self, text):
         """Ids of normalised text: merge the best pair first, leftmost among equals."""
-        ids = []
-        for symbol in self.merged_short(text) if len(text) <= SHORT else self.merged_long(text):
-            own = self.ids.get(symbol)
-            if own is not None:
-                ids.append(own)
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in symbol.encode()]
-            else:
-                ids.append(self.unknown)
-        return tuple(ids)
+        symbols = self.merged_short(text) if len(text) <= SHORT else self.merged_long(text)
+        ids = tuple(map(self.ids.get, symbols))
+        if None not in ids:
+            return ids
+        return tuple(chain.from_iterable(map(self.spelled, symbols, ids)))
+
+    def spelled(self, symbol, own):
+        """The ids of one symbol: its own, or its bytes' pieces where it is no piece."""
+        if own is not None:
+            return (own,)
+        return [self.byte_ids[b] for b in symbol.encode()] if self.byte_ids else (self.unknown,)
 
     def merged_short(self, text):
         """The agenda as an array of pair scores, whose first smallest entry is next; quickest for words."""
@@ -195,13 +198,14 @@ def round_trip(text: Column, path: str) -> Column:
 
     def make():
         encoder = piece_encoder(path)
+        digits = encoder.digits.__getitem__
 
         def work(texts):
             rows = []
             for i in range(0, len(texts), 256):
                 found = encoder.encode([t.decode() if t else "" for t in texts[i : i + 256]])
                 for ids, decoded in zip(found, encoder.library.decode(found)):
-                    listed = ",".join(map(str, ids)).encode()
+                    listed = ",".join(map(digits, ids)).encode()
                     rows.append(
                         {
                             "n_tokens": len(ids),
