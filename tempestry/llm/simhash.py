@@ -207,10 +207,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def classes(prints: DataFrame, id_col="doc_id", distance=DISTANCE) -> DataFrame:
-    """(fp, root, component_id) of a table (id, fp): each fingerprint's component and the smallest id in it."""
+def classes(prints: DataFrame, id_col="doc_id", distance=DISTANCE, edges=None) -> DataFrame:
+    """(fp, root, component_id) of a table (id, fp): each fingerprint's component and the smallest id in it.
+
+    edges: links (u, v) found in another way.
+    """
     groups = prints.groupBy("fp").agg(F.min(id_col).alias("smallest"))
-    roots = components(stored(links(groups.select("fp"), distance), "links"))
+    if edges is None:
+        edges = stored(links(groups.select("fp"), distance), "links")
+    roots = components(edges)
     rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "smallest", F.coalesce("root", "fp").alias("root")
     )
@@ -234,10 +239,16 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", distance=DISTANC
     A null id comes after all others. Among rows of equal id and fingerprint the smallest text stays.
     """
     marked = stored(docs.select(F.struct("*").alias("row"), fingerprint(F.col(text_col)).alias("fp")), "fingerprinted")
+    edges = stored(links(marked.select("fp").distinct(), distance), "links")
+    return first_rows(marked, edges, id_col, text_col)
+
+
+def first_rows(marked: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of a table (row, fp), the rows with the smallest id of each component of the links (u, v)."""
     prints = marked.select(F.col(f"row.{id_col}").alias("id"), "fp")
     key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
     first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "fp")).alias("first")
-    kept = prints.distinct().join(classes(prints, "id", distance), "fp").groupBy("root").agg(first)
+    kept = prints.distinct().join(classes(prints, "id", edges=edges), "fp").groupBy("root").agg(first)
     kept = kept.select("first.*").select(key, "fp", F.col("id").alias("kept_id"))
     rows = marked.select(F.col(f"row.{id_col}").alias("id"), "fp", "row").select(key, "id", "fp", "row")
     found = rows.join(kept, ["key", "fp"]).where(F.col("id").eqNullSafe(F.col("kept_id")))
