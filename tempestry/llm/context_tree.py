@@ -6,8 +6,8 @@ of its own estimate and its children's product. The trees are built from all tra
 with: the probability of a byte is the mixture over all depths along its context path. A text is its bytes with
 A to Z in lower case and one end byte (0); before it stand zero bytes as context. Null texts count as empty.
 
-How it is spread out: texts are hashed by id into blocks of bounded size. A block's different contexts-with-byte
-and words, with their training counts, go in packed sorted runs to buckets (by the last two context bytes, or
+How it is spread out: texts are hashed with their ids into blocks of about equal size; only repeated rows
+of equal id and text must share one. A block's different contexts-with-byte and words, with their training counts, go in packed sorted runs to buckets (by the last two context bytes, or
 the word). A bucket holds whole subtrees, so it builds its part of the trees; only the nodes of the last byte
 and the root, at most 257 * 255, pass through the driver. Each bucket then answers every block's entries with
 their log-probability, and blocks score their texts from the answers. What is gathered grows with the corpus.
@@ -291,6 +291,11 @@ def by_bucket(batches):
         yield kind, list(rows)
 
 
+def block_of(id_column: Column, text: Column, blocks: int) -> Column:
+    """The block of a row. The text takes part: rows of one id, or without one, would fill a block."""
+    return F.pmod(F.xxhash64(F.coalesce(id_column.cast("string"), F.lit("")), text), F.lit(blocks)).cast("int")
+
+
 def score_texts(
     docs: DataFrame, training: Column, id_col="doc_id", text_col="text", depth=DEPTH, block_bytes=BLOCK_BYTES
 ) -> DataFrame:
@@ -307,8 +312,7 @@ def score_texts(
     size = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 1
     blocks = max(1, -(-size // block_bytes))
     buckets = min(max(shuffle_partitions(spark), 4), 2048)
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(blocks)).cast("int")
-    rows = rows.withColumn("block", block)
+    rows = rows.withColumn("block", block_of(F.col("id"), F.col("text"), blocks))
     width = min(blocks, 4 * shuffle_partitions(spark))
     ordered = rows.select("block", "training", "text").repartition(width, "block").sortWithinPartitions("block")
     parts = stored(ordered.mapInArrow(collect_parts(buckets), PART), "context-parts")

@@ -200,6 +200,14 @@ def test_context_tree_equals_brute_force(spark):
         assert r.score == pytest.approx(scores[i], abs=1e-6)
 
 
+def test_no_id_fills_a_block_of_the_context_tree(spark):
+    rng = random.Random(3)
+    df = docs(spark, [words(rng, 5) for _ in range(200)], [None] * 100 + [7] * 100)
+    block = context_tree.block_of(F.col("doc_id"), F.col("text").cast("binary"), 10).alias("block")
+    sizes = df.groupBy("doc_id", block).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 30
+
+
 def test_context_tree_without_training_or_rows(spark):
     df = docs(spark, ["ab", None])
     got = {r.doc_id: r.score for r in context_tree.score_texts(df, F.lit(False)).collect()}
