@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import byte_bpe, language_id, near_copies, packing, quality, secret_scan
+from tempestry.llm import byte_bpe, language_id, packing, quality, secret_scan, simhash
 from tempestry.llm.common import stored, table
 
 #: The least probability of the predicted language.
@@ -33,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles of similarity 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near-duplicates: SimHash fingerprints of four-word shingles, at most 4 bits apart."""
+    return simhash.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
