@@ -1,10 +1,11 @@
 """Helpers shared by the corpus operators: Arrow functions over text columns and tables in the shared folder."""
 
+import json
 import uuid
 from typing import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of bytes outside ASCII white space, which is what bytes.split() cuts at.
@@ -37,6 +38,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with `place` (from 0, by `order`) of each row among the rows of its keys, their number `total`, and `first`.
+
+    `first` is the same number for all rows of equal keys and rises with the keys. Rows are range-partitioned on keys
+    and order, sorted and written to the shared folder once; the rest are counts per partition and key. So rows of
+    one key spread over many tasks, provided that `order` ends in a column that tells rows apart. Ranges are found in a
+    pass of their own: df should be cheap to read. Nulls come first; null keys are a key like any other.
+    """
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    ranges = df.repartitionByRange(shuffle_partitions(df.sparkSession), *by).sortWithinPartitions(*by)
+    # Numbers of rows begin anew in each partition, whose own number is above the lowest 33 bits.
+    placed = stored(ranges.withColumn("_at", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_begin"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        F.col("_part").alias("_own"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_begin")).alias("_shift"),
+        F.sum("_rows").over(whole).alias("total"),
+        F.min("_begin").over(whole).alias("first"),
+    )
+    same = F.col("_part") == F.col("_own")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    found = placed.join(parts, same)
+    return found.select(*df.columns, (F.col("_at") + F.col("_shift")).alias("place"), "total", "first")
+
+
+def local_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from the driver's own rows, as an expression: no Python runs on the executors."""
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(listed))
+
+
 def text_function(make, returns: str, name: str):
     """A column function over one text column that runs on Arrow batches.
 

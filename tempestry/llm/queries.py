@@ -10,15 +10,19 @@ from tempestry.llm import (
     chat_format,
     context_tree,
     imatch,
+    kd_shards,
     language_id,
+    merkle,
+    oracle_sql,
     packing,
     quality,
+    resample,
     secret_scan,
     sentence_pieces,
     simhash,
     token_counts,
 )
-from tempestry.llm.common import table
+from tempestry.llm.common import crc_bucket, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +117,24 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.kd_shards(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", oracle_sql.UPPER, oracle_sql.LOWER)
+    text = F.when(crc_bucket(F.col("doc_id"), 5) == 0, lowered).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": text})
+
+
 def _either_case(pattern: str) -> str:
     """The rules' patterns spelled for SQL: letters in either case, blanks as \\x20."""
     return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in pattern)
@@ -189,6 +211,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_quality_rules,
         op10_imatch,
+        op11_kd_shards,
+        op12_resample,
+        op13_merkle,
     )
 }
-SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op6_chat_format": CHAT_SQL}
+SQL: dict[str, str] = {
+    "op1_secret_scan": _secret_sql(),
+    "op6_chat_format": CHAT_SQL,
+    "op11_kd_shards": oracle_sql.kd_sql(),
+    "op12_resample": oracle_sql.resample_sql(),
+    "op13_merkle": oracle_sql.merkle_sql(),
+}
