@@ -49,7 +49,8 @@ def id_digest(id_column: Column) -> Column:
 class Search:
     """Where the cut of a node is known to lie: in part `part` of (value, tie, row), between low and high.
 
-    before: bytes of the node's rows below that; known: the earlier parts.
+    before: bytes of the node's rows below that; edge: the highest value of this part that is known to be left; known:
+    the earlier parts.
     """
 
     node: int
@@ -61,6 +62,7 @@ class Search:
     high: float
     part: int = 0
     before: int = 0
+    edge: float = -HIGH
     known: tuple = ()
     cut: tuple | None = None
 
@@ -74,23 +76,22 @@ class Search:
 
     def narrow(self, bins):
         """Looks at the bins, (low, high, bytes, rows) in ascending order, and stays with the one that holds the cut."""
-        edge = -HIGH
         for low, high, size, rows in bins:
             # The first bin that ends beyond the wanted bytes.
             if (self.before + size) * self.shards > self.total * self.left:
                 break
-            self.before, edge = self.before + size, high
+            self.before, self.edge = self.before + size, high
         else:
-            return self.settle(edge)
+            return self.settle(self.edge)
         if self.before * self.shards == self.total * self.left:
-            return self.settle(edge)
+            return self.settle(self.edge)
         if rows == 1 or low == high and self.part == 2:
             # One row: it goes to the side that gets nearer to the wanted bytes.
             nearer = (2 * self.before + size) * self.shards <= 2 * self.total * self.left
-            return self.settle(high if nearer else edge)
+            return self.settle(high if nearer else self.edge)
         if low == high:
             self.known, self.part = (*self.known, low), self.part + 1
-            self.low = self.high = None
+            self.low, self.high, self.edge = None, None, -HIGH
         else:
             self.low, self.high = low, high
 

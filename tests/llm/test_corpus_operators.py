@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tempestry.llm import byte_bpe, chat_format, context_tree, imatch, language_id, near_copies, packing, simhash
+from tempestry.llm import byte_bpe, chat_format, context_tree, imatch, language_id, packing, simhash
 
 DOCS = "doc_id bigint, text string, lang string, fingerprint string, block int"
 
@@ -381,49 +381,11 @@ def test_imatch_columns_and_odd_tables(spark):
 # Near-duplicates of the pipeline
 
 
-def plain_sets(texts):
-    parts = [(t or "").lower().split() for t in texts]
-    return [{tuple(p[i : i + 5]) for i in range(max(1, len(p) - 4))} if p else set() for p in parts]
-
-
-def plain_kept(ids, texts):
-    """The smallest id of each component of texts whose five-word shingles have a similarity of 0.8 or more."""
-    sets = plain_sets(texts)
-    parent = list(range(len(sets)))
-
-    def root(x):
-        return x if parent[x] == x else root(parent[x])
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if len(a & b) * 5 >= len(a | b) * 4:
-                one, other = sorted((root(i), root(j)))
-                parent[other] = one
-    groups = {}
-    for i, number in enumerate(ids):
-        groups.setdefault(root(i), []).append(number)
-    return sorted(min(g) for g in groups.values())
-
-
-def changed(rng, text, n):
-    parts = text.split()
-    for _ in range(n):
-        parts[rng.randrange(len(parts))] = "".join(rng.choices("klmno", k=5))
-    return " ".join(parts)
-
-
-@pytest.mark.parametrize("heavy", [3, 16])
-def test_pipeline_drops_near_copies_like_brute_force(spark, monkeypatch, heavy):
-    monkeypatch.setattr(near_copies, "HEAVY", heavy)
-    rng = random.Random(heavy)
-    line = words(rng, 30)
-    texts = [None, "", " \n", "one", "a b c", "A B c"]
-    for size in (6, 40, 200, 400):
-        base = words(rng, size)
-        for _ in range(25):
-            texts.append(changed(rng, base, rng.randint(0, 2 + size // 25)))
-    texts += [f"{line} {words(rng, rng.randint(5, 60))}" for _ in range(30)] + texts[20:40]
+def test_pipeline_drops_near_copies_like_brute_force(spark):
+    rng = random.Random(16)
+    texts = near_texts(rng)
     ids = rng.sample(range(10**6), len(texts))
     kept = corpus_pipeline.near_duplicates(spark, docs(spark, texts, ids), "")
-    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(ids, texts)
+    roots = plain_components([plain_print(t) for t in texts])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({min(i for i, x in zip(ids, roots) if x == r) for r in roots})
     assert corpus_pipeline.near_duplicates(spark, docs(spark, texts, ids).limit(0), "").count() == 0
