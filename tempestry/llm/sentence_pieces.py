@@ -3,10 +3,14 @@
 The agenda merges the pair whose union is the best-scored piece, leftmost first among equals, until no pair is
 a piece; symbols that are no piece become their UTF-8 bytes' pieces, or the unknown piece. Where no piece of the
 vocabulary has a space mark after another character, no merge ever crosses the beginning of a run of space
-marks, so texts are encoded by such segments and recurring segments are remembered. Every new segment of an
-Arrow batch is checked against the sentencepiece library; a difference raises an error.
-
-Null texts count as empty and give no ids. Ids come without begin or end marks and without sampling.
+marks, so texts are encoded by such segments and recurring segments are remembered. New segments of one length run their
+agendas side by side: each step finds the best pair of every segment, merges it and looks up its two new neighbours in
+a table of mergeable pairs. Every new segment of an Arrow batch is checked against the sentencepiece library; a difference
+raises an error.
+
+Null texts count as empty and give no ids. Ids come without begin or end marks and without sampling. Repeated rows
+get equal results and an empty table gives no rows. Very long texts are read whole; a segment that is
+long itself runs a heap. Ties between equally scored pairs go to the leftmost.
 """
 
 import hashlib
@@ -26,7 +30,11 @@ SPACE = "▁"
 SEGMENT_LIMIT = 500_000
 #: Longer segments use a heap.
 SHORT = 48
+#: So many segments of one length at least, and at most at a time, run their agendas together.
+FEW, SIDE_BY_SIDE = 8, 4096
 NEVER = float("inf")
+#: Texts whose new segments are learned together.
+TEXTS = 1024
 
 
 class PieceEncoder:
@@ -48,14 +56,100 @@ class PieceEncoder:
         self.digits = list(map(str, vocabulary))
         self.separable = not any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.segments, self.older = {}, {}
+        self.build_pairs()
+
+    def build_pairs(self):
+        """Symbols by number: pieces first, then characters that only occur inside pieces; and all pairs of symbols that
+        join to a piece, as sorted numbers with their pieces and scores."""
+        letters = sorted(set().union(*self.ids) - self.ids.keys())
+        self.pieces_end = self.library.get_piece_size()
+        number = self.ids | {c: self.pieces_end + i for i, c in enumerate(letters)}
+        self.symbol_text = {i: c for c, i in number.items()}
+        # The last symbol stands for all other characters, which never join.
+        self.other = self.pieces_end + len(letters)
+        self.symbol_count = self.other + 1
+        self.letter_symbol = np.full(0x110000, self.other, dtype=np.int64)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.letter_symbol[ord(c)] = i
+        found = []
+        for piece, own in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = number.get(piece[:cut]), number.get(piece[cut:])
+                if left is not None and right is not None:
+                    found.append((left * self.symbol_count + right, own, self.scores[piece]))
+        found.sort()
+        self.pair_keys = np.array([key for key, _, _ in found] or [-1], dtype=np.int64)
+        self.pair_piece = np.array([own for _, own, _ in found] or [0], dtype=np.int64)
+        self.pair_score = np.array([score for _, _, score in found] or [NEVER], dtype=np.float64)
+
+    def joined(self, left, right):
+        """(score, piece) of pairs of symbols; the score of a pair that is no piece is NEVER."""
+        keys = left * self.symbol_count + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_score[at], NEVER), self.pair_piece[at]
+
+    def agendas(self, texts):
+        """Ids of many segments, by segment."""
+        found, by_length = {}, {}
+        for text in texts:
+            by_length.setdefault(len(text), []).append(text)
+        for length, group in by_length.items():
+            if length > SHORT or len(group) < FEW:
+                found.update((text, self.agenda(text)) for text in group)
+                continue
+            for i in range(0, len(group), SIDE_BY_SIDE):
+                self.agendas_alike(group[i : i + SIDE_BY_SIDE], length, found)
+        return found
+
+    def agendas_alike(self, group, length, found):
+        """Runs the agendas of segments of one length together: with each step every one still open is a symbol shorter."""
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(group), length)
+        who, symbols = np.arange(len(group)), self.letter_symbol[codes]
+        scores, pieces = self.joined(symbols[:, :-1], symbols[:, 1:])
+        while len(who):
+            width = scores.shape[1]
+            rows = np.arange(len(who))
+            best = scores.argmin(axis=1) if width else np.zeros(len(who), dtype=np.int64)
+            is_open = scores[rows, best] < NEVER if width else np.zeros(len(who), dtype=bool)
+            if not is_open.all():
+                done = [group[i] for i in who[~is_open].tolist()]
+                ended = symbols[~is_open]
+                found.update(zip(done, ended.tolist()))
+                for i in np.flatnonzero((ended >= self.pieces_end).any(axis=1)).tolist():
+                    found[done[i]] = self.spelled_out(done[i], found[done[i]])
+                who, symbols, scores, pieces, best = who[is_open], symbols[is_open], scores[is_open], pieces[is_open], best[is_open]
+                rows = np.arange(len(who))
+                if not len(who):
+                    return
+            symbols[rows, best] = pieces[rows, best]
+            keep = np.ones(symbols.shape, dtype=bool)
+            keep[rows, best + 1] = False
+            symbols = symbols[keep].reshape(len(who), width)
+            keep = np.ones(scores.shape, dtype=bool)
+            keep[rows, best] = False
+            scores, pieces = (x[keep].reshape(len(who), width - 1) for x in (scores, pieces))
+            for shift in (-1, 0):
+                at = best + shift
+                hit = np.flatnonzero((at >= 0) & (at < width - 1))
+                place = at[hit]
+                scores[hit, place], pieces[hit, place] = self.joined(symbols[hit, place], symbols[hit, place + 1])
+
+    def spelled_out(self, text, symbols):
+        """Ids of symbols some of which are no pieces; the characters of `text` that have no number stand in their order."""
+        others = (c for c in text if self.letter_symbol[ord(c)] == self.other)
+        ids = []
+        for s in symbols:
+            ids += (s,) if s < self.pieces_end else self.spelled(next(others) if s == self.other else self.symbol_text[s], None)
+        return ids
 
     def agenda(self, text):
         """Ids of normalised text: merge the best pair first, leftmost among equals."""
         symbols = self.merged_short(text) if len(text) <= SHORT else self.merged_long(text)
-        ids = tuple(map(self.ids.get, symbols))
+        ids = list(map(self.ids.get, symbols))
         if None not in ids:
             return ids
-        return tuple(chain.from_iterable(map(self.spelled, symbols, ids)))
+        return list(chain.from_iterable(map(self.spelled, symbols, ids)))
 
     def spelled(self, symbol, own):
         """The ids of one symbol: its own, or its bytes' pieces where it is no piece."""
@@ -125,18 +219,20 @@ class PieceEncoder:
         if not fresh:
             return
         raw = [s.removeprefix(SPACE).replace(SPACE, " ") for s in fresh]
+        found = self.agendas(fresh)
         for segment, text, theirs in zip(fresh, raw, self.library.encode(raw, num_threads=1)):
-            own = self.agenda(segment)
-            if list(own) != theirs and self.library.normalize(text) == segment:
+            own = found[segment]
+            if own != theirs and self.library.normalize(text) == segment:
                 raise ValueError(f"agenda and library differ on {segment!r}: {own} and {theirs}")
-            self.segments[segment] = own
+            # Tuples of numbers, unlike lists, are no burden to the garbage collector.
+            self.segments[segment] = tuple(own)
 
     def encode(self, texts):
         """Ids of each text of an Arrow batch."""
         rows = [self.cut(t) if t else [] for t in (self.library.normalize(t) if t else "" for t in texts)]
         out = []
-        for i in range(0, len(rows), 256):
-            some = rows[i : i + 256]
+        for i in range(0, len(rows), TEXTS):
+            some = rows[i : i + TEXTS]
             if len(self.segments) > SEGMENT_LIMIT:
                 # What has not been asked for lately is forgotten.
                 self.older, self.segments = self.segments, {}
@@ -202,8 +298,8 @@ def round_trip(text: Column, path: str) -> Column:
 
         def work(texts):
             rows = []
-            for i in range(0, len(texts), 256):
-                found = encoder.encode([t.decode() if t else "" for t in texts[i : i + 256]])
+            for i in range(0, len(texts), TEXTS):
+                found = encoder.encode([t.decode() if t else "" for t in texts[i : i + TEXTS]])
                 for ids, decoded in zip(found, encoder.library.decode(found)):
                     listed = ",".join(map(digits, ids)).encode()
                     rows.append(
