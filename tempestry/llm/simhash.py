@@ -21,7 +21,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm.common import shuffle_partitions, stored, text_function
@@ -236,21 +236,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", distance=
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", distance=DISTANCE) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest id.
 
-    A null id comes after all others. Among rows of equal id and fingerprint the smallest text stays.
+    A null id comes after all others. Among rows of equal id and fingerprint the first of the table stays. Rows are
+    written once, and moved once more with their number alone as the key; which stay is found on narrow tables.
     """
-    marked = stored(docs.select(F.struct("*").alias("row"), fingerprint(F.col(text_col)).alias("fp")), "fingerprinted")
-    edges = stored(links(marked.select("fp").distinct(), distance), "links")
-    return first_rows(marked, edges, id_col, text_col)
-
-
-def first_rows(marked: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of a table (row, fp), the rows with the smallest id of each component of the links (u, v)."""
-    prints = marked.select(F.col(f"row.{id_col}").alias("id"), "fp")
-    key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
-    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "fp")).alias("first")
-    kept = prints.distinct().join(classes(prints, "id", edges=edges), "fp").groupBy("root").agg(first)
-    kept = kept.select("first.*").select(key, "fp", F.col("id").alias("kept_id"))
-    rows = marked.select(F.col(f"row.{id_col}").alias("id"), "fp", "row").select(key, "id", "fp", "row")
-    found = rows.join(kept, ["key", "fp"]).where(F.col("id").eqNullSafe(F.col("kept_id")))
-    order = Window.partitionBy("key", "fp").orderBy(F.col(f"row.{text_col}"))
-    return found.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
+    numbered = [F.struct("*").alias("row"), fingerprint(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("at")]
+    marked = stored(docs.select(*numbered), "fingerprinted")
+    prints = marked.select(F.col(f"row.{id_col}").alias("id"), "fp", "at")
+    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "at")).alias("first")
+    # Copies meet in one row per fingerprint, added up in each task before they are moved.
+    smallest = prints.groupBy("fp").agg(first).join(classes(prints, "id", distance).select("fp", "root"), "fp")
+    kept = smallest.groupBy("root").agg(F.min("first").alias("first")).select("first.at")
+    return marked.join(kept, "at", "left_semi").select("row.*")
