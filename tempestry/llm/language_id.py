@@ -5,11 +5,13 @@ character n-grams that are known, from 5 characters down to 1, with marks at its
 evidence of a few words, gives each language's probability.
 
 The model is fitted on a bounded sample: at most about `sample_per_language` labelled training documents of each
-language, chosen by a hash of their ids, whole texts. So its size does not grow with the corpus and it is sent
+language, chosen by a hash of each row, whole texts. So its size does not grow with the corpus and it is sent
 to the executors whole. Prediction reads every whole text.
 
-Words are runs of letters in lower case. Null texts and texts without a letter give `und` with score 0, as does
-every text when there is no labelled training text. Repeated rows get equal results.
+Words are runs of letters in lower case. Null, empty and other texts without a letter give `und` with score 0, as does
+every text when there is no labelled training text. Of languages equally likely the first by name is given. Null
+and repeated ids are ids like any other: a null id counts as the empty string where rows are held out. Repeated rows get equal results;
+an empty table gives no rows. Very long texts are read whole, as one Arrow value. Extra columns take no part.
 """
 
 import re
@@ -46,12 +48,16 @@ def grams_of(word, n):
 
 
 def training_sample(docs: DataFrame, training: Column, per_language: int) -> DataFrame:
-    """(lang, text): labelled training texts, of each language about per_language by hash of the id at most."""
+    """(lang, text): labelled training texts, of each language about per_language at most.
+
+    Each row is drawn apart, by a hash of its id, its text and its place in the table, so neither rows without an id nor
+    copies are drawn or left out together.
+    """
     labelled = docs.select("doc_id", "lang", "text").where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    hashed = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = labelled.join(F.broadcast(sizes), "lang").where(hashed * F.col("n") < per_language)
-    return chosen.select("lang", "text")
+    hashed = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = labelled.withColumn("drawn", hashed).join(F.broadcast(sizes), "lang")
+    return chosen.where(F.col("drawn") * F.col("n") < per_language).select("lang", "text")
 
 
 def counted(rows: DataFrame, of, columns: str) -> DataFrame:
