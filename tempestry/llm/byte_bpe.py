@@ -6,7 +6,8 @@ chunks encoded apart. A text in which a space precedes white space or the end is
 
 The vocabulary is the tokenizers library's JSON file. Where its ids follow its list of merges, which is checked
 on loading, chunks are encoded by tiktoken's faster core from the same vocabulary; otherwise by the tokenizers
-library itself. Special tokens' strings in a text are ordinary text.
+library itself. A text that holds the string of an added token, which the library gives that token's id, is
+encoded by the library as a whole.
 """
 
 import json
@@ -48,7 +49,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
         self.encode_one = ranked_encoder(path) or self.library_ids
         self.chunks = Chunks(self.encode_one, self.dtype)
@@ -60,6 +61,8 @@ class ByteBpe:
         """Little-endian ids of one text; null counts as empty."""
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return np.array(self.library_ids(text), dtype=self.dtype).tobytes()
         first, *rest = text.split(" ")
         self.chunks.forget()
         try:
