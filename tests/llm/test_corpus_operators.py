@@ -389,3 +389,13 @@ def test_pipeline_drops_near_copies_like_brute_force(spark):
     roots = plain_components([plain_print(t) for t in texts])
     assert sorted(r.doc_id for r in kept.collect()) == sorted({min(i for i, x in zip(ids, roots) if x == r) for r in roots})
     assert corpus_pipeline.near_duplicates(spark, docs(spark, texts, ids).limit(0), "").count() == 0
+
+
+def test_language_sample_draws_rows_apart(spark):
+    """Missing ids, one hot id and copies are drawn like any other rows, and about as many as the bound says."""
+    texts = ["the same text"] * 1500 + [f"text number {i}" for i in range(1500)]
+    for ids in ([None] * 3000, [7] * 3000, list(range(3000))):
+        df = docs(spark, texts, ids, ["en"] * 2000 + ["de"] * 1000)
+        got = language_id.training_sample(df, F.lit(True), 100).groupBy("lang").count().collect()
+        assert {r.lang for r in got} == {"en", "de"} and all(50 <= r["count"] <= 160 for r in got)
+    assert language_id.training_sample(df, F.lit(True), 5000).count() == 3000

@@ -215,3 +215,19 @@ def test_quality_verdicts(spark):
     empty = quality.counted_documents(df.limit(0), keep=["doc_id"])
     verdict = quality.judged(empty, quality.fit_supervision(empty))
     assert empty.select(verdict["kept"]).count() == 0
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|> hi", "a <|endoftext|>", "<|endoftext|>", "x<|endoftext|><|endoftext|> y  <|endof", "<|endof text|>"])
+def test_added_tokens_get_the_ids_of_an_untouched_tokenizer(bpe, text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(byte_bpe.default_path())
+    assert np.frombuffer(bpe.encode(text), bpe.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_agendas_side_by_side_equal_single_ones():
+    encoder = sentence_pieces.piece_encoder(sentence_pieces.default_path())
+    rng = random.Random(3)
+    letters = "aeioutnrsléßж日\U0001f600\x01▁Q"
+    segments = list({"▁" + "".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(4000)})
+    assert {k: list(v) for k, v in encoder.agendas(segments).items()} == {s: list(encoder.agenda(s)) for s in segments}
