@@ -90,11 +90,11 @@ def track_features(
 
 
 def haversine_steps(
-    tracks: DataFrame, order: str = "timestamp", block_rows: int = ordered.BLOCK_ROWS
+    tracks: DataFrame, order: str = "timestamp", block_rows: int = ordered.BLOCK_ROWS, numbered: str | None = None
 ) -> DataFrame:
     """Great-circle distance from the previous fix; NULL on the first."""
-    numbered = ordered.with_points(tracks, KEY, order)
-    blocked = ordered.blocks(numbered, ordered.NUMBER, before=1, size=block_rows)
+    points = ordered.with_points(tracks, KEY, order, numbered)
+    blocked = ordered.blocks(points, ordered.NUMBER, before=1, size=block_rows)
     over = ordered.run_window(KEY, ordered.NUMBER)
     rows = blocked.withColumns(
         {"_lat": F.lag("latitude").over(over), "_lon": F.lag("longitude").over(over)}
@@ -200,6 +200,7 @@ def aligned_windows(
     forecast_length: int = 1,
     order: str = "timestamp",
     block_rows: int = ordered.BLOCK_ROWS,
+    numbered: str | None = None,
 ) -> DataFrame:
     """Windows that all storms share, one row per (window index, storm).
 
@@ -207,16 +208,16 @@ def aligned_windows(
     rows: stacking all storms of an index into one value would grow with the
     number of storms.
     """
-    kept = shared_fixes(tracks, sequence_length, forecast_length, order)
+    kept = shared_fixes(tracks, sequence_length, forecast_length, order, numbered)
     return sliding_sequences(
         kept, sequence_length, forecast_length, STATE_FEATURES, order, block_rows, ordered.NUMBER
     )
 
 
 def shared_fixes(
-    tracks: DataFrame, sequence_length: int, forecast_length: int, order: str = "timestamp"
+    tracks: DataFrame, sequence_length: int, forecast_length: int, order: str = "timestamp", numbered: str | None = None
 ) -> DataFrame:
     """Numbered fixes that the shared windows reach; later ones are in no such window."""
     shared = common_window_count(tracks, sequence_length, forecast_length).scalar()
     reach = shared + sequence_length + forecast_length - 1
-    return ordered.with_points(tracks, KEY, order).filter(F.col(ordered.NUMBER) <= reach)
+    return ordered.with_points(tracks, KEY, order, numbered).filter(F.col(ordered.NUMBER) <= reach)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions.clock import add_hours, nearest_step
 from tempestry.functions.geo import wrap_longitude
+from tempestry.operators import axes
 from tempestry.schema import GRID_COORDS
 
 DEFAULT_PATCH = 25.0
@@ -35,20 +36,8 @@ def _tiles(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def box_join(
-    boxes: DataFrame,
-    grid: DataFrame,
-    tile: float,
-    on_times: bool,
-    variables: list[str] | None = None,
-) -> DataFrame:
-    """Cells inside each box, ends included.
-
-    Boxes carry ``lat_min, lat_max, lon_min, lon_max`` and either one ``time``
-    (``on_times``) or a range ``start_time, end_time``.
-    """
-    keep = [v for v in variables if v in grid.columns] if variables else None
-    cells = grid if keep is None else grid.select(*GRID_COORDS, *keep)
+def tiled(boxes: DataFrame, cells: DataFrame, tile: float, on_times: bool):
+    """Boxes repeated for each coarse tile they touch, cells with theirs, the exact bounds and the columns to join on."""
     cells = cells.withColumn("longitude", wrap_longitude(F.col("longitude")))
     cells = cells.withColumns(
         {
@@ -70,6 +59,24 @@ def box_join(
         days = F.sequence(F.to_date("start_time"), F.to_date("end_time"), F.expr("interval 1 day"))
         placed = placed.withColumn("_day", F.explode(days))
         inside = inside & F.col("time").between(F.col("start_time"), F.col("end_time"))
+    return placed, cells, inside, keys
+
+
+def box_join(
+    boxes: DataFrame,
+    grid: DataFrame,
+    tile: float,
+    on_times: bool,
+    variables: list[str] | None = None,
+) -> DataFrame:
+    """Cells inside each box, ends included.
+
+    Boxes carry ``lat_min, lat_max, lon_min, lon_max`` and either one ``time``
+    (``on_times``) or a range ``start_time, end_time``.
+    """
+    keep = [v for v in variables if v in grid.columns] if variables else None
+    cells = grid if keep is None else grid.select(*GRID_COORDS, *keep)
+    placed, cells, inside, keys = tiled(boxes, cells, tile, on_times)
     joined = placed.join(cells, keys).filter(inside)
     return joined.drop("_lat_tile", "_lon_tile", "_day")
 
@@ -87,8 +94,15 @@ def patch_extract(
     result: the fix (storm, timestamp, centre), then the cell.
     """
     at = nearest_step(F.col("timestamp"), step_hours) if step_hours else F.col("timestamp")
+    boxes = patch_boxes(centres, at, patch_size)
+    found = box_join(boxes, grid, patch_size, on_times=True, variables=variables)
+    return found.drop("lat_min", "lat_max", "lon_min", "lon_max")
+
+
+def patch_boxes(centres: DataFrame, at: Column, patch_size: float, keep: list[str] | None = None) -> DataFrame:
+    """Boxes of the fixes at the grid time ``at``; one over the dateline is two rows, east and west of it."""
     half = patch_size / 2
-    boxes = centres.select(
+    return centres.select(
         "storm_id",
         "timestamp",
         at.alias("time"),
@@ -96,10 +110,60 @@ def patch_extract(
         F.col("longitude").alias("centre_longitude"),
         (F.col("latitude") - half).alias("lat_min"),
         (F.col("latitude") + half).alias("lat_max"),
+        *(keep or []),
         F.explode(_spans(F.col("longitude") - half, F.col("longitude") + half)).alias("_span"),
     ).select("*", "_span.*").drop("_span")
-    found = box_join(boxes, grid, patch_size, on_times=True, variables=variables)
-    return found.drop("lat_min", "lat_max", "lon_min", "lon_max")
+
+
+def patch_images(
+    grid: DataFrame,
+    centres: DataFrame,
+    patch_size: float = DEFAULT_PATCH,
+    variables: list[str] | None = None,
+    step_hours: int | None = None,
+) -> DataFrame:
+    """The cells of ``patch_extract`` with their ``row`` (north first) and ``col`` (west first) in the image.
+
+    Numbers count the grid's own latitudes and longitudes from the north-west corner of the box, over the dateline
+    too; ``n_rows`` and ``n_cols`` are those of the whole box, also where the grid lacks cells at that time.
+    """
+    at = nearest_step(F.col("timestamp"), step_hours) if step_hours else F.col("timestamp")
+    half = patch_size / 2
+    keep = variables and [v for v in variables if v in grid.columns]
+    wide = grid if keep is None else grid.select(*GRID_COORDS, *keep)
+    boxes = centres.select("storm_id", "timestamp", "latitude", "longitude").withColumns(
+        {
+            "lat_min": F.col("latitude") - half,
+            "lat_max": F.col("latitude") + half,
+            "west": F.col("longitude") - half,
+            "east": F.col("longitude") + half,
+        }
+    )
+    table = axes.axis_table(grid)
+    placed = axes.box_places(boxes, table).drop("lat_min", "lat_max", "west", "east")
+    kept = patch_boxes(placed, at, patch_size, ["_top", "_left", "_turn", "n_rows", "n_cols"])
+    found = box_join(kept, axes.numbered_cells(wide, table), patch_size, on_times=True)
+    found = found.withColumns(
+        {
+            "row": F.col("_lat_number") - F.col("_top"),
+            "col": F.pmod(F.col("_lon_number") - F.col("_left"), F.col("_turn")),
+        }
+    )
+    return found.drop("lat_min", "lat_max", "lon_min", "lon_max", "_top", "_left", "_turn", "_lat_number", "_lon_number")
+
+
+def fixes_with_cells(
+    grid: DataFrame, centres: DataFrame, patch_size: float = DEFAULT_PATCH, step_hours: int | None = None
+) -> DataFrame:
+    """(storm_id, timestamp) of the fixes whose patch has a cell; only the grid's coordinates are read."""
+    at = nearest_step(F.col("timestamp"), step_hours) if step_hours else F.col("timestamp")
+    boxes = patch_boxes(centres, at, patch_size)
+    placed, cells, inside, keys = tiled(boxes, grid.select(*GRID_COORDS), patch_size, on_times=True)
+    cells = cells.withColumnsRenamed({k: f"_cell_{k}" for k in keys})
+    same = inside
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_cell_{k}"))
+    return placed.join(cells, same, "left_semi").select("storm_id", "timestamp").distinct()
 
 
 def storm_boxes(

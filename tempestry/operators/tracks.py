@@ -39,9 +39,10 @@ def storms_by_name(tracks: DataFrame, name: str) -> DataFrame:
     )
 
 
-def storm_catalog(tracks: DataFrame, order: str = "timestamp") -> DataFrame:
-    """Storm id and the name on its first row."""
-    return tracks.groupBy("storm_id").agg(F.min_by("name", order).alias("name"))
+def storm_catalog(tracks: DataFrame, order: str | list[str] = "timestamp") -> DataFrame:
+    """Storm id and the name on its first row; ``["file", "line_no"]`` makes that the first row in file order."""
+    first = F.struct(*order) if isinstance(order, list) else F.col(order)
+    return tracks.groupBy("storm_id").agg(F.min_by("name", first).alias("name"))
 
 
 def recent_storms(catalog: DataFrame, since_year: int, count: int = 10) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tempestry.functions.clock import from_micros, micros
 from tempestry.operators import features, ordered, patches
-from tempestry.sources.tiles import TILE_SOURCES, corner_tiles, tile_placeholders
+from tempestry.sources.tiles import corner_tiles, tile_placeholders
 
 SOURCES = ("best_track", "arrays")
 FIELD_CHANNELS = ["u10", "v10", "msl", "sst"]
+#: Columns of tiles that are no channels.
+TILE_KEYS = ["storm_id", "time", "latitude", "longitude", "row", "col"]
 
 
 @dataclass
@@ -64,27 +66,12 @@ def training_sequences(
     )
 
 
-def cell_numbers(patch: DataFrame) -> DataFrame:
-    """Row (north to south) and column (west to east) of each cell of its patch.
-
-    A group is one fix, that is the cells of one patch.
-    """
-    per_fix = Window.partitionBy("storm_id", "timestamp")
-    return patch.withColumns(
-        {
-            "row": F.dense_rank().over(per_fix.orderBy(F.col("latitude").desc())) - 1,
-            "col": F.dense_rank().over(per_fix.orderBy("longitude")) - 1,
-        }
-    )
-
-
-def tile_quarters(numbered: DataFrame) -> DataFrame:
-    """Row and column of the 2 x 2 tile cell nearest to each cell of its patch."""
-    whole = Window.partitionBy("storm_id", "timestamp")
-    return numbered.withColumns(
+def tile_cells(images: DataFrame, rows: int = 2, cols: int = 2) -> DataFrame:
+    """Row and column of the tile cell that each cell of an image lies in, tiles having ``rows`` x ``cols`` cells."""
+    return images.withColumns(
         {
-            "tile_row": (F.col("row") * 2 > F.max("row").over(whole)).cast("int"),
-            "tile_col": (F.col("col") * 2 > F.max("col").over(whole)).cast("int"),
+            "tile_row": F.floor(F.col("row") * rows / F.col("n_rows")).cast("int"),
+            "tile_col": F.floor(F.col("col") * cols / F.col("n_cols")).cast("int"),
         }
     )
 
@@ -96,25 +83,30 @@ def patch_channels(
     patch_size: float = patches.DEFAULT_PATCH,
     channels: list[str] | None = None,
     fixes: DataFrame | None = None,
+    tiles: DataFrame | None = None,
+    tile_shape: tuple[int, int] = (2, 2),
 ) -> DataFrame:
     """Per fix and cell of its patch: tile channels, then field channels.
 
-    Tiles are 2 x 2: every field cell takes the tile cell of its quarter of the patch.
+    Rows count from the north and columns from the west edge of the patch, over the dateline too.  Every field
+    cell takes the tile cell that covers its part of the patch.
     Both sides are matched by the fix's own timestamp, not by their place in time.
-    ``fixes`` limits the work to some fixes of the tracks.
+    ``fixes`` limits the work to some fixes of the tracks.  ``tiles`` gives images by (storm_id, time, row, col)
+    with one column per channel; without it, tiles are the zero-filled placeholders.
     """
     on = ["storm_id", "timestamp", "row", "col"]
     chosen = channels or FIELD_CHANNELS
     wanted = tracks if fixes is None else fixes
-    cells = patches.patch_extract(grid, wanted, patch_size, chosen, step_hours)
+    cells = patches.patch_images(grid, wanted, patch_size, chosen, step_hours)
     quarter = ["storm_id", "timestamp", "tile_row", "tile_col"]
-    numbered = tile_quarters(cell_numbers(cells))
+    numbered = tile_cells(cells, *tile_shape)
     present = [c for c in chosen if c in grid.columns]
     fields = patches.as_channels(numbered, present, [*on, "tile_row", "tile_col"])
-    tiles = corner_tiles(tracks, patch_size, fixes=fixes).withColumnsRenamed(
-        {"time": "timestamp", "row": "tile_row", "col": "tile_col"}
-    )
-    return patches.channel_concat(patches.as_channels(tiles, TILE_SOURCES, quarter), fields, quarter, keep=on)
+    if tiles is None:
+        tiles = corner_tiles(tracks, patch_size, fixes=fixes)
+    sources = [c for c in tiles.columns if c not in TILE_KEYS]
+    tiles = tiles.withColumnsRenamed({"time": "timestamp", "row": "tile_row", "col": "tile_col"})
+    return patches.channel_concat(patches.as_channels(tiles, sources, quarter), fields, quarter, keep=on)
 
 
 def aligned_windows_patches(
@@ -126,16 +118,19 @@ def aligned_windows_patches(
     patch_size: float = patches.DEFAULT_PATCH,
     order: str = "timestamp",
     block_rows: int = ordered.BLOCK_ROWS,
+    tiles: DataFrame | None = None,
+    tile_shape: tuple[int, int] = (2, 2),
+    numbered: str | None = None,
 ) -> DataFrame:
     """Shared windows with the channels of each input fix.
 
     One row per (window index, storm, input position, cell).  A position whose fix
     has no cells stays as one row with NULL channels, and ``complete`` tells whether
-    every position of the window has some.  Windows refer to
+    every position of the window has some; it is known per position, before cells are joined.  Windows refer to
     fixes by timestamp, so channels join on (storm, timestamp) and no image is
     copied before the join.
     """
-    kept = features.shared_fixes(tracks, sequence_length, forecast_length, order)
+    kept = features.shared_fixes(tracks, sequence_length, forecast_length, order, numbered)
     stamped = kept.withColumn("_stamp", micros(F.col(order)).cast("double"))
     windows = features.sliding_sequences(
         stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_stamp"], order, block_rows, ordered.NUMBER
@@ -145,7 +140,9 @@ def aligned_windows_patches(
         "timestamp",
         from_micros(F.element_at("_in", -1).cast("long")),
     ).withColumn("state", F.slice("_in", 1, len(features.STATE_FEATURES))).drop("_in")
-    images = patch_channels(tracks, grid, step_hours, patch_size, fixes=kept)
-    shown = steps.join(images, ["storm_id", "timestamp"], "left")
+    shown = patches.fixes_with_cells(grid, kept, patch_size, step_hours).withColumn("_shown", F.lit(True))
     window = Window.partitionBy("storm_id", "window_index")
-    return shown.withColumn("complete", F.min(F.col("channels").isNotNull()).over(window))
+    steps = steps.join(shown, ["storm_id", "timestamp"], "left")
+    steps = steps.withColumn("complete", F.min(F.col("_shown").isNotNull()).over(window)).drop("_shown")
+    images = patch_channels(tracks, grid, step_hours, patch_size, fixes=kept, tiles=tiles, tile_shape=tile_shape)
+    return steps.join(images, ["storm_id", "timestamp"], "left")

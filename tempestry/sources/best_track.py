@@ -2,14 +2,24 @@
 
 Files are read as splittable lines, so one very large archive is spread over
 tasks like any other text.  A split may start in the middle of a storm; the
-header it needs is the last one of an earlier split of the file.  Only those last
-headers (one row per file split) are ordered per file, never the lines.
+header it needs is the last one of an earlier split of the file.
+
+``read_best_track`` reads the text once, a split at a time: the pass carries the last
+header along, decodes the lines and ends each split with one summary row, its last header and
+its number of lines.  A prefix scan over the summaries gives the header that a split's first lines inherit
+and the number of its first line.  Lines are never exchanged between tasks or sorted.
 """
 
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempestry.schema import TRACK_SCHEMA
+from tempestry.sources.staging import staged
 
 # Fixed values of the format.
 HEADER_PATTERN = r"^[A-Z]{2}\d{6},"
@@ -29,7 +39,106 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_best_track(spark: SparkSession, path: str, **options) -> DataFrame:
-    return parse_lines(read_lines(spark, path), **options)
+    """Track table of the files at a path; see ``scan_lines`` for the options."""
+    return scan_lines(read_lines(spark, path), **options)
+
+
+# -- one pass over splits ------------------------------------------------------------------------
+
+SCANNED = "file string, block bigint, kind string, number bigint, _storm string, value string"
+
+
+class SplitScan:
+    """Carries the last header and the line count of a split from one Arrow batch to the next."""
+
+    def __init__(self, header_pattern: str):
+        self.pattern = header_pattern
+        self.split, self.header, self.count = None, None, 0
+
+    def summary(self) -> list[tuple]:
+        """The row that ends a split: its number of lines and its last header."""
+        return [] if self.split is None else [(*self.split, "split", self.count, self.header, None)]
+
+    def part(self, split: tuple, lines: pa.Array) -> Iterator[tuple]:
+        """Rows of consecutive lines of one split: fixes under their header, those before any header as orphans."""
+        if split != self.split:
+            yield from self.summary()
+            self.split, self.header, self.count = split, None, 0
+        text = pc.utf8_trim_whitespace(lines)
+        is_header = pc.match_substring_regex(text, self.pattern).to_numpy(zero_copy_only=False).astype(bool)
+        filled = pc.not_equal(text, "").to_numpy(zero_copy_only=False).astype(bool)
+        values = text.to_pylist()
+        # the number of the header above each line, -1 where it stands in an earlier batch
+        above = np.maximum.accumulate(np.where(is_header, np.arange(len(values)), -1)) if values else np.empty(0, int)
+        for i in np.flatnonzero(filled & ~is_header):
+            header = self.header if above[i] < 0 else values[above[i]]
+            yield (*split, "orphan" if header is None else "fix", self.count + int(i), header, values[i])
+        if len(above) and above[-1] >= 0:
+            self.header = values[above[-1]]
+        self.count += len(values)
+
+
+def scan(batches: Iterator[pa.RecordBatch], header_pattern: str) -> Iterator[pa.RecordBatch]:
+    """Scanned rows of (file, block, value) in order; the rows of a split follow each other."""
+    state = SplitScan(header_pattern)
+    names = [c.split()[0] for c in SCANNED.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+
+    def packed(rows):
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    for batch in batches:
+        files, blocks, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).fill_null("")
+        places = list(zip(files, blocks))
+        begins = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]]
+        rows = []
+        for begin, end in zip(begins, [*begins[1:], len(places)]):
+            rows += state.part(places[begin], lines.slice(begin, end - begin))
+        yield packed(rows)
+    yield packed(state.summary())
+
+
+def scan_lines(
+    lines: DataFrame,
+    header_pattern: str = HEADER_PATTERN,
+    null_wind_sentinel: bool = False,
+    line_numbers: bool = False,
+    folder: str | None = None,
+) -> DataFrame:
+    """Track table from (file, block, value), the lines of a split being together and in order, as files give them.
+
+    The pass is run when this is called and its decoded rows are written to ``folder``, by default the session's shared folder;
+    the result reads them.  ``line_numbers`` adds ``file`` and ``line_no``, the place of a fix in its file from 0.
+    Lines before the first header of a file belong to no storm.
+    """
+
+    def run(batches):
+        return scan(batches, header_pattern)
+
+    scanned = lines.select("file", F.col("block").cast("long").alias("block"), "value").mapInArrow(run, SCANNED)
+    table = staged(decode_fixes(scanned, null_wind_sentinel, ["file", "block", "number", "_storm", "kind"]), "best-track", ["kind"], folder)
+
+    # one row per split of a file: its size is the text's divided by 128 MB
+    splits = table.where("kind = 'split'").select("file", "block", F.col("number").alias("_lines"), "_storm")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select(
+        "file",
+        "block",
+        F.last("_storm", ignorenulls=True).over(earlier).alias("_inherited"),
+        F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_first"),
+    )
+    own = [f.name for f in TRACK_SCHEMA.fields]
+    orphans = table.where("kind = 'orphan'").join(before, ["file", "block"]).where("_inherited IS NOT NULL")
+    found = table.where("kind = 'fix'")
+    if line_numbers:
+        own += ["file", "line_no"]
+        found = found.join(before, ["file", "block"]).withColumn("line_no", F.col("_first") + F.col("number"))
+        orphans = orphans.withColumn("line_no", F.col("_first") + F.col("number"))
+    return found.select(*own).unionByName(orphans.withColumns(storm_columns("_inherited")).select(*own))
+
+
+# -- lines in any order --------------------------------------------------------------------------
 
 
 def parse_lines(
@@ -37,9 +146,9 @@ def parse_lines(
     header_pattern: str = HEADER_PATTERN,
     null_wind_sentinel: bool = False,
 ) -> DataFrame:
-    """Track table from text lines.
+    """Track table from (file, block, line_no, value) in any order, by a window over each split.
 
-    ``-999`` and empty mean missing for pressure and radii.  A missing wind is
+    For lines that files give in order ``scan_lines`` needs no exchange.  ``-999`` and empty mean missing for pressure and radii.  A missing wind is
     empty; the archive's ``-99`` stays a number unless ``null_wind_sentinel``.
     """
     trimmed = lines.withColumn("value", F.trim("value")).filter(F.col("value") != "")
@@ -88,14 +197,22 @@ def _degrees(text: Column, negative: str) -> Column:
     )
 
 
-def decode_fixes(fixes: DataFrame, null_wind_sentinel: bool = False) -> DataFrame:
-    """Columns from ``value`` (a fix line) and ``_storm`` (its header line).
+def storm_columns(header: str) -> dict[str, Column]:
+    """Id and name from the column of a header line."""
+    head = F.split(header, ",")
+    return {
+        "storm_id": F.trim(F.try_element_at(head, F.lit(1))),
+        "name": F.trim(F.try_element_at(head, F.lit(2))),
+    }
+
+
+def decode_fixes(fixes: DataFrame, null_wind_sentinel: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Columns from ``value`` (a fix line) and ``_storm`` (its header line), and those to ``keep``.
 
     Row-wise expressions only, so this part also runs on a stream of lines.
     """
     parts = F.transform(F.split("value", ","), lambda p: F.trim(p))
-    head = F.transform(F.split("_storm", ","), lambda p: F.trim(p))
-    split = fixes.withColumns({"_parts": parts, "_head": head})
+    split = fixes.withColumn("_parts", parts)
 
     def field(index):
         return F.try_element_at(F.col("_parts"), F.lit(index + 1))
@@ -117,8 +234,7 @@ def decode_fixes(fixes: DataFrame, null_wind_sentinel: bool = False) -> DataFram
     )
     wind = _number(field(6), MISSING_WIND if null_wind_sentinel else None)
     columns = {
-        "storm_id": F.try_element_at(F.col("_head"), F.lit(1)),
-        "name": F.try_element_at(F.col("_head"), F.lit(2)),
+        **storm_columns("_storm"),
         "timestamp": stamp,
         "record_identifier": field(2),
         "storm_type": field(3),
@@ -130,5 +246,5 @@ def decode_fixes(fixes: DataFrame, null_wind_sentinel: bool = False) -> DataFram
     for offset, name in enumerate(RADII):
         columns[name] = _number(field(8 + offset), MISSING)
     return split.select(
-        *[columns[f.name].cast(f.dataType).alias(f.name) for f in TRACK_SCHEMA.fields]
+        *[columns[f.name].cast(f.dataType).alias(f.name) for f in TRACK_SCHEMA.fields], *(keep or [])
     )

@@ -3,7 +3,7 @@
 Every derivation has a twin in ``oracle_sql`` of the same name.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions.clock import add_hours
@@ -179,6 +179,33 @@ def track_text(spark, sf):
     return headers.unionByName(fixes)
 
 
+def in_file_order(lines):
+    """Lines as a scan of files gives them: each split whole in one task and in order, splits in any task."""
+    return lines.repartition("file", "block").sortWithinPartitions("file", "block", "line_no")
+
+
+def renamed_text(spark, sf):
+    """Files of 40 storms each, in which a storm comes twice: later under another name, before the storm's first fixes in time.
+
+    (file, block, line_no, value) as in ``track_text``, five lines to a block; the second header of a storm stands after the fixes
+    of the first part.
+    """
+    rows = numbered_tracks(spark, sf).withColumn("again", (F.col("point") <= 3).cast("int"))
+    file = F.concat(F.lit("F"), F.expr("user_id div 40"))
+    fix = F.concat_ws(
+        ", ", F.date_format("timestamp", "yyyyMMdd"), F.date_format("timestamp", "HHmm"), F.lit(" "), F.col("storm_type"),
+        F.lit("10.0N"), F.lit("20.0W"), F.col("max_wind").cast("long").cast("string"), F.lit("-999"),
+    )
+    place = ["again", "user_id", "point"]
+    fixes = rows.select(file.alias("file"), *place, fix.alias("value"))
+    name = F.concat(F.col("name"), F.when(F.col("again") == 1, F.lit("X")).otherwise(F.lit("")))
+    value = F.concat(F.col("storm_id"), F.lit(", "), name, F.lit(", 0,"))
+    headers = rows.select(file.alias("file"), "again", "user_id", F.lit(0).cast("long").alias("point"), value.alias("value")).distinct()
+    over = Window.partitionBy("file").orderBy(*place)
+    numbered = headers.unionByName(fixes).withColumn("line_no", F.row_number().over(over) - 1)
+    return numbered.select("file", F.floor(F.col("line_no") / 5).alias("block"), "line_no", "value")
+
+
 def storm_arrays(spark, sf):
     """Parallel arrays per storm, in rows of up to 512 fixes, with gaps as in padded archives."""
     event = F.col("event_id")
@@ -231,12 +258,31 @@ def grid(spark, sf):
     )
 
 
+def grid_irregular(spark, sf):
+    """The grid without every fourth time, the others moved by 0 to 4 hours and some minutes."""
+    number = F.floor((F.unix_timestamp(F.col("time").cast("timestamp")) - 1704067200) / (GRID_STEP_HOURS * 3600))
+    moved = add_hours(F.col("time"), number * 7 % 5) + F.make_dt_interval(F.lit(0), F.lit(0), (number * 13 % 47).cast("int"))
+    return grid(spark, sf).where(number % 4 != 1).withColumn("time", moved)
+
+
 def grid_dateline(spark, sf):
     """The grid, and a copy of it moved 110 degrees west over the dateline."""
     base = grid(spark, sf)
     return base.unionByName(base.withColumn("longitude", _westward(F.col("longitude"))))
 
 
+def tiles_dateline(spark, sf):
+    """2 x 2 tiles of the dateline tracks whose four cells all differ."""
+    corners = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col")) for r in (0, 1) for c in (0, 1)])
+    fixes = tracks_dateline(spark, sf).select("storm_id", F.col("timestamp").alias("time"), "max_wind", F.inline(corners))
+    row, col = F.col("row"), F.col("col")
+    return fixes.select(
+        "storm_id", "time", "row", "col",
+        (F.col("max_wind") + row * 100 + col * 10).alias("ir1"),
+        (row * 2 + col - 4).cast("double").alias("ir2"),
+    )
+
+
 def grid_gap(spark, sf):
     """The grid without sea temperatures in its two western columns."""
     return grid(spark, sf).withColumn("sst", F.when(F.col("longitude") >= -75, F.col("sst")))

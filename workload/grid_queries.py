@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tempestry.operators import conservation as cv
 from tempestry.operators import grid as gr
-from tempestry.operators import hooks, patches
+from tempestry.operators import asof, hooks, patches
 from tempestry.operators import quality as dq
 from tempestry.plans import training as tp
 from workload import fixtures as fx
@@ -197,6 +197,34 @@ def _(spark, sf):
     return aligned.select("storm_id", "timestamp", "analysis_time")
 
 
+@Q.add(
+    "nearest_analysis_join",
+    """SELECT storm_id, "timestamp", latitude, arg_min("time", (gap, "time")) AS analysis_time FROM (
+          SELECT t.*, a."time", abs(epoch_us(t."timestamp") - epoch_us(a."time")) AS gap
+          FROM tracks AS t, (SELECT DISTINCT "time" FROM grid_irregular) AS a)
+        GROUP BY storm_id, "timestamp", latitude""",
+)
+def _(spark, sf):
+    return asof.nearest_analysis(fx.tracks(spark, sf), fx.grid_irregular(spark, sf)).select(
+        "storm_id", "timestamp", "latitude", "analysis_time"
+    )
+
+
+@Q.add(
+    "last_analysis_join",
+    """SELECT storm_id, "timestamp", latitude, analysis_time FROM (
+          SELECT storm_id, "timestamp", latitude, max(CASE WHEN a."time" <= t."timestamp"
+            AND t."timestamp" - a."time" <= INTERVAL 9 HOUR THEN a."time" END) AS analysis_time
+          FROM tracks AS t, (SELECT DISTINCT "time" FROM grid_irregular) AS a GROUP BY storm_id, "timestamp", latitude)""",
+)
+def _(spark, sf):
+    times = fx.grid_irregular(spark, sf)
+    found = asof.asof_join(
+        fx.tracks(spark, sf), times, "timestamp", "time", "analysis_time", direction="backward", tolerance_hours=9
+    )
+    return found.select("storm_id", "timestamp", "latitude", "analysis_time")
+
+
 def _inside(half):
     """Box of a fix that may cross the dateline, by brute force."""
     return f"""c.latitude BETWEEN t.latitude - {half} AND t.latitude + {half} AND (
@@ -337,6 +365,40 @@ def _(spark, sf):
     )
 
 
+#: By brute force: columns in the order of their distance east of the patch's west edge.
+_DATELINE_CHANNELS = {
+    "fixes_dateline": f"SELECT *, {_SNAP} AS at FROM tracks_dateline",
+    "patch_dateline": f"""
+        SELECT t.storm_id, t."timestamp", t.max_wind, c.u10, c.msl,
+          dense_rank() OVER (PARTITION BY t.storm_id, t."timestamp" ORDER BY c.latitude DESC) - 1 AS row,
+          dense_rank() OVER (PARTITION BY t.storm_id, t."timestamp"
+            ORDER BY (c.longitude - (t.longitude - 12.5e0) + 720e0) % 360e0) - 1 AS col
+        FROM fixes_dateline AS t JOIN grid_dateline AS c ON c."time" = t.at AND {_inside("12.5e0")}""",
+    "quartered_dateline": """
+        SELECT *, CASE WHEN row * 2 > max(row) OVER w THEN 1 ELSE 0 END AS tr, CASE WHEN col * 2 > max(col) OVER w THEN 1 ELSE 0 END AS tc
+        FROM patch_dateline WINDOW w AS (PARTITION BY storm_id, "timestamp")""",
+    "joined_dateline": """
+        SELECT storm_id, "timestamp", row, col,
+          unnest([CAST(CAST(max_wind + tr * 100 + tc * 10 AS FLOAT) AS DOUBLE), tr * 2e0 + tc - 4,
+            CAST(CAST(u10 AS FLOAT) AS DOUBLE), CAST(CAST(msl AS FLOAT) AS DOUBLE)]) AS value, unnest(range(0, 4)) AS channel
+        FROM quartered_dateline""",
+}
+
+
+@Q.add(
+    "channel_concat_dateline",
+    f"""SELECT storm_id, "timestamp", row, col, channel, {r("value", digits=4)} FROM joined_dateline""",
+    _DATELINE_CHANNELS,
+    digits=4,
+)
+def _(spark, sf):
+    packed = tp.patch_channels(
+        fx.tracks_dateline(spark, sf), fx.grid_dateline(spark, sf), fx.GRID_STEP_HOURS, channels=["u10", "msl"],
+        tiles=fx.tiles_dateline(spark, sf),
+    )
+    return packed.select("storm_id", "timestamp", "row", "col", F.posexplode("channels").alias("channel", "value"))
+
+
 # -- conservation ------------------------------------------------------------------------------
 
 

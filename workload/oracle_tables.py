@@ -73,6 +73,10 @@ TABLES = {
         SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST({GRID_STEP_HOURS} * tix AS INTEGER)) AS "time",
           45e0 - 5e0 * (pos // 8) AS latitude, -95e0 + 10e0 * (pos % 8) AS longitude, {_fields}
         FROM cells GROUP BY 1, 2, 3""",
+    "grid_irregular": f"""
+        SELECT * REPLACE ("time" + to_hours(CAST(i * 7 % 5 AS INTEGER)) + to_minutes(CAST(i * 13 % 47 AS INTEGER)) AS "time")
+        FROM (SELECT *, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', "time") AS BIGINT) // {GRID_STEP_HOURS} AS i FROM grid)
+        WHERE i % 4 <> 1""",
     "grid_dateline": """
         SELECT * FROM grid UNION ALL
         SELECT * REPLACE (CASE WHEN longitude - 110 < -180 THEN longitude - 110 + 360 ELSE longitude - 110 END AS longitude)

@@ -26,7 +26,7 @@ FROM base_tracks"""
 
 @Q.add("track_text_parse", _TEXT.format(pressure="round(min_pressure)"))
 def _(spark, sf):
-    return best_track.parse_lines(fx.track_text(spark, sf), r"^[A-Z]{2}\d{6,},")
+    return best_track.scan_lines(fx.in_file_order(fx.track_text(spark, sf)), r"^[A-Z]{2}\d{6,},")
 
 
 @Q.add(
@@ -170,6 +170,38 @@ def _(spark, sf):
     return tr.storms_by_name(fx.tracks(spark, sf), "storm7")
 
 
+_FILE_ORDER = {
+    "parts": """
+        SELECT *, CASE WHEN k <= 3 THEN 1 ELSE 0 END AS again, 'F' || CAST(user_id // 40 AS VARCHAR) AS file FROM base_tracks""",
+    "written": """
+        SELECT file, again, user_id, k, storm_id, name || CASE WHEN again = 1 THEN 'X' ELSE '' END AS name, "timestamp" FROM parts
+        UNION ALL SELECT DISTINCT file, again, user_id, 0, storm_id, NULL, NULL FROM parts""",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY file ORDER BY again, user_id, k) - 1 AS line_no FROM written",
+}
+
+
+@Q.add(
+    "catalog_file_order",
+    "SELECT storm_id, arg_min(name, line_no) AS name FROM placed WHERE k > 0 GROUP BY storm_id",
+    _FILE_ORDER,
+)
+def _(spark, sf):
+    lines = fx.in_file_order(fx.renamed_text(spark, sf))
+    parsed = best_track.scan_lines(lines, r"^[A-Z]{2}\d{6,},", line_numbers=True)
+    return tr.storm_catalog(parsed, ["file", "line_no"])
+
+
+@Q.add(
+    "file_line_numbers",
+    """SELECT storm_id, name, date_trunc('minute', "timestamp") AS "timestamp", file, line_no FROM placed WHERE k > 0""",
+    _FILE_ORDER,
+)
+def _(spark, sf):
+    lines = fx.in_file_order(fx.renamed_text(spark, sf))
+    parsed = best_track.scan_lines(lines, r"^[A-Z]{2}\d{6,},", line_numbers=True)
+    return parsed.select("storm_id", "name", "timestamp", "file", "line_no")
+
+
 @Q.add("storm_catalog", 'SELECT storm_id, arg_min(name, "timestamp") AS name FROM tracks GROUP BY storm_id')
 def _(spark, sf):
     return tr.storm_catalog(fx.tracks(spark, sf))
