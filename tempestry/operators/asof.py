@@ -36,16 +36,16 @@ def time_table(times: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
 
     times: (by, _bucket, _fine, _t) distinct; wanted: (by, _bucket, _fine) distinct.
     """
-    place = [*by, "_bucket", "_fine"]
-    held = times.groupBy(*place).agg(F.array_sort(F.collect_list("_t")).alias("_times"))
-    asked = wanted.withColumn("_times", F.lit(None).cast("array<bigint>"))
-    every = held.unionByName(asked).groupBy(*place).agg(F.max("_times").alias("_times"))
-    over = Window.partitionBy(*by).orderBy("_bucket", "_fine")
+    place = [*by, "_tempestry_bucket", "_tempestry_fine"]
+    held = times.groupBy(*place).agg(F.array_sort(F.collect_list("_tempestry_t")).alias("_tempestry_times"))
+    asked = wanted.withColumn("_tempestry_times", F.lit(None).cast("array<bigint>"))
+    every = held.unionByName(asked).groupBy(*place).agg(F.max("_tempestry_times").alias("_tempestry_times"))
+    over = Window.partitionBy(*by).orderBy("_tempestry_bucket", "_tempestry_fine")
     earlier, later = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
     return every.withColumns(
         {
-            "_before": F.max(F.array_max("_times")).over(earlier),
-            "_after": F.min(F.array_min("_times")).over(later),
+            "_tempestry_before": F.max(F.array_max("_tempestry_times")).over(earlier),
+            "_tempestry_after": F.min(F.array_min("_tempestry_times")).over(later),
         }
     )
 
@@ -72,28 +72,28 @@ def asof_join(
         raise ValueError(f"unknown direction: {direction}")
     by = list(by or [])
     width = int(bucket_hours * MICROS_PER_HOUR)
-    bucket = F.floor(F.col("_t") / width)
+    bucket = F.floor(F.col("_tempestry_t") / width)
 
-    known = times.select(*by, micros(F.col(time)).alias("_t")).where("_t IS NOT NULL").distinct().withColumn("_bucket", bucket)
-    crowds = known.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd)
-    crowds = crowds.select(*[F.col(c).alias(f"_c_{c}") for c in by], F.col("_bucket").alias("_c"), finer(F.col("_n"), crowd).alias("_parts"))
+    known = times.select(*by, micros(F.col(time)).alias("_tempestry_t")).where("_tempestry_t IS NOT NULL").distinct().withColumn("_tempestry_bucket", bucket)
+    crowds = known.groupBy(*by, "_tempestry_bucket").agg(F.count(F.lit(1)).alias("_tempestry_n")).where(F.col("_tempestry_n") > crowd)
+    crowds = crowds.select(*[F.col(c).alias(f"_tempestry_c_{c}") for c in by], F.col("_tempestry_bucket").alias("_tempestry_c"), finer(F.col("_tempestry_n"), crowd).alias("_tempestry_parts"))
 
     def placed(df):
         """With the fine bucket of each time; few buckets are crowded, so most rows have part 0."""
-        found = df.join(crowds, same([*by, "_bucket"], [*(f"_c_{c}" for c in by), "_c"]), "left")
-        within = (F.col("_t") - F.col("_bucket") * width) / F.lit(float(width))
-        fine = F.coalesce(F.floor(within * F.col("_parts")), F.lit(0))
-        return found.withColumn("_fine", fine).drop("_c", "_parts", *(f"_c_{c}" for c in by))
+        found = df.join(crowds, same([*by, "_tempestry_bucket"], [*(f"_tempestry_c_{c}" for c in by), "_tempestry_c"]), "left")
+        within = (F.col("_tempestry_t") - F.col("_tempestry_bucket") * width) / F.lit(float(width))
+        fine = F.coalesce(F.floor(within * F.col("_tempestry_parts")), F.lit(0))
+        return found.withColumn("_tempestry_fine", fine).drop("_tempestry_c", "_tempestry_parts", *(f"_tempestry_c_{c}" for c in by))
 
-    asking = placed(rows.select(F.struct("*").alias("_row"), *by, micros(F.col(row_time)).alias("_t")).withColumn("_bucket", bucket))
-    wanted = asking.where("_t IS NOT NULL").select(*by, "_bucket", "_fine").distinct()
+    asking = placed(rows.select(F.struct("*").alias("_tempestry_row"), *by, micros(F.col(row_time)).alias("_tempestry_t")).withColumn("_tempestry_bucket", bucket))
+    wanted = asking.where("_tempestry_t IS NOT NULL").select(*by, "_tempestry_bucket", "_tempestry_fine").distinct()
     table = time_table(placed(known), wanted, by)
-    table = table.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_bucket", "_fine"]], "_before", "_times", "_after")
-    keys = [*by, "_bucket", "_fine"]
-    met = asking.join(table, same(keys, [f"_k_{c}" for c in keys]), "left")
+    table = table.select(*[F.col(c).alias(f"_tempestry_k_{c}") for c in [*by, "_tempestry_bucket", "_tempestry_fine"]], "_tempestry_before", "_tempestry_times", "_tempestry_after")
+    keys = [*by, "_tempestry_bucket", "_tempestry_fine"]
+    met = asking.join(table, same(keys, [f"_tempestry_k_{c}" for c in keys]), "left")
 
-    near = F.concat(F.array("_before"), F.coalesce("_times", F.array().cast("array<bigint>")), F.array("_after"))
-    here = F.col("_t")
+    near = F.concat(F.array("_tempestry_before"), F.coalesce("_tempestry_times", F.array().cast("array<bigint>")), F.array("_tempestry_after"))
+    here = F.col("_tempestry_t")
     if direction == "backward":
         near = F.filter(near, lambda t: t <= here)
     elif direction == "forward":
@@ -102,11 +102,11 @@ def asof_join(
         near = F.filter(near, lambda t: t.isNotNull())
     # compared by distance, then by time: the earlier of two wins
     best = F.array_min(F.transform(near, lambda t: F.struct(F.abs(t - here).alias("gap"), t.alias("t"))))
-    met = met.withColumn("_best", best)
-    chosen = F.col("_best.t")
+    met = met.withColumn("_tempestry_best", best)
+    chosen = F.col("_tempestry_best.t")
     if tolerance_hours is not None:
-        chosen = F.when(F.col("_best.gap") <= int(tolerance_hours * MICROS_PER_HOUR), chosen)
-    return met.select("_row.*", from_micros(chosen).alias(name))
+        chosen = F.when(F.col("_tempestry_best.gap") <= int(tolerance_hours * MICROS_PER_HOUR), chosen)
+    return met.select("_tempestry_row.*", from_micros(chosen).alias(name))
 
 
 def nearest_analysis(tracks: DataFrame, grid: DataFrame, tolerance_hours: float | None = None, **options) -> DataFrame:

@@ -42,12 +42,12 @@ def with_place(df: DataFrame, table: DataFrame, name: str, axis: str, edge: Colu
     For a value of the axis the number is its place, from 0.
     """
     inside = F.greatest(F.least(edge.cast("double"), F.lit(float(HIGH))), F.lit(float(LOW)))
-    own = F.broadcast(table.select(F.col("degree").alias("_degree"), F.col("axes").alias("_axes")))
-    joined = df.drop("_length").withColumn("_edge", inside).join(own, F.floor("_edge") == F.col("_degree"))
-    here = F.col(f"_axes.{axis}")
-    below = (lambda v: v <= F.col("_edge")) if closed else (lambda v: v < F.col("_edge"))
+    own = F.broadcast(table.select(F.col("degree").alias("_tempestry_degree"), F.col("axes").alias("_tempestry_axes")))
+    joined = df.drop("_tempestry_length").withColumn("_tempestry_edge", inside).join(own, F.floor("_tempestry_edge") == F.col("_tempestry_degree"))
+    here = F.col(f"_tempestry_axes.{axis}")
+    below = (lambda v: v <= F.col("_tempestry_edge")) if closed else (lambda v: v < F.col("_tempestry_edge"))
     count = here["before"] + F.size(F.filter(here["values"], below))
-    return joined.withColumns({name: count, "_length": here["length"]}).drop("_edge", "_degree", "_axes")
+    return joined.withColumns({name: count, "_tempestry_length": here["length"]}).drop("_tempestry_edge", "_tempestry_degree", "_tempestry_axes")
 
 
 def box_places(boxes: DataFrame, table: DataFrame) -> DataFrame:
@@ -57,21 +57,21 @@ def box_places(boxes: DataFrame, table: DataFrame) -> DataFrame:
     ``_turn`` is the number of columns once around.
     """
     west, east = wrap_longitude(F.col("west")), wrap_longitude(F.col("east"))
-    placed = with_place(boxes, table, "_top", ROWS, -F.col("lat_max"))
-    placed = with_place(placed, table, "_bottom", ROWS, -F.col("lat_min"), closed=True)
-    placed = with_place(placed, table, "_left", COLS, west)
-    placed = with_place(placed, table, "_right", COLS, east, closed=True).withColumnRenamed("_length", "_turn")
-    width = F.col("_right") - F.col("_left")
+    placed = with_place(boxes, table, "_tempestry_top", ROWS, -F.col("lat_max"))
+    placed = with_place(placed, table, "_tempestry_bottom", ROWS, -F.col("lat_min"), closed=True)
+    placed = with_place(placed, table, "_tempestry_left", COLS, west)
+    placed = with_place(placed, table, "_tempestry_right", COLS, east, closed=True).withColumnRenamed("_tempestry_length", "_tempestry_turn")
+    width = F.col("_tempestry_right") - F.col("_tempestry_left")
     around = F.col("east") - F.col("west") >= 360
     return placed.withColumns(
         {
-            "n_rows": F.greatest(F.col("_bottom") - F.col("_top"), F.lit(0)),
-            "n_cols": F.when(around, F.col("_turn")).when(west >= east, width + F.col("_turn")).otherwise(F.greatest(width, F.lit(0))),
+            "n_rows": F.greatest(F.col("_tempestry_bottom") - F.col("_tempestry_top"), F.lit(0)),
+            "n_cols": F.when(around, F.col("_tempestry_turn")).when(west >= east, width + F.col("_tempestry_turn")).otherwise(F.greatest(width, F.lit(0))),
         }
-    ).drop("_bottom", "_right")
+    ).drop("_tempestry_bottom", "_tempestry_right")
 
 
 def numbered_cells(grid: DataFrame, table: DataFrame) -> DataFrame:
     """The grid with the places ``_lat_number`` and ``_lon_number`` of each cell on the axes."""
-    placed = with_place(grid, table, "_lat_number", ROWS, -F.col("latitude"))
-    return with_place(placed, table, "_lon_number", COLS, wrap_longitude(F.col("longitude"))).drop("_length")
+    placed = with_place(grid, table, "_tempestry_lat_number", ROWS, -F.col("latitude"))
+    return with_place(placed, table, "_tempestry_lon_number", COLS, wrap_longitude(F.col("longitude"))).drop("_tempestry_length")

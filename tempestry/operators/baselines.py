@@ -35,18 +35,18 @@ def recent_motion(
     """
     newest = Window.partitionBy("storm_id").orderBy(F.col(order).desc())
     kept = ["latitude", "longitude", "max_wind", *(carry or [])]
-    last = tracks.withColumn("_age", F.row_number().over(newest)).filter(
-        F.col("_age") <= MOTION_STEPS + 1
+    last = tracks.withColumn("_tempestry_age", F.row_number().over(newest)).filter(
+        F.col("_tempestry_age") <= MOTION_STEPS + 1
     )
     per_storm = last.groupBy("storm_id").agg(
-        F.min_by(F.struct(*kept), "_age").alias("last"),
-        F.max_by(F.struct("latitude", "longitude"), "_age").alias("_first"),
-        (F.count(F.lit(1)) - 1).alias("_moves"),
+        F.min_by(F.struct(*kept), "_tempestry_age").alias("last"),
+        F.max_by(F.struct("latitude", "longitude"), "_tempestry_age").alias("_tempestry_first"),
+        (F.count(F.lit(1)) - 1).alias("_tempestry_moves"),
     )
 
     def mean_move(axis):
-        total = F.col(f"last.{axis}") - F.col(f"_first.{axis}")
-        return F.when(F.col("_moves") > 0, total / F.col("_moves")).otherwise(F.lit(0.0))
+        total = F.col(f"last.{axis}") - F.col(f"_tempestry_first.{axis}")
+        return F.when(F.col("_tempestry_moves") > 0, total / F.col("_tempestry_moves")).otherwise(F.lit(0.0))
 
     return per_storm.select(
         "storm_id",

@@ -20,26 +20,26 @@ def _totals(pairs: DataFrame, by: list[str], totals: dict[str, Column]) -> tuple
     per_field = pairs.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
     if by:
         return pairs.join(per_field, by), {n: F.col(n) for n in totals}
-    rows = pairs.withColumn("_totals", per_field.select(F.struct(*totals)).scalar())
-    return rows.select("*", "_totals.*").drop("_totals"), {n: F.col(n) for n in totals}
+    rows = pairs.withColumn("_tempestry_totals", per_field.select(F.struct(*totals)).scalar())
+    return rows.select("*", "_tempestry_totals.*").drop("_tempestry_totals"), {n: F.col(n) for n in totals}
 
 
 def loss_mse(pairs: DataFrame, pred: str, truth: str, by: list[str] | None = None) -> DataFrame:
     """Mean squared error and its gradient at every cell."""
     diff = F.col(pred) - F.col(truth)
     rows, total = _totals(
-        pairs, by or [], {"_loss": F.avg(diff * diff), "_n": F.count(F.lit(1))}
+        pairs, by or [], {"_tempestry_loss": F.avg(diff * diff), "_tempestry_n": F.count(F.lit(1))}
     )
-    return rows.withColumns({"loss": total["_loss"], "gradient": diff * 2.0 / total["_n"]}).drop(
-        "_loss", "_n"
+    return rows.withColumns({"loss": total["_tempestry_loss"], "gradient": diff * 2.0 / total["_tempestry_n"]}).drop(
+        "_tempestry_loss", "_tempestry_n"
     )
 
 
 def loss_mass(pairs: DataFrame, pred: str, truth: str, by: list[str] | None = None) -> DataFrame:
     """Squared difference of the sums; the gradient is the same in every cell."""
-    rows, total = _totals(pairs, by or [], {"_gap": F.sum(pred) - F.sum(truth)})
-    gap = total["_gap"]
-    return rows.withColumns({"loss": gap * gap, "gradient": gap * 2.0}).drop("_gap")
+    rows, total = _totals(pairs, by or [], {"_tempestry_gap": F.sum(pred) - F.sum(truth)})
+    gap = total["_tempestry_gap"]
+    return rows.withColumns({"loss": gap * gap, "gradient": gap * 2.0}).drop("_tempestry_gap")
 
 
 def loss_momentum(
@@ -53,18 +53,18 @@ def loss_momentum(
         pairs,
         by or [],
         {
-            "_gap_u": F.sum(pred[0]) - F.sum(truth[0]),
-            "_gap_v": F.sum(pred[1]) - F.sum(truth[1]),
+            "_tempestry_gap_u": F.sum(pred[0]) - F.sum(truth[0]),
+            "_tempestry_gap_v": F.sum(pred[1]) - F.sum(truth[1]),
         },
     )
-    gap_u, gap_v = total["_gap_u"], total["_gap_v"]
+    gap_u, gap_v = total["_tempestry_gap_u"], total["_tempestry_gap_v"]
     return rows.withColumns(
         {
             "loss": gap_u * gap_u + gap_v * gap_v,
             "gradient_u": gap_u * 2.0,
             "gradient_v": gap_v * 2.0,
         }
-    ).drop("_gap_u", "_gap_v")
+    ).drop("_tempestry_gap_u", "_tempestry_gap_v")
 
 
 def loss_kinetic(
@@ -81,16 +81,16 @@ def loss_kinetic(
 
     diff = energy(pred) - energy(truth)
     rows, total = _totals(
-        pairs, by or [], {"_loss": F.avg(diff * diff), "_n": F.count(F.lit(1))}
+        pairs, by or [], {"_tempestry_loss": F.avg(diff * diff), "_tempestry_n": F.count(F.lit(1))}
     )
-    slope = diff * 2.0 / total["_n"]
+    slope = diff * 2.0 / total["_tempestry_n"]
     return rows.withColumns(
         {
-            "loss": total["_loss"],
+            "loss": total["_tempestry_loss"],
             "gradient_u": slope * F.col(pred[0]),
             "gradient_v": slope * F.col(pred[1]),
         }
-    ).drop("_loss", "_n")
+    ).drop("_tempestry_loss", "_tempestry_n")
 
 
 def conserved_totals(fields: DataFrame) -> DataFrame:
@@ -117,12 +117,12 @@ def conservation_errors(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Relative errors of the three totals, averaged over time."""
     totals = ["mass", "energy", "vorticity"]
     p = conserved_totals(predicted)
-    t = conserved_totals(truth).withColumnsRenamed({q: f"_true_{q}" for q in totals})
+    t = conserved_totals(truth).withColumnsRenamed({q: f"_tempestry_true_{q}" for q in totals})
     joined = p.join(t, "time")
 
     def error(q):
-        gap = F.abs(F.col(q) - F.col(f"_true_{q}"))
-        return F.avg(F.try_divide(gap, F.abs(F.col(f"_true_{q}")))).alias(f"{q}_error")
+        gap = F.abs(F.col(q) - F.col(f"_tempestry_true_{q}"))
+        return F.avg(F.try_divide(gap, F.abs(F.col(f"_tempestry_true_{q}")))).alias(f"{q}_error")
 
     return joined.agg(*[error(q) for q in totals])
 

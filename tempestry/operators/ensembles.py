@@ -1,8 +1,9 @@
 """Ensemble statistics and probabilistic scores."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempestry.functions.geo import known
 from tempestry.operators import ordered
 
 RELIABILITY_BINS = 10
@@ -14,22 +15,28 @@ def ensemble_mean(members: DataFrame, by: list[str], columns: list[str]) -> Data
 
 
 def ensemble_median(
-    members: DataFrame, by: list[str], columns: list[str], **limits
+    members: DataFrame, by: list[str], columns: list[str], min_rows: int = ordered.MIN_HOT_ROWS
 ) -> DataFrame:
-    """Exact median over members.
+    """Exact median over members; missing and NaN members do not count, and without any there is no row.
 
-    Members are ranked per case and the middle one or two averaged, so no task
-    has to hold all members of a case.
+    Values are exchanged once, by case and value bin (an ordinary case is one bin).  Running sums over the
+    bins' counts tell which bin holds the middle, and only members of that bin are ranked.  So a case that holds a third of
+    all members is never in one task.
     """
-    long = members.unpivot(by, columns, "_variable", "_value").filter(F.col("_value").isNotNull())
-    keys = [*by, "_variable"]
-    ranked = ordered.with_position(long, keys, "_value", name="_rank", **limits)
-    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_members"))
-    lower = F.floor((F.col("_members") + 1) / 2)
-    upper = F.floor((F.col("_members") + 2) / 2)
-    middle = ranked.join(sizes, keys).filter(F.col("_rank").between(lower, upper))
-    return middle.groupBy(*by).agg(
-        *[F.avg(F.when(F.col("_variable") == c, F.col("_value"))).alias(c) for c in columns]
+    clean = members.select(*by, *[known(F.col(c).cast("double")).alias(c) for c in columns])
+    long = clean.unpivot(by, columns, "_tempestry_variable", "_tempestry_value").filter(F.col("_tempestry_value").isNotNull())
+    keys = [*by, "_tempestry_variable"]
+    binned = ordered.spread(ordered.with_bins(long, keys, "_tempestry_value", min_rows), keys)
+    # the lowest value is asked for so that both uses of the exchange read the same columns
+    totals = ordered.bin_totals(binned, keys, _lowest=F.min("_tempestry_value"))
+    lower = F.floor((F.col("_tempestry_rows") + 1) / 2)
+    upper = F.floor((F.col("_tempestry_rows") + 2) / 2)
+    middle = totals.filter((F.col("_tempestry_before") < upper) & (F.col("_tempestry_before") + F.col("_tempestry_in") >= lower))
+    inside = ordered.join_totals(binned, middle.drop("_tempestry_lowest"), keys)
+    rank = F.row_number().over(Window.partitionBy(ordered.HOME, *keys, ordered.BIN).orderBy("_tempestry_value")) + F.col("_tempestry_before")
+    chosen = inside.withColumn("_tempestry_rank", rank).filter(F.col("_tempestry_rank").between(lower, upper))
+    return chosen.groupBy(*by).agg(
+        *[F.avg(F.when(F.col("_tempestry_variable") == c, F.col("_tempestry_value"))).alias(c) for c in columns]
     )
 
 
@@ -45,11 +52,11 @@ def ensemble_blend(
     for name, value in weights.items():
         hit = F.col(member) == name
         weight = F.when(hit, F.lit(value)) if weight is None else weight.when(hit, F.lit(value))
-    weighted = members.withColumn("_weight", weight).filter(F.col("_weight").isNotNull())
+    weighted = members.withColumn("_tempestry_weight", weight).filter(F.col("_tempestry_weight").isNotNull())
     return weighted.groupBy(*by).agg(
         *[
             F.try_divide(
-                F.sum(F.col(c) * F.col("_weight")), F.sum(F.when(F.col(c).isNotNull(), F.col("_weight")))
+                F.sum(F.col(c) * F.col("_tempestry_weight")), F.sum(F.when(F.col(c).isNotNull(), F.col("_tempestry_weight")))
             ).alias(c)
             for c in columns
         ]
@@ -62,23 +69,32 @@ def crps_ensemble(
     case: list[str],
     value: str,
     observed: str,
-    **limits,
+    min_rows: int = ordered.MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Continuous ranked probability score of each case.
+    """Continuous ranked probability score of each case; missing and NaN members do not count.
 
     Mean distance to the observation minus half the mean distance between
     members.  The second term comes from ranks, sum((2i - n - 1) x_i) / n^2, so no
-    pairs of members are formed.
+    pairs of members are formed.  Members are exchanged by case and value bin and ranked within their bin; what a
+    bin adds to the sums over its case follows from the counts of the lower bins, so members of one case meet nowhere.
+    The observation joins the bins' totals first.  A NaN observation is a missing one: the score is missing.
     """
-    narrow = members.select(*case, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
-    truth = observations.select(*case, F.col(observed).alias("_y"))
-    ranked = ordered.with_position(narrow, case, "_x", name="_rank", **limits).join(truth, case)
-    n = F.count("_x")
-    x = F.col("_x")
-    spread = (F.sum(F.col("_rank") * x) * 2.0 - (n + 1) * F.sum(x)) / (n * n)
-    return ranked.groupBy(*case).agg(
-        n.alias("n_members"), (F.avg(F.abs(x - F.col("_y"))) - spread).alias("crps")
+    narrow = members.select(*case, known(F.col(value).cast("double")).alias("_tempestry_x")).filter(F.col("_tempestry_x").isNotNull())
+    truth = observations.select(*case, known(F.col(observed).cast("double")).alias("_tempestry_y"))
+    binned = ordered.spread(ordered.with_bins(narrow, case, "_tempestry_x", min_rows), case)
+    totals = ordered.bin_totals(binned, case, _lowest=F.min("_tempestry_x")).drop("_tempestry_lowest", "_tempestry_in").join(truth, case)
+    placed = ordered.join_totals(binned, totals, case)
+    rank = F.row_number().over(Window.partitionBy(ordered.HOME, *case, ordered.BIN).orderBy("_tempestry_x")) + F.col("_tempestry_before")
+    x = F.col("_tempestry_x")
+    parts = placed.withColumn("_tempestry_rank", rank).groupBy(ordered.HOME, *case, ordered.BIN).agg(
+        F.max("_tempestry_rows").alias("_tempestry_n"),
+        F.sum(F.col("_tempestry_rank") * x).alias("_tempestry_ranked"),
+        F.sum(x).alias("_tempestry_sum"),
+        F.sum(F.abs(x - F.col("_tempestry_y"))).alias("_tempestry_off"),
     )
+    n = F.max("_tempestry_n")
+    spread = (F.sum("_tempestry_ranked") * 2.0 - (n + 1) * F.sum("_tempestry_sum")) / (n * n)
+    return parts.groupBy(*case).agg(n.alias("n_members"), (F.sum("_tempestry_off") / n - spread).alias("crps"))
 
 
 def reliability_curve(

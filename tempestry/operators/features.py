@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.functions.clock import hours_between, temporal_features
-from tempestry.functions.geo import haversine_km
+from tempestry.functions.geo import haversine_km, known
 from tempestry.operators import ordered
 
 FIX_INTERVAL_HOURS = 6.0
@@ -54,10 +54,10 @@ def track_features(
     needed = ["latitude", "longitude"]
     if use_actual_dt:
         needed.append(order)
-    lagged = {f"_{c}_{n}": back(c, n) for c in needed for n in (1, 2)}
+    lagged = {f"_tempestry_{c}_{n}": back(c, n) for c in needed for n in (1, 2)}
     if "max_wind" in tracks.columns:
-        lagged["_max_wind_1"] = back("max_wind", 1)
-        lagged["_min_pressure_1"] = back("min_pressure", 1)
+        lagged["_tempestry_max_wind_1"] = back("max_wind", 1)
+        lagged["_tempestry_min_pressure_1"] = back("min_pressure", 1)
     rows = blocked.withColumns(lagged)
 
     def rate(now, then, t_now, t_then):
@@ -68,17 +68,17 @@ def track_features(
 
     out = {}
     for axis, column in (("lat", "latitude"), ("lon", "longitude")):
-        velocity = rate(column, f"_{column}_1", order, f"_{order}_1")
-        previous = rate(f"_{column}_1", f"_{column}_2", f"_{order}_1", f"_{order}_2")
+        velocity = rate(column, f"_tempestry_{column}_1", order, f"_tempestry_{order}_1")
+        previous = rate(f"_tempestry_{column}_1", f"_tempestry_{column}_2", f"_tempestry_{order}_1", f"_tempestry_{order}_2")
         out[f"{axis}_velocity"] = velocity
         out[f"{axis}_acceleration"] = velocity - previous
     lat_v, lon_v = out["lat_velocity"], out["lon_velocity"]
     out["speed"] = F.sqrt(lat_v * lat_v + lon_v * lon_v)
     out["heading"] = F.degrees(F.atan2(lon_v, lat_v))
     if "max_wind" in tracks.columns:
-        change = F.col("max_wind") - F.col("_max_wind_1")
+        change = F.col("max_wind") - F.col("_tempestry_max_wind_1")
         out["wind_change"] = change
-        out["pressure_change"] = F.col("min_pressure") - F.col("_min_pressure_1")
+        out["pressure_change"] = F.col("min_pressure") - F.col("_tempestry_min_pressure_1")
         out["rapid_intensification"] = F.when(
             change >= RAPID_INTENSIFICATION_KT, F.lit(1.0)
         ).otherwise(F.lit(0.0))
@@ -97,9 +97,9 @@ def haversine_steps(
     blocked = ordered.blocks(points, ordered.NUMBER, before=1, size=block_rows)
     over = ordered.run_window(KEY, ordered.NUMBER)
     rows = blocked.withColumns(
-        {"_lat": F.lag("latitude").over(over), "_lon": F.lag("longitude").over(over)}
+        {"_tempestry_lat": F.lag("latitude").over(over), "_tempestry_lon": F.lag("longitude").over(over)}
     )
-    distance = haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
+    distance = haversine_km(F.col("_tempestry_lat"), F.col("_tempestry_lon"), F.col("latitude"), F.col("longitude"))
     return ordered.settle(rows.withColumn("step_km", distance)).select(*tracks.columns, "step_km")
 
 
@@ -112,11 +112,12 @@ def scaler_columns(df: DataFrame) -> list[str]:
 
 
 def scaler_fit(tracks: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean and population deviation of non-missing values, and the row count."""
+    """Mean and population deviation of values that are neither missing nor NaN, and the row count."""
     stats = [F.count(F.lit(1)).alias("n_rows")]
     for column in scaler_columns(tracks):
-        stats.append(F.avg(column).alias(f"{column}_mean"))
-        stats.append(F.stddev_pop(column).alias(f"{column}_std"))
+        value = known(F.col(column).cast("double"))
+        stats.append(F.avg(value).alias(f"{column}_mean"))
+        stats.append(F.stddev_pop(value).alias(f"{column}_std"))
     return tracks.groupBy(*(by or [])).agg(*stats)
 
 
@@ -124,21 +125,21 @@ def zscore_transform(df: DataFrame, stats: DataFrame, by: list[str] | None = Non
     """Scale with fitted statistics, from the same or from other data.
 
     The population z-score times sqrt((N-1)/N), N being the fitted row count, so
-    that complete data gets a sample deviation of 1.  A constant column gives 0.
+    that complete data gets a sample deviation of 1.  A constant column gives 0, a NaN a missing value.
     """
     if by:
         joined = df.join(stats, by)
         fitted = {c: F.col(c) for c in stats.columns}
     else:
-        joined = df.withColumn("_fitted", stats.select(F.struct("*")).scalar())
-        fitted = {c: F.col(f"_fitted.{c}") for c in stats.columns}
+        joined = df.withColumn("_tempestry_fitted", stats.select(F.struct("*")).scalar())
+        fitted = {c: F.col(f"_tempestry_fitted.{c}") for c in stats.columns}
     n = fitted["n_rows"]
     factor = F.when(n > 1, F.sqrt((n - 1) / n)).otherwise(F.lit(1.0))
     scaled = {}
     for column in scaler_columns(df):
         deviation = fitted[f"{column}_std"]
         divisor = F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)
-        scaled[column] = (F.col(column) - fitted[f"{column}_mean"]) / divisor * factor
+        scaled[column] = (known(F.col(column).cast("double")) - fitted[f"{column}_mean"]) / divisor * factor
     return joined.withColumns(scaled).select(*df.columns)
 
 
@@ -171,16 +172,16 @@ def sliding_sequences(
     length = sequence_length + forecast_length
     points = ordered.with_points(df, KEY, order, numbered)
     narrow = points.select(
-        *KEY, ordered.NUMBER, F.array(*[F.col(c).cast("double") for c in wanted]).alias("_features")
+        *KEY, ordered.NUMBER, F.array(*[F.col(c).cast("double") for c in wanted]).alias("_tempestry_features")
     )
     blocked = ordered.blocks(narrow, ordered.NUMBER, after=length - 1, size=block_rows)
     ahead = ordered.run_window(KEY, ordered.NUMBER).rowsBetween(0, length - 1)
-    rows = blocked.withColumn("_run", F.collect_list("_features").over(ahead))
-    return ordered.settle(rows).filter(F.size("_run") == length).select(
+    rows = blocked.withColumn("_tempestry_run", F.collect_list("_tempestry_features").over(ahead))
+    return ordered.settle(rows).filter(F.size("_tempestry_run") == length).select(
         *KEY,
         (F.col(ordered.NUMBER) - 1).alias("window_index"),
-        F.slice("_run", 1, sequence_length).alias("inputs"),
-        F.slice("_run", sequence_length + 1, forecast_length).alias("targets"),
+        F.slice("_tempestry_run", 1, sequence_length).alias("inputs"),
+        F.slice("_tempestry_run", sequence_length + 1, forecast_length).alias("targets"),
     )
 
 
@@ -189,8 +190,8 @@ def common_window_count(
 ) -> DataFrame:
     """Number of windows that every storm can fill."""
     length = sequence_length + forecast_length
-    per_storm = tracks.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"))
-    fits = F.greatest(F.col("_rows") - F.lit(length) + 1, F.lit(0))
+    per_storm = tracks.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_tempestry_rows"))
+    fits = F.greatest(F.col("_tempestry_rows") - F.lit(length) + 1, F.lit(0))
     return per_storm.agg(F.coalesce(F.min(fits), F.lit(0)).alias("n_windows"))
 
 

@@ -110,16 +110,16 @@ def grid_kinematics(grid: DataFrame, u: str = "u10", v: str = "v10", suffix: str
     eastward = Window.partitionBy("time", "latitude").orderBy("longitude")
     northward = Window.partitionBy("time", "longitude").orderBy("latitude")
     slopes = grid.withColumns(
-        {"_dudx": _slope(u, "longitude", eastward), "_dvdx": _slope(v, "longitude", eastward)}
+        {"_tempestry_dudx": _slope(u, "longitude", eastward), "_tempestry_dvdx": _slope(v, "longitude", eastward)}
     ).withColumns(
-        {"_dudy": _slope(u, "latitude", northward), "_dvdy": _slope(v, "latitude", northward)}
+        {"_tempestry_dudy": _slope(u, "latitude", northward), "_tempestry_dvdy": _slope(v, "latitude", northward)}
     )
     return slopes.withColumns(
         {
-            f"vorticity_{suffix}": F.col("_dvdx") - F.col("_dudy"),
-            f"convergence_{suffix}": -(F.col("_dudx") + F.col("_dvdy")),
+            f"vorticity_{suffix}": F.col("_tempestry_dvdx") - F.col("_tempestry_dudy"),
+            f"convergence_{suffix}": -(F.col("_tempestry_dudx") + F.col("_tempestry_dvdy")),
         }
-    ).drop("_dudx", "_dvdx", "_dudy", "_dvdy")
+    ).drop("_tempestry_dudx", "_tempestry_dvdx", "_tempestry_dudy", "_tempestry_dvdy")
 
 
 def derived_fields(grid: DataFrame) -> DataFrame:
@@ -174,12 +174,12 @@ def grid_stats_fit(grid: DataFrame, variables: list[str] | None = None) -> DataF
         raise ValueError("none of the variables is in the grid")
     aggregates = []
     for v in present:
-        aggregates += [F.avg(known(F.col(v))).alias(f"_mean_{v}"), F.stddev_pop(known(F.col(v))).alias(f"_std_{v}")]
+        aggregates += [F.avg(known(F.col(v))).alias(f"_tempestry_mean_{v}"), F.stddev_pop(known(F.col(v))).alias(f"_tempestry_std_{v}")]
     entries = [
         F.struct(
             F.lit(v).alias("variable"),
-            F.col(f"_mean_{v}").alias("mean"),
-            F.col(f"_std_{v}").alias("std"),
+            F.col(f"_tempestry_mean_{v}").alias("mean"),
+            F.col(f"_tempestry_std_{v}").alias("std"),
         )
         for v in present
     ]
@@ -191,7 +191,7 @@ def grid_zscore(
 ) -> DataFrame:
     """Scale grid variables with given statistics, or with their own.
 
-    Variables that are not in the grid, or have no statistics, are left alone.
+    Variables that are not in the grid, or have no statistics, are left alone.  NaN cells become missing.
     """
     present = [v for v in (variables or grid_variables(grid)) if v in grid.columns]
     if stats is None:
@@ -201,10 +201,10 @@ def grid_zscore(
     fitted = stats.agg(F.map_from_entries(F.collect_list(entry))).scalar()
     scaled = {}
     for v in present:
-        own = F.element_at(F.col("_fitted"), F.lit(v))
-        z = (F.col(v) - own.getField("mean")) / (own.getField("std") + SCALE_GUARD)
+        own = F.element_at(F.col("_tempestry_fitted"), F.lit(v))
+        z = (known(F.col(v)) - own.getField("mean")) / (own.getField("std") + SCALE_GUARD)
         scaled[v] = F.when(own.isNull(), F.col(v)).otherwise(z)
-    return grid.withColumn("_fitted", fitted).withColumns(scaled).drop("_fitted")
+    return grid.withColumn("_tempestry_fitted", fitted).withColumns(scaled).drop("_tempestry_fitted")
 
 
 # -- export ------------------------------------------------------------------------------------
@@ -221,16 +221,16 @@ def grid_to_tensor(grid: DataFrame, variables: list[str] | None = None) -> DataF
         raise ValueError("no valid variables for the tensor")
     cells = [F.col(v).cast("float").alias(v) for v in present]
     lines = grid.groupBy("time", "latitude").agg(
-        F.sort_array(F.collect_list(F.struct("longitude", *cells))).alias("_cells")
+        F.sort_array(F.collect_list(F.struct("longitude", *cells))).alias("_tempestry_cells")
     )
     fields = lines.groupBy("time").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("latitude")).alias("_south"), "_cells"))).alias(
-            "_lines"
+        F.sort_array(F.collect_list(F.struct((-F.col("latitude")).alias("_tempestry_south"), "_tempestry_cells"))).alias(
+            "_tempestry_lines"
         )
     )
 
     def channel(variable):
-        return F.transform("_lines", lambda line: line["_cells"][variable])
+        return F.transform("_tempestry_lines", lambda line: line["_tempestry_cells"][variable])
 
     return fields.select(
         "time",

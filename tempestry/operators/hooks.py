@@ -64,12 +64,13 @@ def storm_forecaster(
     ``features`` is a pandas frame of the storm's last ``history`` fixes, so a
     group is small whatever the length of the track.  ``predict`` returns a frame
     with ``latitude, longitude, max_wind``, one row per step.  A storm it raises
-    on gets missing values in every step, which scoring turns into missing scores.
+    on gets missing values in every step, which scoring turns into missing scores, and the kind and text of the error in the column
+    ``error``; a column of NULLs means that the model ran on every storm.
     """
     newest = Window.partitionBy("storm_id").orderBy(F.col(order).desc())
     recent = (
-        tracks.withColumn("_age", F.row_number().over(newest))
-        .filter(F.col("_age") <= history)
+        tracks.withColumn("_tempestry_age", F.row_number().over(newest))
+        .filter(F.col("_tempestry_age") <= history)
         .select("storm_id", order, "latitude", "longitude", "max_wind")
     )
 
@@ -77,18 +78,21 @@ def storm_forecaster(
         import pandas as pd
 
         features = rows.sort_values(order).reset_index(drop=True)
+        error = None
         try:
             out = predict(features, steps, step_hours).reset_index(drop=True)
-        except Exception:
+            out = out[["latitude", "longitude", "max_wind"]].astype("float64")
+        except Exception as failure:
+            error = f"{type(failure).__name__}: {failure}"
             gap = [float("nan")] * steps
             out = pd.DataFrame({"latitude": gap, "longitude": gap, "max_wind": gap})
-        out = out[["latitude", "longitude", "max_wind"]].astype("float64")
         out.insert(0, "step", range(1, len(out) + 1))
         out.insert(0, "forecast", name)
         out.insert(0, "storm_id", key[0])
+        out["error"] = pd.Series([error] * len(out), dtype="object")
         return out
 
     return recent.groupBy("storm_id").applyInPandas(
         one_storm,
-        "storm_id string, forecast string, step int, latitude double, longitude double, max_wind double",
+        "storm_id string, forecast string, step int, latitude double, longitude double, max_wind double, error string",
     )

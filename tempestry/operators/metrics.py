@@ -29,19 +29,22 @@ def storm_cases(
 ) -> tuple[DataFrame, DataFrame]:
     """(cases, short storms): storms with and without enough fixes to be scored.
 
+    NaN is a missing value, in the truth as in the history.
     A case holds ``history + forecast`` fixes as two arrays; longer tracks never
     reach it because the row-number bound is applied before the exchange.
     """
-    first = history_truth_split(tracks, history, forecast, order)
+    measured = ["latitude", "longitude", "max_wind"]
+    clean = tracks.withColumns({c: known(F.col(c).cast("double")) for c in measured})
+    first = history_truth_split(clean, history, forecast, order)
     fix = F.struct("step", "latitude", "longitude", "max_wind")
     grouped = first.groupBy("storm_id").agg(
-        F.count(F.lit(1)).alias("n_fixes"), F.sort_array(F.collect_list(fix)).alias("_fixes")
+        F.count(F.lit(1)).alias("n_fixes"), F.sort_array(F.collect_list(fix)).alias("_tempestry_fixes")
     )
     complete = F.col("n_fixes") == history + forecast
     cases = grouped.filter(complete).select(
         "storm_id",
-        F.slice("_fixes", 1, history).alias("history"),
-        F.slice("_fixes", history + 1, forecast).alias("truth"),
+        F.slice("_tempestry_fixes", 1, history).alias("history"),
+        F.slice("_tempestry_fixes", history + 1, forecast).alias("truth"),
     )
     return cases, grouped.filter(~complete).select("storm_id", "n_fixes")
 
@@ -82,18 +85,18 @@ def baseline_pairs(cases: DataFrame, forecast_steps: int, methods: list[str]) ->
     moving = cases.select(
         "storm_id",
         "truth",
-        last.alias("_last"),
-        mean_move("latitude").alias("_dlat"),
-        mean_move("longitude").alias("_dlon"),
+        last.alias("_tempestry_last"),
+        mean_move("latitude").alias("_tempestry_dlat"),
+        mean_move("longitude").alias("_tempestry_dlon"),
         F.inline(_method_array(methods)),
     ).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(forecast_steps))))
     return moving.select(
         *IDS,
         "step",
-        (F.col("_last.latitude") + F.col("_dlat") * F.col("factor") * F.col("step")).alias("lat"),
-        (F.col("_last.longitude") + F.col("_dlon") * F.col("factor") * F.col("step")).alias("lon"),
-        F.col("_last.max_wind").alias("wind"),
-        F.when(F.col("step") > RI_STEPS, F.col("_last.max_wind")).alias("forecast_base"),
+        (F.col("_tempestry_last.latitude") + F.col("_tempestry_dlat") * F.col("factor") * F.col("step")).alias("lat"),
+        (F.col("_tempestry_last.longitude") + F.col("_tempestry_dlon") * F.col("factor") * F.col("step")).alias("lon"),
+        F.col("_tempestry_last.max_wind").alias("wind"),
+        F.when(F.col("step") > RI_STEPS, F.col("_tempestry_last.max_wind")).alias("forecast_base"),
         *[column.alias(name) for name, column in _truth_columns(forecast_steps).items()],
     )
 
@@ -158,24 +161,24 @@ def with_errors(pairs: DataFrame) -> DataFrame:
         "step",
         haversine_km(F.col("lat"), F.col("lon"), F.col("true_lat"), F.col("true_lon")).alias("km"),
         (F.col("wind") - F.col("true_wind")).alias("wind_error"),
-        (east_km(F.col("true_lon"), ref) - east_km(F.col("before_lon"), ref)).alias("_mx"),
-        (north_km(F.col("true_lat")) - north_km(F.col("before_lat"))).alias("_my"),
-        (east_km(F.col("lon"), ref) - east_km(F.col("true_lon"), ref)).alias("_ex"),
-        (north_km(F.col("lat")) - north_km(F.col("true_lat"))).alias("_ey"),
+        (east_km(F.col("true_lon"), ref) - east_km(F.col("before_lon"), ref)).alias("_tempestry_mx"),
+        (north_km(F.col("true_lat")) - north_km(F.col("before_lat"))).alias("_tempestry_my"),
+        (east_km(F.col("lon"), ref) - east_km(F.col("true_lon"), ref)).alias("_tempestry_ex"),
+        (north_km(F.col("lat")) - north_km(F.col("true_lat"))).alias("_tempestry_ey"),
         F.coalesce(F.col("wind") - F.col("forecast_base") >= RI_KNOTS, F.lit(False)).alias("said"),
         F.coalesce(F.col("true_wind") - F.col("wind_base") >= RI_KNOTS, F.lit(False)).alias("seen"),
     )
-    length = F.sqrt(F.col("_mx") * F.col("_mx") + F.col("_my") * F.col("_my"))
-    along = F.col("_ex") * F.col("_mx") + F.col("_ey") * F.col("_my")
-    cross = F.col("_mx") * F.col("_ey") - F.col("_my") * F.col("_ex")
-    return placed.withColumn("_length", length).select(
+    length = F.sqrt(F.col("_tempestry_mx") * F.col("_tempestry_mx") + F.col("_tempestry_my") * F.col("_tempestry_my"))
+    along = F.col("_tempestry_ex") * F.col("_tempestry_mx") + F.col("_tempestry_ey") * F.col("_tempestry_my")
+    cross = F.col("_tempestry_mx") * F.col("_tempestry_ey") - F.col("_tempestry_my") * F.col("_tempestry_ex")
+    return placed.withColumn("_tempestry_length", length).select(
         *IDS,
         "step",
         "km",
         "wind_error",
-        F.coalesce(F.col("_length") > 0, F.lit(False)).alias("moved"),
-        F.abs(F.try_divide(along, F.col("_length"))).alias("along_km"),
-        F.abs(F.try_divide(cross, F.col("_length"))).alias("cross_km"),
+        F.coalesce(F.col("_tempestry_length") > 0, F.lit(False)).alias("moved"),
+        F.abs(F.try_divide(along, F.col("_tempestry_length"))).alias("along_km"),
+        F.abs(F.try_divide(cross, F.col("_tempestry_length"))).alias("cross_km"),
         "said",
         "seen",
     )
@@ -237,6 +240,57 @@ def score_with_python(
     )
 
 
+def score_with_partials(
+    pairs: DataFrame,
+    name: str,
+    partial: Callable,
+    merge: Callable,
+    finish: Callable,
+    by: list[str] | None = None,
+    result_type: str = "double",
+    held: int = 10_000,
+) -> DataFrame:
+    """A Python metric of groups of any size, by states that can be merged.
+
+    ``partial(pandas frame) -> list of floats`` sums up some rows of one group, ``merge(state, state) -> state`` joins two
+    states, ``finish(state) -> value`` ends them.  Each task merges the states of its batches, at most ``held`` groups
+    at a time, and only states are exchanged: a group meets as one state per task, never as its rows.
+    """
+    keys = list(by or IDS)
+    kinds = dict(pairs.dtypes)
+    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def packed(states):
+        import pandas as pd
+
+        frame = pd.DataFrame(list(states), columns=keys, dtype="object")
+        frame["state"] = [list(map(float, s)) for s in states.values()]
+        return frame
+
+    def sum_up(batches):
+        states = {}
+        for batch in batches:
+            for key, rows in batch.groupby(keys, dropna=False, sort=False):
+                state = partial(rows)
+                states[key] = merge(states[key], state) if key in states else state
+            if len(states) > held:
+                yield packed(states)
+                states = {}
+        if states:
+            yield packed(states)
+
+    def end(key, rows):
+        import pandas as pd
+
+        state, *others = rows["state"]
+        for other in others:
+            state = merge(state, other)
+        return pd.DataFrame([[*key, finish(state)]], columns=[*keys, name])
+
+    states = pairs.mapInPandas(sum_up, f"{key_schema}, state array<double>")
+    return states.groupBy(*keys).applyInPandas(end, f"{key_schema}, `{name}` {result_type}")
+
+
 def score_summary(scores: DataFrame, strict: bool = False) -> DataFrame:
     """Mean of per-storm scores by forecast.
 
@@ -257,7 +311,7 @@ def improvement_pct(summary: DataFrame, baseline: str) -> DataFrame:
     metrics = [c for c in summary.columns if c != "forecast"]
     long = summary.unpivot(["forecast"], metrics, "metric", "score")
     base = long.filter(F.col("forecast") == baseline).select(
-        "metric", F.col("score").alias("_base")
+        "metric", F.col("score").alias("_tempestry_base")
     )
-    gain = F.try_divide(F.col("_base") - F.col("score"), F.col("_base")) * 100.0
+    gain = F.try_divide(F.col("_tempestry_base") - F.col("score"), F.col("_tempestry_base")) * 100.0
     return long.join(base, "metric").select("forecast", "metric", gain.alias("improvement_pct"))

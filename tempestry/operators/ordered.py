@@ -2,11 +2,14 @@
 
 ``Window.partitionBy(key).orderBy(time)`` sends all rows of a key to one task.
 That is right for ordinary storms and wrong for one that owns a third of the
-table.  The work is done in two steps:
+table.  The work is done in three steps, all of them parts of one lazy plan:
 
-``with_position`` numbers the rows of each key.  Ordinary keys take the plain
-window.  Keys that hold more than one part in ``MAX_SLICES`` of all rows are cut
-at quantiles of the order column into slices that are numbered apart.
+``with_bins`` gives each row a bin.  Keys of fewer than ``min_rows`` rows have one bin.  The others, at most one in ``min_rows``
+rows of the table, have their bins between their lowest and highest order value, a number in proportion to their rows.
+Bins rise with the order value, so what lies in lower bins comes first.
+
+``bin_totals`` adds up rows per key and bin; running sums of these few totals say how many rows come before each
+bin.  ``with_position`` numbers the rows within their bins and adds that.
 
 ``blocks`` then cuts every key into runs of ``BLOCK_ROWS`` consecutive numbers
 and repeats the few rows at the edge of a run in the next one, so that lags,
@@ -14,90 +17,29 @@ leads and short row frames are exact inside a run.  It needs no statistics, and
 a table that arrives hash-partitioned by the key needs no further exchange.
 """
 
-from bisect import bisect_left, bisect_right
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tempestry.functions.clock import micros
 
 POINT = "point"
-NUMBER = "_number"
+NUMBER = "_tempestry_number"
 BLOCK_ROWS = 1_000_000
-MAX_SLICES = 4096
 MIN_HOT_ROWS = 1_000_000
+#: Bins of a large key for each ``min_rows`` of its rows, so that uneven values still give small bins, and at most.
+BINS_EACH, MOST_BINS = 64, 1 << 20
 
-_BLOCK = "_block"
-_HALO = "_halo"
-_SLICE = "_slice"
-_CUTS = "_cuts"
-_HOT = "_hot"
+_BLOCK = "_tempestry_block"
+_HALO = "_tempestry_halo"
+BIN, HOME, LARGE = "_tempestry_bin", "_tempestry_home", "_tempestry_large"
 
 
 # -- numbering ---------------------------------------------------------------------------------
 
 
-def hot_cuts(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    min_rows: int = MIN_HOT_ROWS,
-    max_slices: int = MAX_SLICES,
-) -> DataFrame | None:
-    """One row per hot key with its ascending, distinct cut values, or None.
-
-    Runs one job over the key columns, and two more when a key is that large.  At
-    most ``max_slices`` keys can each hold more than one part in ``max_slices``
-    of the rows, and cuts are in proportion to rows, so no more than
-    ``2 * max_slices`` numbers come to the driver whatever the size of the table.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = (
-        counts.filter(F.col("_rows") >= min_rows)
-        .orderBy(F.col("_rows").desc())
-        .limit(max_slices)
-        .collect()
-    )
-    if not large:
-        return None
-    total = df.count()
-    hot = [tuple(row) for row in large if row["_rows"] * max_slices > total]
-    if not hot:
-        return None
-
-    session = df.sparkSession
-    key_fields = [df.schema[k] for k in keys]
-    hot_schema = T.StructType([*key_fields, T.StructField("_rows", T.LongType())])
-    hot_keys = session.createDataFrame(hot, hot_schema).withColumn(
-        "_parts", F.ceil(F.col("_rows") * max_slices / F.lit(total)).cast("int")
-    )
-    # one foldable literal instead of thousands of expression nodes
-    steps = F.split(
-        F.lit(",".join(str(i / max_slices) for i in range(1, max_slices))), ","
-    ).cast("array<double>")
-    quantiles = (
-        df.select(*keys, F.col(order).alias("_value"))
-        .join(F.broadcast(hot_keys), keys)
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx("_value", steps, 20 * max_slices).alias("_quantiles"),
-            F.first("_parts").alias("_parts"),
-        )
-        .filter(F.col("_parts") > 1)
-    )
-
-    def pick(i):
-        return F.element_at("_quantiles", F.floor(i * max_slices / F.col("_parts")).cast("int"))
-
-    found = quantiles.select(
-        *keys,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), pick)).alias(_CUTS),
-    )
-    return session.createDataFrame(found.collect(), found.schema)
-
-
-def _number(value: Column, kind: str) -> Column:
+def as_number(value: Column, kind: str) -> Column:
     """A double that never falls as the value rises."""
     if kind == "timestamp_ntz":
         value = micros(value)
@@ -108,52 +50,69 @@ def _number(value: Column, kind: str) -> Column:
     return value.cast("double")
 
 
-def _bin(value: Column) -> Column:
-    """Equal-width bin between the first and the last cut, 0 to the number of cuts."""
-    share = F.try_divide(value - F.col("_low"), F.col("_high") - F.col("_low"))
-    bins = F.col("_bins").cast("double")
-    place = F.least(F.greatest(share * bins, F.lit(0.0)), bins)
-    return F.floor(F.coalesce(place, F.lit(0.0))).cast("int")
+def same(left: list[str], right: list[str]) -> Column:
+    """Equality of columns, missing values being equal; beside an equality that the join is planned by."""
+    pairs = [(F.col(a), F.col(b)) for a, b in zip(left, right)]
+    return reduce(lambda x, y: x & y, [(a == b) | (a.isNull() & b.isNull()) for a, b in pairs], F.lit(True))
 
 
-def _with_slice(df: DataFrame, cuts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Add the number of cuts at or below the order value; 0 where the key is not hot.
+def with_bins(df: DataFrame, keys: list[str], order: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The table with ``BIN`` and ``LARGE``, whether the row's key has several bins.
 
-    A row finds the cuts near its value through its bin, so it compares with about
-    one cut instead of with all of them.  Bins rise with the value, hence all cuts
-    of lower bins lie below it.  Both lookup tables are as small as the cuts.
+    ``BIN`` is 0 for ordinary keys and missing order values, and rises from 0 with the values of a large key.  Large keys
+    are found by one aggregate with partial sums.  Their table has at most one row for each ``min_rows`` rows, so
+    it is sent to all tasks.  An order column that is no number or time gives one bin.
     """
     kind = dict(df.dtypes)[order]
-    spans = cuts.select(
-        *keys,
-        _CUTS,
-        _number(F.element_at(_CUTS, 1), kind).alias("_low"),
-        _number(F.element_at(_CUTS, -1), kind).alias("_high"),
-        F.size(_CUTS).alias("_bins"),
+    if kind in ("string", "binary", "boolean") or kind.startswith(("array", "struct", "map")):
+        return df.withColumns({BIN: F.lit(0).cast("long"), LARGE: F.lit(False)})
+    value = as_number(F.col(order), kind)
+    finite = F.when(F.abs(value) < float("inf"), value)
+    key = F.xxhash64(*keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tempestry_rows"), F.min(finite).alias("_tempestry_low"), F.max(finite).alias("_tempestry_high"))
+    large = sizes.where(F.col("_tempestry_rows") >= min_rows).select(
+        key.alias("_tempestry_own"),
+        *[F.col(k).alias(f"_tempestry_own_{k}") for k in keys],
+        "_tempestry_low",
+        "_tempestry_high",
+        F.least(F.ceil(F.col("_tempestry_rows") * float(BINS_EACH) / min_rows), F.lit(MOST_BINS)).cast("double").alias("_tempestry_bins"),
     )
-    placed = spans.withColumn("_places", F.transform(_CUTS, lambda c: _bin(_number(c, kind))))
-    lookup = []
-    for row in placed.collect():
-        for number in range(row["_bins"] + 1):
-            first, last = bisect_left(row["_places"], number), bisect_right(row["_places"], number)
-            lookup.append((*[row[k] for k in keys], number, first, row[_CUTS][first:last]))
-    fields = [T.StructField("_bin", T.IntegerType()), T.StructField("_below", T.IntegerType())]
-    schema = T.StructType([*[df.schema[k] for k in keys], *fields, cuts.schema[_CUTS]])
-    table = df.sparkSession.createDataFrame(lookup, schema)
-
-    value = F.col(order)
-    hot = F.col("_bins").isNotNull()
-    within = F.size(F.filter(_CUTS, lambda cut: cut <= value))
-    return (
-        df.join(F.broadcast(spans.drop(_CUTS)), keys, "left")
-        .withColumn("_bin", F.when(hot & value.isNotNull(), _bin(_number(value, kind))))
-        .join(F.broadcast(table), [*keys, "_bin"], "left")
-        .withColumn(_SLICE, F.coalesce(F.col("_below") + within, F.lit(0)))
-        .withColumn(_HOT, hot)
-        .drop("_low", "_high", "_bins", "_bin", "_below", _CUTS)
+    own = [f"_tempestry_own_{k}" for k in keys]
+    joined = df.join(F.broadcast(large), (key == F.col("_tempestry_own")) & same(keys, own), "left")
+    share = F.try_divide(value - F.col("_tempestry_low"), F.col("_tempestry_high") - F.col("_tempestry_low"))
+    # infinities and NaN come to lie in the outer bins, where they belong
+    place = F.least(F.greatest(share * F.col("_tempestry_bins"), F.lit(0.0)), F.col("_tempestry_bins") - 1)
+    return joined.withColumns(
+        {BIN: F.coalesce(F.floor(place), F.lit(0)).cast("long"), LARGE: F.col("_tempestry_bins").isNotNull()}
+    ).drop("_tempestry_own", *own, "_tempestry_low", "_tempestry_high", "_tempestry_bins")
+
+
+def spread(binned: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows exchanged by key and bin, with the hash of both as ``HOME``; what follows per key and bin needs no exchange."""
+    return binned.withColumn(HOME, F.xxhash64(*keys, BIN)).repartition(HOME)
+
+
+def bin_totals(binned: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """Per key and bin: rows in it (``_in``), in all lower bins (``_before``) and in all (``_rows``), and the given sums.
+
+    The running sums go over bins, at most ``MOST_BINS`` of a key.
+    """
+    totals = binned.groupBy(HOME, *keys, BIN).agg(F.count(F.lit(1)).alias("_tempestry_in"), *[c.alias(n) for n, c in sums.items()])
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns(
+        {"_tempestry_before": F.coalesce(F.sum("_tempestry_in").over(earlier), F.lit(0)), "_tempestry_rows": F.sum("_tempestry_in").over(whole)}
     )
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with the columns of their bin's total."""
+    own = [HOME, *keys, BIN]
+    renamed = totals.withColumnsRenamed({c: f"_tempestry_own{c}" for c in own})
+    matching = (F.col(HOME) == F.col(f"_tempestry_own{HOME}")) & same(own[1:], [f"_tempestry_own{c}" for c in own[1:]])
+    return rows.join(renamed, matching, how).drop(*[f"_tempestry_own{c}" for c in own])
+
+
 def with_position(
     df: DataFrame,
     keys: list[str],
@@ -161,26 +120,15 @@ def with_position(
     ties: list[str] | None = None,
     name: str = POINT,
     min_rows: int = MIN_HOT_ROWS,
-    max_slices: int = MAX_SLICES,
 ) -> DataFrame:
     """Number the rows of each key in order, from 1."""
-    ordering = [order, *(ties or [])]
-    cuts = hot_cuts(df, keys, order, min_rows, max_slices)
-    if cuts is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering)).cast("long"))
-
-    sliced = _with_slice(df, cuts, keys, order)
-    sizes = sliced.filter(_HOT).groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, _SLICE, F.sum("_rows").over(earlier).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*ordering))
-    # starts has a row per slice of a hot key, at most 3 * max_slices rows
-    return (
-        sliced.drop(_HOT)
-        .join(F.broadcast(starts), [*keys, _SLICE], "left")
-        .withColumn(name, own + F.coalesce(F.col("_before"), F.lit(0).cast("long")))
-        .drop(_SLICE, "_before")
-    )
+    binned = with_bins(df, keys, order, min_rows)
+    # only large keys have bins with rows before them
+    crowded = binned.where(LARGE).select(*keys, BIN).withColumn(HOME, F.xxhash64(*keys, BIN))
+    later = bin_totals(crowded, keys).where("_tempestry_before > 0").select(HOME, *keys, BIN, "_tempestry_before")
+    own = F.row_number().over(Window.partitionBy(HOME, *keys, BIN).orderBy(order, *(ties or [])))
+    numbered = join_totals(spread(binned, keys).withColumn(name, own.cast("long")), later, keys, "left")
+    return numbered.withColumn(name, F.col(name) + F.coalesce("_tempestry_before", F.lit(0))).drop("_tempestry_before", BIN, HOME, LARGE)
 
 
 # -- neighbours --------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ A box join on plain inequalities would compare every box with every cell.  Here
 both sides are cut into coarse tiles of about one box: a box is repeated once for
 each tile it touches, a cell lies in exactly one tile, and the join is an
 equi-join on tiles (and time) with the exact bounds as a residual filter.  Tiles
-that many storms share are split by adaptive skew handling, and a small track
+that many storms share are cut into parts by the number of their boxes, and a small track
 side is broadcast when it is below the session's broadcast limit.
 """
 
@@ -17,6 +17,8 @@ from tempestry.operators import axes
 from tempestry.schema import GRID_COORDS
 
 DEFAULT_PATCH = 25.0
+#: Boxes of one tile and time that one task takes.
+DENSE_BOXES = 10_000
 
 
 def _spans(west: Column, east: Column) -> Column:
@@ -36,30 +38,43 @@ def _tiles(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def tiled(boxes: DataFrame, cells: DataFrame, tile: float, on_times: bool):
-    """Boxes repeated for each coarse tile they touch, cells with theirs, the exact bounds and the columns to join on."""
+def tiled(boxes: DataFrame, cells: DataFrame, tile: float, on_times: bool, dense: int = DENSE_BOXES):
+    """Boxes repeated for each coarse tile they touch, cells with theirs, the exact bounds and the columns to join on.
+
+    Boxes are counted per tile and time.  Where there are more than ``dense`` of them, they are dealt into parts of
+    about that many, and the tile's cells, which the grid's resolution bounds, go to each part: no task meets all boxes of a
+    place, whatever share of the boxes lies there.  A dense tile stands for at least ``dense`` boxes, so their
+    table is small and is sent to all tasks.
+    """
     cells = cells.withColumn("longitude", wrap_longitude(F.col("longitude")))
     cells = cells.withColumns(
         {
-            "_lat_tile": F.floor(F.col("latitude") / tile),
-            "_lon_tile": F.floor(F.col("longitude") / tile),
+            "_tempestry_lat_tile": F.floor(F.col("latitude") / tile),
+            "_tempestry_lon_tile": F.floor(F.col("longitude") / tile),
         }
     )
-    placed = boxes.withColumn("_lat_tile", F.explode(_tiles(F.col("lat_min"), F.col("lat_max"), tile)))
-    placed = placed.withColumn("_lon_tile", F.explode(_tiles(F.col("lon_min"), F.col("lon_max"), tile)))
-    keys = ["_lat_tile", "_lon_tile"]
+    placed = boxes.withColumn("_tempestry_lat_tile", F.explode(_tiles(F.col("lat_min"), F.col("lat_max"), tile)))
+    placed = placed.withColumn("_tempestry_lon_tile", F.explode(_tiles(F.col("lon_min"), F.col("lon_max"), tile)))
+    keys = ["_tempestry_lat_tile", "_tempestry_lon_tile"]
     inside = F.col("latitude").between(F.col("lat_min"), F.col("lat_max")) & F.col(
         "longitude"
     ).between(F.col("lon_min"), F.col("lon_max"))
     if on_times:
         keys.append("time")
     else:
-        keys.append("_day")
-        cells = cells.withColumn("_day", F.to_date("time"))
+        keys.append("_tempestry_day")
+        cells = cells.withColumn("_tempestry_day", F.to_date("time"))
         days = F.sequence(F.to_date("start_time"), F.to_date("end_time"), F.expr("interval 1 day"))
-        placed = placed.withColumn("_day", F.explode(days))
+        placed = placed.withColumn("_tempestry_day", F.explode(days))
         inside = inside & F.col("time").between(F.col("start_time"), F.col("end_time"))
-    return placed, cells, inside, keys
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tempestry_boxes")).where(F.col("_tempestry_boxes") > dense)
+    parts = F.ceil(F.col("_tempestry_boxes") / F.lit(float(dense))).alias("_tempestry_parts")
+    crowded = F.broadcast(counts.select(*keys, parts))
+    dealt = F.pmod(F.monotonically_increasing_id(), F.coalesce("_tempestry_parts", F.lit(1)))
+    placed = placed.join(crowded, keys, "left").withColumn("_tempestry_part", dealt).drop("_tempestry_parts")
+    each = F.sequence(F.lit(0).cast("long"), F.coalesce("_tempestry_parts", F.lit(1)) - 1)
+    cells = cells.join(crowded, keys, "left").withColumn("_tempestry_part", F.explode(each)).drop("_tempestry_parts")
+    return placed, cells, inside, [*keys, "_tempestry_part"]
 
 
 def box_join(
@@ -68,6 +83,7 @@ def box_join(
     tile: float,
     on_times: bool,
     variables: list[str] | None = None,
+    dense: int = DENSE_BOXES,
 ) -> DataFrame:
     """Cells inside each box, ends included.
 
@@ -76,9 +92,9 @@ def box_join(
     """
     keep = [v for v in variables if v in grid.columns] if variables else None
     cells = grid if keep is None else grid.select(*GRID_COORDS, *keep)
-    placed, cells, inside, keys = tiled(boxes, cells, tile, on_times)
+    placed, cells, inside, keys = tiled(boxes, cells, tile, on_times, dense)
     joined = placed.join(cells, keys).filter(inside)
-    return joined.drop("_lat_tile", "_lon_tile", "_day")
+    return joined.drop("_tempestry_lat_tile", "_tempestry_lon_tile", "_tempestry_day", "_tempestry_part")
 
 
 def patch_extract(
@@ -111,8 +127,8 @@ def patch_boxes(centres: DataFrame, at: Column, patch_size: float, keep: list[st
         (F.col("latitude") - half).alias("lat_min"),
         (F.col("latitude") + half).alias("lat_max"),
         *(keep or []),
-        F.explode(_spans(F.col("longitude") - half, F.col("longitude") + half)).alias("_span"),
-    ).select("*", "_span.*").drop("_span")
+        F.explode(_spans(F.col("longitude") - half, F.col("longitude") + half)).alias("_tempestry_span"),
+    ).select("*", "_tempestry_span.*").drop("_tempestry_span")
 
 
 def patch_images(
@@ -141,15 +157,15 @@ def patch_images(
     )
     table = axes.axis_table(grid)
     placed = axes.box_places(boxes, table).drop("lat_min", "lat_max", "west", "east")
-    kept = patch_boxes(placed, at, patch_size, ["_top", "_left", "_turn", "n_rows", "n_cols"])
+    kept = patch_boxes(placed, at, patch_size, ["_tempestry_top", "_tempestry_left", "_tempestry_turn", "n_rows", "n_cols"])
     found = box_join(kept, axes.numbered_cells(wide, table), patch_size, on_times=True)
     found = found.withColumns(
         {
-            "row": F.col("_lat_number") - F.col("_top"),
-            "col": F.pmod(F.col("_lon_number") - F.col("_left"), F.col("_turn")),
+            "row": F.col("_tempestry_lat_number") - F.col("_tempestry_top"),
+            "col": F.pmod(F.col("_tempestry_lon_number") - F.col("_tempestry_left"), F.col("_tempestry_turn")),
         }
     )
-    return found.drop("lat_min", "lat_max", "lon_min", "lon_max", "_top", "_left", "_turn", "_lat_number", "_lon_number")
+    return found.drop("lat_min", "lat_max", "lon_min", "lon_max", "_tempestry_top", "_tempestry_left", "_tempestry_turn", "_tempestry_lat_number", "_tempestry_lon_number")
 
 
 def fixes_with_cells(
@@ -159,10 +175,10 @@ def fixes_with_cells(
     at = nearest_step(F.col("timestamp"), step_hours) if step_hours else F.col("timestamp")
     boxes = patch_boxes(centres, at, patch_size)
     placed, cells, inside, keys = tiled(boxes, grid.select(*GRID_COORDS), patch_size, on_times=True)
-    cells = cells.withColumnsRenamed({k: f"_cell_{k}" for k in keys})
+    cells = cells.withColumnsRenamed({k: f"_tempestry_cell_{k}" for k in keys})
     same = inside
     for k in keys:
-        same = same & (F.col(k) == F.col(f"_cell_{k}"))
+        same = same & (F.col(k) == F.col(f"_tempestry_cell_{k}"))
     return placed.join(cells, same, "left_semi").select("storm_id", "timestamp").distinct()
 
 
@@ -182,16 +198,16 @@ def storm_boxes(
     lon = F.col("longitude")
     east, west = F.when(lon >= 0, lon), F.when(lon < 0, lon)
     spans = tracks.groupBy("storm_id").agg(
-        F.min("latitude").alias("_south"),
-        F.max("latitude").alias("_north"),
-        F.min(lon).alias("_low"),
-        F.max(lon).alias("_high"),
-        F.min(east).alias("_east_low"),
-        F.max(east).alias("_east_high"),
-        F.min(west).alias("_west_low"),
-        F.max(west).alias("_west_high"),
-        F.min("timestamp").alias("_first"),
-        F.max("timestamp").alias("_last"),
+        F.min("latitude").alias("_tempestry_south"),
+        F.max("latitude").alias("_tempestry_north"),
+        F.min(lon).alias("_tempestry_low"),
+        F.max(lon).alias("_tempestry_high"),
+        F.min(east).alias("_tempestry_east_low"),
+        F.max(east).alias("_tempestry_east_high"),
+        F.min(west).alias("_tempestry_west_low"),
+        F.max(west).alias("_tempestry_west_high"),
+        F.min("timestamp").alias("_tempestry_first"),
+        F.max("timestamp").alias("_tempestry_last"),
     )
 
     def side(name, low, high):
@@ -202,17 +218,17 @@ def storm_boxes(
         )
 
     sides = F.when(
-        F.col("_high") - F.col("_low") > 180,
+        F.col("_tempestry_high") - F.col("_tempestry_low") > 180,
         F.array(
-            side("east", "_east_low", "_east_high"), side("west", "_west_low", "_west_high")
+            side("east", "_tempestry_east_low", "_tempestry_east_high"), side("west", "_tempestry_west_low", "_tempestry_west_high")
         ),
-    ).otherwise(F.array(side("all", "_low", "_high")))
+    ).otherwise(F.array(side("all", "_tempestry_low", "_tempestry_high")))
     return spans.select(
         "storm_id",
-        (F.col("_south") - half).alias("lat_min"),
-        (F.col("_north") + half).alias("lat_max"),
-        add_hours(F.col("_first"), F.lit(-lead_hours)).alias("start_time"),
-        add_hours(F.col("_last"), F.lit(lag_hours)).alias("end_time"),
+        (F.col("_tempestry_south") - half).alias("lat_min"),
+        (F.col("_tempestry_north") + half).alias("lat_max"),
+        add_hours(F.col("_tempestry_first"), F.lit(-lead_hours)).alias("start_time"),
+        add_hours(F.col("_tempestry_last"), F.lit(lag_hours)).alias("end_time"),
         F.inline(sides),
     )
 
@@ -233,9 +249,9 @@ def storm_cube_extract(
     boxes = storm_boxes(tracks, patch_size, lead_hours, lag_hours)
     # a padded side may reach past the dateline: its part beyond is a range of its own
     spans = F.explode(_spans(F.col("lon_min"), F.col("lon_max")))
-    boxes = boxes.withColumn("_span", spans).withColumns(
-        {"lon_min": F.col("_span.lon_min"), "lon_max": F.col("_span.lon_max")}
-    ).drop("_span")
+    boxes = boxes.withColumn("_tempestry_span", spans).withColumns(
+        {"lon_min": F.col("_tempestry_span.lon_min"), "lon_max": F.col("_tempestry_span.lon_max")}
+    ).drop("_tempestry_span")
     found = box_join(boxes, grid, patch_size, on_times=False, variables=variables)
     return found.drop("lat_min", "lat_max", "lon_min", "lon_max", "start_time", "end_time")
 
@@ -255,9 +271,9 @@ def channel_concat(
     ``on`` matches cells with tiles; ``keep`` names the columns of the result, ``on``
     by default.
     """
-    left = tiles.select(*on, F.col("channels").alias("_tile"))
+    left = tiles.select(*on, F.col("channels").alias("_tempestry_tile"))
     return fields.join(left, on, "left").select(
-        *(keep or on), F.concat(F.col("_tile"), F.col("channels")).alias("channels")
+        *(keep or on), F.concat(F.col("_tempestry_tile"), F.col("channels")).alias("channels")
     )
 
 

@@ -74,10 +74,11 @@ def track_checks(
     limits: Limits = DEFAULT_LIMITS,
     order: str = "timestamp",
     block_rows: int = ordered.BLOCK_ROWS,
+    numbered: str | None = None,
 ) -> DataFrame:
     """Wide report: one row per storm, one violation count per rule.
 
-    Only rules about consecutive fixes need rows in order.  Without them the
+    ``numbered`` names a dense row number per storm, if there is one.  Only rules about consecutive fixes need rows in order.  Without them the
     report is a plain aggregate with map-side partial counts.
     """
     check_required_columns(tracks)
@@ -106,21 +107,21 @@ def track_checks(
 
     rows = tracks
     if any(rule in STEPWISE_RULES for rule in rules):
-        numbered = ordered.with_points(tracks, KEY, order)
-        blocked = ordered.blocks(numbered, ordered.NUMBER, before=1, size=block_rows)
+        points = ordered.with_points(tracks, KEY, order, numbered)
+        blocked = ordered.blocks(points, ordered.NUMBER, before=1, size=block_rows)
         over = ordered.run_window(KEY, ordered.NUMBER)
-        lagged = {f"_prev_{c}": F.lag(c).over(over) for c in [order, "latitude", "longitude"]}
+        lagged = {f"_tempestry_prev_{c}": F.lag(c).over(over) for c in [order, "latitude", "longitude"]}
         if has_wind:
-            lagged["_prev_wind"] = F.lag("max_wind").over(over)
+            lagged["_tempestry_prev_wind"] = F.lag("max_wind").over(over)
         rows = ordered.settle(blocked.withColumns(lagged))
-        hours = hours_between(F.col(f"_prev_{order}"), F.col(order))
-        moved = planar_nm(lat - F.col("_prev_latitude"), lon - F.col("_prev_longitude"))
+        hours = hours_between(F.col(f"_tempestry_prev_{order}"), F.col(order))
+        moved = planar_nm(lat - F.col("_tempestry_prev_latitude"), lon - F.col("_tempestry_prev_longitude"))
         counts["time_gap"] = _count(hours > limits.max_gap_hours)
         counts["motion_speed"] = _count(_exceeds(moved, hours, limits.max_motion_kt))
         counts["position_jump"] = _count(moved > limits.max_jump_nm)
         # as everywhere else, physics is checked only where both intensities exist
         if has_wind and has_pressure:
-            gain = wind - F.col("_prev_wind")
+            gain = wind - F.col("_tempestry_prev_wind")
             counts["intensification_rate"] = _count(
                 _exceeds(gain, hours, limits.max_rate_kt_per_hour)
             )
@@ -178,12 +179,15 @@ def dq_grid(
     needed = [(v, "required_variable") for v in (required or REQUIRED_GRID_VARIABLES)]
     needed += [(d, "required_dimension") for d in GRID_DIMENSIONS]
 
-    aggregates = [F.count(F.lit(1)).alias("_cells")]
+    aggregates = [F.count(F.lit(1)).alias("_tempestry_cells")]
+    kinds = dict(grid.dtypes)
     for v in variables:
-        aggregates.append(F.count(F.when(F.col(v).isNull() | F.isnan(v), 1)).alias(f"_missing_{v}"))
+        # only floating numbers can be NaN; other columns are of any type
+        gone = F.col(v).isNull() | F.isnan(v) if kinds[v] in ("float", "double") else F.col(v).isNull()
+        aggregates.append(F.count(F.when(gone, 1)).alias(f"_tempestry_missing_{v}"))
     for axis in ("latitude", "longitude"):
         if axis in grid.columns:
-            aggregates += [F.min(axis).alias(f"_min_{axis}"), F.max(axis).alias(f"_max_{axis}")]
+            aggregates += [F.min(axis).alias(f"_tempestry_min_{axis}"), F.max(axis).alias(f"_tempestry_max_{axis}")]
     facts = grid.agg(*aggregates)
 
     def entry(rule, subject, value, valid):
@@ -199,11 +203,11 @@ def dq_grid(
         for name, rule in needed
     ]
     for v in variables:
-        share = F.coalesce(F.try_divide(F.col(f"_missing_{v}") * 100.0, F.col("_cells")), F.lit(0.0))
+        share = F.coalesce(F.try_divide(F.col(f"_tempestry_missing_{v}") * 100.0, F.col("_tempestry_cells")), F.lit(0.0))
         entries.append(entry("missing_share", v, share, share <= max_missing_percent))
     for axis, low, high in (("latitude", -90.0, 90.0), ("longitude", -180.0, 360.0)):
         if axis in grid.columns:
-            smallest, largest = F.col(f"_min_{axis}"), F.col(f"_max_{axis}")
+            smallest, largest = F.col(f"_tempestry_min_{axis}"), F.col(f"_tempestry_max_{axis}")
             entries.append(entry("range_low", axis, smallest, smallest >= low))
             entries.append(entry("range_high", axis, largest, largest <= high))
     return facts.select(F.inline(F.array(*entries)))

@@ -114,10 +114,10 @@ def history_truth_split(
         number = F.row_number().over(Window.partitionBy("storm_id").orderBy(order))
     # bounded on the bare number: behind a cast the bound would not be pushed down
     first = (
-        tracks.withColumn("_number", number)
-        .filter(F.col("_number") <= history + forecast)
-        .withColumn("step", F.col("_number").cast("int"))
-        .drop("_number")
+        tracks.withColumn("_tempestry_number", number)
+        .filter(F.col("_tempestry_number") <= history + forecast)
+        .withColumn("step", F.col("_tempestry_number").cast("int"))
+        .drop("_tempestry_number")
     )
     role = F.when(F.col("step") <= history, "history").otherwise("truth")
     return first.withColumn("role", role)
@@ -175,7 +175,7 @@ def training_catalog(
     """
     per_storm = tracks.groupBy("storm_id").agg(
         F.min_by("name", order).alias("name"),
-        F.collect_set(F.year("timestamp")).alias("_years"),
+        F.collect_set(F.year("timestamp")).alias("_tempestry_years"),
         F.max("max_wind").alias("max_intensity"),
         F.min("min_pressure").alias("min_pressure"),
         F.count(F.lit(1)).alias("num_records"),
@@ -183,7 +183,7 @@ def training_catalog(
     wanted = F.array(*[F.lit(y) for y in years])
     return (
         per_storm.filter(F.col("max_intensity") >= min_intensity)
-        .withColumn("year", F.explode(F.array_intersect("_years", wanted)))
+        .withColumn("year", F.explode(F.array_intersect("_tempestry_years", wanted)))
         .select("storm_id", "name", "year", "max_intensity", "min_pressure", "num_records")
     )
 
@@ -192,7 +192,7 @@ def storms_per_year(tracks: DataFrame, years: list[int] | None = None) -> DataFr
     """Number of storms active in each year; listed years without storms count 0."""
     counts = (
         tracks.groupBy(F.year("timestamp").alias("year"), "storm_id")
-        .agg(F.lit(1).alias("_one"))
+        .agg(F.lit(1).alias("_tempestry_one"))
         .groupBy("year")
         .agg(F.count(F.lit(1)).alias("n_storms"))
     )

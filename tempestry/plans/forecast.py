@@ -18,9 +18,9 @@ def lead_times(tracks: DataFrame, order: str = "timestamp") -> DataFrame:
     The first fix comes from a partial aggregate joined back by storm, so a long
     storm is never gathered in one task.
     """
-    first = tracks.groupBy("storm_id").agg(F.min(order).alias("_first"))
-    hours = F.floor(hours_between(F.col("_first"), F.col(order)))
-    return tracks.join(first, "storm_id").withColumn("lead_time", hours).drop("_first")
+    first = tracks.groupBy("storm_id").agg(F.min(order).alias("_tempestry_first"))
+    hours = F.floor(hours_between(F.col("_tempestry_first"), F.col(order)))
+    return tracks.join(first, "storm_id").withColumn("lead_time", hours).drop("_tempestry_first")
 
 
 def forecast_rows(
@@ -34,9 +34,9 @@ def forecast_rows(
     """``forecast_hours // step_hours`` rows per storm after its last fix."""
     steps = forecast_hours // step_hours
     motion = bl.recent_motion(tracks, order, carry=["min_pressure", order, "name"])
-    first = tracks.groupBy("storm_id").agg(F.min(order).alias("_first"))
+    first = tracks.groupBy("storm_id").agg(F.min(order).alias("_tempestry_first"))
     rows = bl.extrapolate(motion, steps, [method], carry=["min_pressure", order, "name"])
-    known = F.floor(hours_between(F.col("_first"), F.col(order)))
+    known = F.floor(hours_between(F.col("_tempestry_first"), F.col(order)))
     ahead = F.col("step") * F.lit(step_hours)
     stamped = rows.join(first, "storm_id").select(
         "storm_id",

@@ -131,18 +131,18 @@ def aligned_windows_patches(
     copied before the join.
     """
     kept = features.shared_fixes(tracks, sequence_length, forecast_length, order, numbered)
-    stamped = kept.withColumn("_stamp", micros(F.col(order)).cast("double"))
+    stamped = kept.withColumn("_tempestry_stamp", micros(F.col(order)).cast("double"))
     windows = features.sliding_sequences(
-        stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_stamp"], order, block_rows, ordered.NUMBER
+        stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_tempestry_stamp"], order, block_rows, ordered.NUMBER
     )
-    steps = windows.select("storm_id", "window_index", F.posexplode("inputs").alias("position", "_in"))
+    steps = windows.select("storm_id", "window_index", F.posexplode("inputs").alias("position", "_tempestry_in"))
     steps = steps.withColumn(
         "timestamp",
-        from_micros(F.element_at("_in", -1).cast("long")),
-    ).withColumn("state", F.slice("_in", 1, len(features.STATE_FEATURES))).drop("_in")
-    shown = patches.fixes_with_cells(grid, kept, patch_size, step_hours).withColumn("_shown", F.lit(True))
+        from_micros(F.element_at("_tempestry_in", -1).cast("long")),
+    ).withColumn("state", F.slice("_tempestry_in", 1, len(features.STATE_FEATURES))).drop("_tempestry_in")
+    shown = patches.fixes_with_cells(grid, kept, patch_size, step_hours).withColumn("_tempestry_shown", F.lit(True))
     window = Window.partitionBy("storm_id", "window_index")
     steps = steps.join(shown, ["storm_id", "timestamp"], "left")
-    steps = steps.withColumn("complete", F.min(F.col("_shown").isNotNull()).over(window)).drop("_shown")
+    steps = steps.withColumn("complete", F.min(F.col("_tempestry_shown").isNotNull()).over(window)).drop("_tempestry_shown")
     images = patch_channels(tracks, grid, step_hours, patch_size, fixes=kept, tiles=tiles, tile_shape=tile_shape)
     return steps.join(images, ["storm_id", "timestamp"], "left")

@@ -1,8 +1,11 @@
 """Writers, and the guard against incomplete scores."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempestry.functions.clock import MICROS_PER_HOUR, micros
+from tempestry.functions.geo import wrap_longitude
+
 STATS_SCHEMA = "variable string, mean double, std double"
 
 
@@ -55,6 +58,71 @@ def write_grid(grid: DataFrame, path: str) -> None:
     laid_out.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+# -- layout by place and time ----------------------------------------------------------------------
+
+#: Steps of each axis on the curve, as a power of two.
+CURVE_BITS = 10
+
+
+def curve_place(hours: float) -> Column:
+    """Place of a cell on a curve through (time, latitude, longitude) that keeps near cells near.
+
+    The bits of the three axes take turns.  One step is ``hours`` long, about 0.18 degrees of latitude or 0.35 of longitude;
+    times count modulo 2 ** CURVE_BITS steps, whole turns coming first.
+    """
+    steps = 1 << CURVE_BITS
+    ticks = F.floor(micros(F.col("time")) / F.lit(hours * MICROS_PER_HOUR)).cast("long")
+    north = F.floor((F.col("latitude").cast("double") + 90) / 180 * (steps - 1)).cast("long")
+    east = F.floor((wrap_longitude(F.col("longitude")).cast("double") + 180) / 360 * (steps - 1)).cast("long")
+    place = F.floor(ticks / steps).cast("long") * (1 << 3 * CURVE_BITS)
+    for bit in range(CURVE_BITS):
+        for turn, axis in enumerate((F.pmod(ticks, F.lit(steps)), north, east)):
+            place = place + F.shiftleft(F.shiftright(axis, bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + 2 - turn)
+    return place
+
+
+def write_pruned_grid(grid: DataFrame, path: str, hours: float = 6.0, files: int | None = None) -> None:
+    """Wide grid along a space-filling curve, so that a file covers a small box and a short time; with an index of the files.
+
+    ``path/cells`` holds the grid, ``path/index`` one row per file with its bounds.
+    """
+    laid_out = grid.withColumn("_curve", curve_place(hours))
+    laid_out = laid_out.repartitionByRange(files, "_curve") if files else laid_out.repartitionByRange("_curve")
+    laid_out.sortWithinPartitions("_curve").drop("_curve").write.mode("overwrite").parquet(f"{path}/cells")
+    cells = grid.sparkSession.read.schema(grid.schema).parquet(f"{path}/cells")
+    bounds = [f(c).alias(f"{f.__name__}_{c}") for c in ("time", "latitude", "longitude") for f in (F.min, F.max)]
+    index = cells.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_cells"), *bounds)
+    index.write.mode("overwrite").parquet(f"{path}/index")
+
+
+def box_files(spark: SparkSession, path: str, south: float, north: float, west: float, east: float, start, end) -> DataFrame:
+    """The index rows of the files that can hold a cell of the box, ends included; ``west`` beyond ``east`` crosses the dateline."""
+    index = spark.read.parquet(f"{path}/index")
+    inside = (F.col("max_latitude") >= south) & (F.col("min_latitude") <= north)
+    inside = inside & (F.col("max_time") >= F.lit(start).cast("timestamp_ntz")) & (F.col("min_time") <= F.lit(end).cast("timestamp_ntz"))
+    beyond_west, beyond_east = F.col("max_longitude") >= west, F.col("min_longitude") <= east
+    return index.where(inside & ((beyond_west & beyond_east) if west <= east else (beyond_west | beyond_east)))
+
+
+def read_box(spark: SparkSession, path: str, south: float, north: float, west: float, east: float, start, end) -> DataFrame:
+    """Cells of a box and time range, ends included, from the files that can hold some.
+
+    The names of those files come to the driver; all others are not opened.
+    """
+    files = [r["file"] for r in box_files(spark, path, south, north, west, east, start, end).select("file").collect()]
+    schema = spark.read.parquet(f"{path}/cells").schema
+    cells = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    lon = F.col("longitude")
+    across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
+    return cells.where(
+        F.col("latitude").between(south, north) & across
+        & F.col("time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    )
+
+
+# -- plain grids -----------------------------------------------------------------------------------
+
+
 def read_grid(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
     grid = spark.read.parquet(path)
     if years is not None:

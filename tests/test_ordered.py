@@ -5,8 +5,9 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempestry.operators import features, ordered, quality
+from tempestry.operators import asof, ensembles, features, ordered, patches, quality
 from tempestry.operators.tracks import history_truth_split
+from tempestry.plans import training
 
 
 @pytest.fixture(scope="module")
@@ -31,34 +32,68 @@ def plain_window():
     return Window.partitionBy("key").orderBy("ts", "id")
 
 
-@pytest.mark.parametrize("max_slices", [8, 500, 4096])
-def test_position_of_hot_keys_equals_row_number(skewed, max_slices):
-    numbered = ordered.with_position(
-        skewed, ["key"], "ts", ["id"], min_rows=10, max_slices=max_slices
-    )
+@pytest.mark.parametrize("min_rows", [5, 100, 3000])
+def test_position_of_hot_keys_equals_row_number(skewed, min_rows):
+    numbered = ordered.with_position(skewed, ["key"], "ts", ["id"], min_rows=min_rows)
     plain = skewed.withColumn("point", F.row_number().over(plain_window()).cast("long"))
     assert rows(numbered.select("id", "point"), "id") == rows(plain.select("id", "point"), "id")
 
 
 def test_position_by_number_column(skewed):
-    numbered = ordered.with_position(skewed, ["key"], "v", ["id"], min_rows=10, max_slices=64)
+    numbered = ordered.with_position(skewed, ["key"], "v", ["id"], min_rows=10)
     over = Window.partitionBy("key").orderBy("v", "id")
     plain = skewed.withColumn("point", F.row_number().over(over).cast("long"))
     assert rows(numbered.select("id", "point"), "id") == rows(plain.select("id", "point"), "id")
 
 
-def test_hot_slices_are_small_and_few(skewed):
-    cuts = ordered.hot_cuts(skewed, ["key"], "ts", min_rows=10, max_slices=200)
-    assert cuts.count() <= 200
-    assert cuts.select(F.sum(F.size("_cuts"))).first()[0] <= 400
-    sliced = ordered._with_slice(skewed, cuts, ["key"], "ts")
-    biggest = sliced.filter("key = 0").groupBy("_slice").count().agg(F.max("count")).first()[0]
-    assert biggest < 2000 / 20
-
-
-def test_no_hot_keys_no_cuts(skewed):
-    assert ordered.hot_cuts(skewed, ["key"], "ts") is None
-    assert ordered.hot_cuts(skewed, ["key"], "ts", min_rows=10, max_slices=2) is None
+def test_position_with_missing_keys_and_odd_values(spark):
+    """Large keys may be missing, and their order values missing, infinite or NaN."""
+    values = [None, float("nan"), float("inf"), float("-inf"), *(float(i * 37 % 101) for i in range(300))]
+    data = [(k, i, v) for k in (None, "a") for i, v in enumerate(values)] + [("b", 1, 2.0), ("c", 1, 3.0), ("c", 2, 3.0)]
+    df = spark.createDataFrame(data, "k string, id int, v double")
+    over = Window.partitionBy("k").orderBy("v", "id")
+    plain = df.withColumn("point", F.row_number().over(over).cast("long"))
+    got = ordered.with_position(df, ["k"], "v", ["id"], min_rows=20)
+    assert rows(got.drop("v"), "k", "id") == rows(plain.drop("v"), "k", "id")
+    text = ordered.with_position(df.withColumn("t", F.col("id").cast("string")), ["k"], "t", min_rows=20)
+    assert text.agg(F.max("point")).first()[0] == 304
+
+
+def test_bins_of_a_hot_key_are_small(skewed):
+    binned = ordered.with_bins(skewed, ["key"], "ts", min_rows=100)
+    sizes = {(r["key"], r[ordered.BIN]): r["count"] for r in binned.groupBy("key", ordered.BIN).count().collect()}
+    assert max(n for (key, _), n in sizes.items() if key == 0) < 2000 / 20
+    assert {b for key, b in sizes if key != 0} == {0}
+
+
+def jobs_while_building(spark, make):
+    """Number of jobs that are started before anything is asked of the plan."""
+    context = spark.sparkContext
+    context.setJobGroup("building", "building")
+    make()
+    found = len(context.statusTracker().getJobIdsForGroup("building"))
+    context.setJobGroup("after", "after")
+    return found
+
+
+def test_plans_are_built_without_jobs(spark, make_tracks, skewed):
+    tracks = make_tracks({f"S{i}": [(10 + j, -50 - j, 40 + j, 1000 - j) for j in range(8)] for i in range(3)})
+    grid = spark.range(4).selectExpr(
+        "timestamp_ntz '2023-09-05 00:00:00' AS time", "8.0 + id AS latitude", "-52.0 + id AS longitude", "1.0 AS u10", "2.0 AS msl"
+    )
+    for make in [
+        lambda: ordered.with_position(skewed, ["key"], "ts"),
+        lambda: features.track_features(tracks),
+        lambda: features.haversine_steps(tracks),
+        lambda: quality.dq_verdict(tracks, grid, strict=True),
+        lambda: training.training_sequences(tracks, 3, 2),
+        lambda: training.aligned_windows_patches(tracks, grid, 6, 2, 1),
+        lambda: ensembles.ensemble_median(skewed, ["key"], ["v"]),
+        lambda: ensembles.crps_ensemble(skewed, skewed.select("key", F.col("v").alias("y")), ["key"], "v", "y"),
+        lambda: asof.nearest_analysis(tracks, grid),
+        lambda: patches.patch_images(grid, tracks, step_hours=6),
+    ]:
+        assert jobs_while_building(spark, make) == 0
 
 
 @pytest.mark.parametrize("size", [4, 10, 1000, 10**6])

@@ -197,7 +197,7 @@ def members(spark):
     return spark.createDataFrame(data, "case int, member string, x double, y double"), data
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_rows": 3, "max_slices": 40}])
+@pytest.mark.parametrize("limits", [{}, {"min_rows": 3}])
 def test_crps_and_median_against_definitions(members, limits):
     table, data = members
     observed = table.select("case", "y").distinct()

@@ -1,12 +1,15 @@
 """Queries on gridded fields, patches around storms and conservation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tempestry.operators import asof, hooks, patches
 from tempestry.operators import conservation as cv
 from tempestry.operators import grid as gr
-from tempestry.operators import asof, hooks, patches
 from tempestry.operators import quality as dq
 from tempestry.plans import training as tp
+from tempestry.sources import sinks, staging
 from workload import fixtures as fx
 from workload.oracle_tables import r
 from workload.registry import Registry
@@ -197,6 +200,20 @@ def _(spark, sf):
     return aligned.select("storm_id", "timestamp", "analysis_time")
 
 
+@Q.add(
+    "pruned_box_read",
+    f"""SELECT {AT}, {r("msl", "u10")}, true AS some_files_skipped FROM grid_dateline
+        WHERE latitude BETWEEN 12 AND 33 AND (longitude >= 160 OR longitude <= -150)
+          AND "time" BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-09 12:00:00'""",
+)
+def _(spark, sf):
+    path = f"{staging.shared_dir(spark)}/pruned-{uuid.uuid4().hex}"
+    sinks.write_pruned_grid(fx.grid_dateline(spark, sf).select("time", "latitude", "longitude", "msl", "u10"), path, 24.0, 24)
+    box = (12, 33, 160, -150, "2024-01-02 00:00:00", "2024-01-09 12:00:00")
+    skipped = sinks.box_files(spark, path, *box).count() < spark.read.parquet(f"{path}/index").count()
+    return sinks.read_box(spark, path, *box).withColumn("some_files_skipped", F.lit(skipped))
+
+
 @Q.add(
     "nearest_analysis_join",
     """SELECT storm_id, "timestamp", latitude, arg_min("time", (gap, "time")) AS analysis_time FROM (

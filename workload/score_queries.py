@@ -230,6 +230,25 @@ def _(spark, sf):
     )
 
 
+@Q.add(
+    "custom_metric_partial",
+    f"""SELECT forecast, {r("sqrt(avg((wind - true_wind) * (wind - true_wind))) AS wind_rmse")} FROM pairs GROUP BY forecast""",
+    _scored("baseline_rows"),
+)
+def _(spark, sf):
+    cases, _short = mt.storm_cases(fx.tracks(spark, sf), HISTORY, STEPS)
+    pairs = mt.baseline_pairs(cases, STEPS, bl.DEFAULT_BASELINES)
+
+    def partial(rows):
+        off = (rows["wind"] - rows["true_wind"]).dropna()
+        return [len(off), float((off * off).sum())]
+
+    return mt.score_with_partials(
+        pairs, "wind_rmse", partial, lambda a, b: [x + y for x, y in zip(a, b)], lambda s: (s[1] / s[0]) ** 0.5 if s[0] else None,
+        by=["forecast"],
+    )
+
+
 @Q.add(
     "model_forecast",
     f"""SELECT storm_id, 'damped' AS forecast, step, {r("lat0 + dlat * 0.5e0 * step AS latitude",
@@ -254,7 +273,24 @@ def _(spark, sf):
             ]
         )
 
-    return hooks.storm_forecaster(_history(spark, sf), damped, STEPS, name="damped", order="step")
+    made = hooks.storm_forecaster(_history(spark, sf), damped, STEPS, name="damped", order="step")
+    return made.drop("error")
+
+
+@Q.add(
+    "model_errors",
+    """SELECT storm_id, count(*) AS n_steps, CASE WHEN wind0 > 100 THEN 'ValueError: too strong' END AS error
+       FROM motion, range(1, 3) AS s(step) GROUP BY storm_id, wind0""",
+    _CASES,
+)
+def _(spark, sf):
+    def picky(features, steps, step_hours):
+        if features.iloc[-1]["max_wind"] > 100:
+            raise ValueError("too strong")
+        return features.tail(1).loc[lambda f: f.index.repeat(steps)]
+
+    made = hooks.storm_forecaster(_history(spark, sf), picky, 2, name="picky", order="step")
+    return made.groupBy("storm_id", "error").agg(F.count(F.lit(1)).alias("n_steps"))
 
 
 # -- ensembles ---------------------------------------------------------------------------------
