@@ -70,7 +70,7 @@ def tiled(boxes: DataFrame, cells: DataFrame, tile: float, on_times: bool, dense
     counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tempestry_boxes")).where(F.col("_tempestry_boxes") > dense)
     parts = F.ceil(F.col("_tempestry_boxes") / F.lit(float(dense))).alias("_tempestry_parts")
     crowded = F.broadcast(counts.select(*keys, parts))
-    dealt = F.pmod(F.monotonically_increasing_id(), F.coalesce("_tempestry_parts", F.lit(1)))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_tempestry_parts", F.lit(1)))
     placed = placed.join(crowded, keys, "left").withColumn("_tempestry_part", dealt).drop("_tempestry_parts")
     each = F.sequence(F.lit(0).cast("long"), F.coalesce("_tempestry_parts", F.lit(1)) - 1)
     cells = cells.join(crowded, keys, "left").withColumn("_tempestry_part", F.explode(each)).drop("_tempestry_parts")

@@ -81,3 +81,12 @@ def test_grid(spark):
     assert found["range_high", "latitude"] == (95.0, False) and found["range_high", "longitude"] == (9.0, True)
     missing = {(r.rule, r.subject): r.is_valid for r in dq.dq_grid(grid.drop("time")).collect()}
     assert not missing["required_dimension", "time"]
+
+
+def test_grid_columns_of_any_type(spark):
+    grid = spark.createDataFrame(
+        [(datetime(2023, 9, 5), 1.0, 2.0, "a", None, float("nan"), 3), (datetime(2023, 9, 5), 1.0, 3.0, None, None, 1.0, None)],
+        "time timestamp_ntz, latitude double, longitude double, note string, day date, u10 float, n int",
+    )
+    shares = {r.subject: r.value for r in dq.dq_grid(grid).collect() if r.rule == "missing_share"}
+    assert shares == {"note": 50.0, "day": 100.0, "u10": 50.0, "n": 50.0}

@@ -263,3 +263,69 @@ def test_model_rollout(spark):
     assert rows(last.select("id", "prediction"), "id") == [(1, [4.0, 5.0]), (2, [6.0, 7.0])]
     every = hooks.model_rollout(table, "state", lambda a: a + 1, 3, every_step=True)
     assert every.count() == 6 and every.filter("id = 2 and step = 2").first()["prediction"] == [5.0, 6.0]
+
+
+# -- missing values, errors and columns of any name ----------------------------------------------
+
+
+def test_nan_members_are_missing(spark):
+    nan = float("nan")
+    table = spark.createDataFrame([(1, 1.0, 2.0), (1, nan, 2.0), (1, 3.0, 2.0), (2, nan, 1.0), (3, 5.0, nan)], "case int, x double, y double")
+    truth = table.select("case", "y").distinct()
+    got = {r.case: (r.n_members, r.crps) for r in en.crps_ensemble(table, truth, ["case"], "x", "y").collect()}
+    assert got == {1: (2, pytest.approx(1.0 - 0.5)), 3: (1, None)}
+    assert {r.case: r.x for r in en.ensemble_median(table, ["case"], ["x"]).collect()} == {1: 2.0, 3: 5.0}
+
+
+def test_a_hot_case_stays_split(spark):
+    """A third of all members belong to one case: they are exchanged by value bins, and the scores are exact."""
+    rng = np.random.default_rng(5)
+    data = [(0 if i % 3 == 0 else i % 50 + 1, float(v)) for i, v in enumerate(rng.exponential(size=6000))]
+    table = spark.createDataFrame(data, "case int, x double")
+    truth = spark.createDataFrame([(c, 0.5) for c in range(51)], "case int, y double")
+    binned = ordered.spread(ordered.with_bins(table, ["case"], "x", 200), ["case"])
+    sizes = binned.groupBy(ordered.HOME).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 200 and sizes[1] > 100
+    got = {r.case: r.crps for r in en.crps_ensemble(table, truth, ["case"], "x", "y", min_rows=200).collect()}
+    middle = {r.case: r.x for r in en.ensemble_median(table, ["case"], ["x"], min_rows=200).collect()}
+    for case in range(51):
+        x = np.sort([v for c, v in data if c == case])
+        n = len(x)
+        spread = ((2 * np.arange(1, n + 1) - n - 1) * x).sum() / n**2
+        assert got[case] == pytest.approx(np.abs(x - 0.5).mean() - spread) and middle[case] == pytest.approx(np.median(x))
+
+
+def test_nan_truth_gives_missing_scores(make_tracks):
+    tracks = make_tracks({"A": [(10, 20, 30), (11, 21, 31), (float("nan"), 22, 32), (13, 23, 33), (14, 24, 34)]})
+    row = ev.evaluate(tracks, 2, 3, baselines=["persistence"]).per_storm.first().asDict()
+    assert row["track_error"] is None and row["along_track_error"] is None and row["cross_track_error"] is None
+    assert row["intensity_mae"] is not None
+
+
+def test_partial_states_of_a_metric_are_merged(spark):
+    data = [(f"S{i % 2}" if i % 7 else None, "f", i, float(i % 13)) for i in range(500)]
+    pairs = spark.createDataFrame(data, "storm_id string, forecast string, step int, wind double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        made = mt.score_with_partials(
+            pairs, "top", lambda rows: [len(rows), rows["wind"].sum()], lambda a, b: [a[0] + b[0], a[1] + b[1]],
+            lambda s: s[1] / s[0], held=1,
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for storm, _, _, wind in data:
+        want.setdefault(storm, []).append(wind)
+    assert {r.storm_id: pytest.approx(r.top) for r in made} == {k: sum(v) / len(v) for k, v in want.items()}
+
+
+def test_model_errors_are_shown(make_tracks):
+    def predict(features, steps, step_hours):
+        if features["max_wind"].max() > 50:
+            raise ValueError("too strong")
+        return features.tail(1).loc[lambda f: f.index.repeat(steps)]
+
+    tracks = make_tracks({"A": [(10, 20, 30)] * 3, "B": [(10, 20, 60)] * 3})
+    made = hooks.storm_forecaster(tracks, predict, 2).collect()
+    assert {(r.storm_id, r.error) for r in made} == {("A", None), ("B", "ValueError: too strong")}
+    assert len(made) == 4

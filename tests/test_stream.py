@@ -37,9 +37,9 @@ def test_row_wise_operators_on_a_stream(spark, make_tracks, tmp_path):
 
 def test_fix_lines_on_a_stream(spark, tmp_path):
     lines = spark.createDataFrame(
-        [("AL092023, LEE, 80,", "20230905, 0000,  , TD, 15.0N,  42.9W,  30, 1008")], "_storm string, value string"
+        [("QX052030, WILLOW, 3,", "20300812, 0000,  , TD, 13.7N,  28.4W,  25, 1010")], "_storm string, value string"
     )
     lines.write.parquet(str(tmp_path / "lines"))
     stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "lines"))
     made = drain(spark, best_track.decode_fixes(stream), "seen_fixes", tmp_path)
-    assert made.first()["longitude"] == -42.9
+    assert made.first()["longitude"] == -28.4

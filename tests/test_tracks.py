@@ -149,3 +149,19 @@ def test_storm_package(make_tracks):
         training.storm_package({"best_track": tracks}, source="elsewhere")
     package = training.storm_package({"best_track": tracks}, storm_ids=["A"], include_tiles=True)
     assert package.grid is None and package.track.count() == 1 and package.tiles.count() == 4
+
+
+def test_columns_of_any_name_are_kept(make_tracks):
+    tracks = make_tracks({"A": [(10 + i, 20 + i, 30 + i, 1000 - i) for i in range(4)]})
+    own = {"_number": F.lit(99), "_lat": F.lit("mine"), "_block": F.lit(True), "_before": F.lit(1.5), "_bin": F.lit("x")}
+    named = tracks.withColumns(own)
+    for made in (ft.haversine_steps(named), ft.track_features(named), tr.history_truth_split(named, 2, 1)):
+        assert {tuple(r) for r in made.select(*own).collect()} == {(99, "mine", True, 1.5, "x")}
+
+
+def test_nan_is_missing_in_scalers(make_tracks):
+    tracks = make_tracks({"A": [(10, 20, 30, 1000), (float("nan"), 22, 34, 1004), (14, 24, 38, 1008)]})
+    stats = ft.scaler_fit(tracks).first()
+    assert stats["latitude_mean"] == 12.0 and stats["n_rows"] == 3
+    scaled = [r.latitude for r in ft.track_zscore(tracks).orderBy("timestamp").collect()]
+    assert scaled[1] is None and scaled[0] == -scaled[2]
