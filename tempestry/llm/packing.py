@@ -123,11 +123,12 @@ def balance(counts, width=WIDTH, linear=LINEAR, quadratic=QUADRATIC):
 
 def pack(docs: DataFrame, path: str, width=WIDTH, id_col="doc_id", text_col="text", linear=LINEAR, quadratic=QUADRATIC):
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    tokens = stored(tokenised(docs, path, width, id_col, text_col), "tokens")
+    # Drawn by the row's place too: rows of one id, or without any, would all get one salt.
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    tokens = stored(tokenised(docs, path, width, id_col, text_col).withColumn("_salt", salt), "tokens")
     dtype = byte_bpe(path).dtype
     tail_length = (F.length("tail") / F.lit(dtype.itemsize)).cast("int")
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
-    keyed = tokens.withColumns({"_tail": tail_length, "_salt": salt})
+    keyed = tokens.select(id_col, "doc_tokens", "full_crcs", "tail", tail_length.alias("_tail"), "_salt")
     groups = keyed.groupBy("_tail", "_salt").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.size("full_crcs")).alias("full")
     )
