@@ -22,7 +22,7 @@ from tempestry.llm import (
     simhash,
     token_counts,
 )
-from tempestry.llm.common import crc_bucket, table
+from tempestry.llm.common import crc_bucket, stored, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), byte_bpe.default_path())
-    return token_counts.limits(histogram)
+    # Written once, so that texts are encoded once; a row per length.
+    answers = token_counts.limits(stored(histogram, "lengths"), token_counts.CONTEXT_LIMITS)
+    answers = stored(answers, "limits")
+    found = token_counts.quantiles(answers, token_counts.SHARES).where("n_tokens IS NOT NULL")
+    return answers.withColumn("quantile_of", F.lit(None).cast("double")).unionByName(
+        answers.join(found.withColumnRenamed("share", "quantile_of"), "n_tokens")
+    )
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ The histogram has at most as many rows as there are different lengths. Sums run
 over the ranges' totals, so no task sees more than one range or one row per range.
 
 Null and empty texts have length 0. Ids are not used; repeated rows count each time. An empty table gives an
-empty histogram.
+empty histogram, no quantiles and only the limits asked for. Very long texts are encoded whole. Extra columns take no part.
 """
 
 import numpy as np
@@ -18,6 +18,9 @@ from tempestry.llm.byte_bpe import byte_bpe
 from tempestry.llm.common import text_function
 
 RANGE = 1024
+#: Usual context limits and quantiles that are answered beside the lengths that occur.
+CONTEXT_LIMITS = tuple(1 << n for n in range(7, 21))
+SHARES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
 
 def token_count(text: Column, path: str) -> Column:
@@ -41,13 +44,18 @@ def length_histogram(docs: DataFrame, path: str, text="text") -> DataFrame:
     return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def limits(histogram: DataFrame) -> DataFrame:
-    """Per length taken as a context limit, from suffix sums of the histogram.
+def limits(histogram: DataFrame, asked=()) -> DataFrame:
+    """Per length, and per limit asked for whether it occurs or not, taken as a context limit, from suffix sums.
 
     docs_over, tokens_over: documents longer than the limit and their tokens; tokens_kept: tokens of the others;
     tokens_truncated: tokens when longer documents are cut to the limit; share_within: documents of at most
     that length, as a share (the length is the quantile of every share up to it and above the previous one).
+    A limit asked for that is no length has 0 docs. Between two rows every answer is that of the lower one, but for
+    tokens_truncated, which rises by docs_over with each token; so all limits are answered. A null limit is left out.
     """
+    if asked:
+        wanted = histogram.sparkSession.range(1).select(F.explode(F.array(*[F.lit(int(n)).cast("long") for n in asked])).alias("n_tokens"))
+        histogram = histogram.unionByName(wanted.withColumn("docs", F.lit(0).cast("long"))).groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
     tokens = F.col("n_tokens") * F.col("docs")
     cells = histogram.select("*", tokens.alias("tokens"), F.floor(F.col("n_tokens") / RANGE).alias("range"))
     totals = cells.groupBy("range").agg(F.sum("docs").alias("docs_in"), F.sum("tokens").alias("tokens_in"))
@@ -76,15 +84,15 @@ def limits(histogram: DataFrame) -> DataFrame:
             (F.col("all_tokens") - F.col("tokens_over") + F.col("n_tokens") * F.col("docs_over")).alias(
                 "tokens_truncated"
             ),
-            ((F.col("all_docs") - F.col("docs_over")) / F.col("all_docs")).alias("share_within"),
+            F.try_divide(F.col("all_docs") - F.col("docs_over"), F.col("all_docs")).alias("share_within"),
         )
     )
 
 
 def quantiles(answers: DataFrame, shares) -> DataFrame:
     """(share, n_tokens): the smallest length that at least the share of documents does not exceed."""
-    wanted = answers.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    at = answers.select(F.explode(F.array(*[F.when(F.col("share_within") >= float(s), F.lit(float(s))) for s in shares])).alias("share"), "n_tokens")
+    wanted = answers.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    at = answers.where("docs > 0").select(F.explode(F.array(*[F.when(F.col("share_within") >= float(s), F.lit(float(s))) for s in shares])).alias("share"), "n_tokens")
     return wanted.join(at.groupBy("share").agg(F.min("n_tokens").alias("n_tokens")), "share", "left")
 
 
