@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words are runs of bytes outside ASCII white space, which is what bytes.split() cuts at.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: So many texts of an Arrow batch are Python objects at a time.
+AT_ONCE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,10 @@ def text_function(make, returns: str, name: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
-            yield work(batch.cast(pa.binary()).to_pylist())
+            texts = batch.cast(pa.binary())
+            # a few rows at a time are Python objects beside the Arrow batch
+            parts = [work(texts.slice(i, AT_ONCE).to_pylist()) for i in range(0, max(len(texts), 1), AT_ONCE)]
+            yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     run.__name__ = name
     return F.arrow_udf(run, returns).asNondeterministic()

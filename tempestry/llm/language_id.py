@@ -34,7 +34,7 @@ SMOOTHING = 0.1
 #: So many words' worth of evidence decide how sure the answer is.
 EVIDENCE = 12
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 UNKNOWN = "und"
 
 
