@@ -56,10 +56,11 @@ def training_sequences(
     forecast_length: int = 4,
     order: str = "timestamp",
     block_rows: int = ordered.BLOCK_ROWS,
+    numbered: str | None = None,
 ) -> DataFrame:
     """Features, normalised over all storms, cut into windows."""
-    numbered = ordered.with_points(tracks, ["storm_id"], order)
-    made = features.track_features(numbered, order=order, block_rows=block_rows, numbered=ordered.NUMBER)
+    points = ordered.with_points(tracks, ["storm_id"], order, numbered)
+    made = features.track_features(points, order=order, block_rows=block_rows, numbered=ordered.NUMBER)
     scaled = features.track_zscore(made)
     return features.sliding_sequences(
         scaled, sequence_length, forecast_length, order=order, block_rows=block_rows, numbered=ordered.NUMBER

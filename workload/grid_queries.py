@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tempestry.operators import asof, hooks, patches
+from tempestry.operators import asof, hooks, ordered, patches
 from tempestry.operators import conservation as cv
 from tempestry.operators import grid as gr
 from tempestry.operators import quality as dq
@@ -374,7 +374,9 @@ def _(spark, sf):
     digits=4,
 )
 def _(spark, sf):
-    made = tp.aligned_windows_patches(fx.tracks(spark, sf), fx.grid(spark, sf), fx.GRID_STEP_HOURS, 2, 1)
+    made = tp.aligned_windows_patches(
+        fx.tracks(spark, sf), fx.grid(spark, sf), fx.GRID_STEP_HOURS, 2, 1, numbered=ordered.POINT
+    )
     return made.select(
         "storm_id", "window_index", F.col("position").alias("place"), "row", "col",
         F.element_at("state", 1).alias("latitude"), F.element_at("state", 3).alias("max_wind"),

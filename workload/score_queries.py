@@ -230,6 +230,26 @@ def _(spark, sf):
     )
 
 
+@Q.add(
+    "custom_baseline",
+    f"""SELECT storm_id, forecast, step, {r("lat0 + 0.25e0 * step AS latitude", "lon0 AS longitude")}, wind0 AS max_wind
+        FROM motion, (VALUES ('northward')) AS m(forecast), range(1, {STEPS + 1}) AS s(step) UNION ALL
+        SELECT storm_id, forecast, step, {r("lat AS latitude", "lon AS longitude")}, wind FROM baseline_rows WHERE forecast = 'gfs'""",
+    _CASES,
+)
+def _(spark, sf):
+    def northward(history, steps):
+        last = bl.recent_motion(history, "step").select("storm_id", "last.*")
+        rows = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+        return rows.withColumn("latitude", F.col("latitude") + F.col("step") * 0.25)
+
+    bl.register_baseline("northward", northward)
+    try:
+        return bl.baseline_forecasts(_history(spark, sf), STEPS, ["gfs", "northward"], "step")
+    finally:
+        bl._BUILDERS.pop("northward")
+
+
 @Q.add(
     "custom_metric_partial",
     f"""SELECT forecast, {r("sqrt(avg((wind - true_wind) * (wind - true_wind))) AS wind_rmse")} FROM pairs GROUP BY forecast""",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions.clock import temporal_features
 from tempestry.operators import features as ft
+from tempestry.operators import ordered
 from tempestry.operators import quality as dq
 from tempestry.operators import tracks as tr
 from tempestry.plans import forecast as fc
@@ -443,7 +444,7 @@ HAVERSINE = (
         FROM (SELECT *, lag(latitude) {OVER} AS a, lag(longitude) {OVER} AS c FROM tracks)""",
 )
 def _(spark, sf):
-    return ft.haversine_steps(fx.tracks(spark, sf)).select("storm_id", "timestamp", "step_km")
+    return ft.haversine_steps(fx.tracks(spark, sf), numbered=ordered.POINT).select("storm_id", "timestamp", "step_km")
 
 
 def _fit_sql(source, by=""):
@@ -536,7 +537,7 @@ def _(spark, sf):
     },
 )
 def _(spark, sf):
-    windows = tp.training_sequences(fx.tracks_dirty(spark, sf), 4, 2)
+    windows = tp.training_sequences(fx.tracks_dirty(spark, sf), 4, 2, numbered=ordered.POINT)
     return _places(windows, ft.SEQUENCE_FEATURES)
 
 
@@ -558,7 +559,7 @@ def _(spark, sf):
     {"placed": _NUMBERED + "tracks"},
 )
 def _(spark, sf):
-    return _places(ft.aligned_windows(fx.tracks(spark, sf), 8, 4), ft.STATE_FEATURES)
+    return _places(ft.aligned_windows(fx.tracks(spark, sf), 8, 4, numbered=ordered.POINT), ft.STATE_FEATURES)
 
 
 # -- forecast tracks ---------------------------------------------------------------------------
@@ -712,7 +713,7 @@ _GRID_OK = "(SELECT count(*) - count(sst) <= 0.1e0 * count(*) FROM grid_gap)"
     _CHECKED,
 )
 def _(spark, sf):
-    return dq.dq_verdict(fx.tracks_dirty(spark, sf), fx.grid_gap(spark, sf))
+    return dq.dq_verdict(fx.tracks_dirty(spark, sf), fx.grid_gap(spark, sf), numbered=ordered.POINT)
 
 
 @Q.add(
@@ -723,3 +724,54 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return dq.dq_verdict(fx.tracks_dirty(spark, sf), fx.grid(spark, sf), strict=True)
+
+
+_REVALIDATED = {
+    **_forecast("1e0"),
+    "forecasted": """
+        SELECT storm_id, "timestamp", latitude, longitude, max_wind, min_pressure FROM past UNION ALL
+        SELECT storm_id, "timestamp", latitude, longitude, max_wind, min_pressure FROM future""",
+    **{name: text.replace("FROM tracks_dirty", "FROM forecasted") for name, text in _CHECKED.items()},
+}
+
+
+@Q.add(
+    "forecast_revalidation",
+    f"""SELECT storm_id, {_sum(_SOFT)} AS track_valid, {_sum(dq.PHYSICS_RULES)} AS physics_valid, TRUE AS grid_valid,
+          {_sum(_SOFT)} AS is_valid FROM counted""",
+    _REVALIDATED,
+)
+def _(spark, sf):
+    track, verdict = fc.checked_forecast(fx.tracks(spark, sf), method="cliper5", smooth=False)
+    return verdict
+
+
+@Q.add(
+    "storm_from_archive",
+    f"""SELECT storm_id, name, "timestamp", latitude, longitude, max_wind, {r("min_pressure")}
+        FROM base_tracks WHERE event_id % 29 <> 0 AND event_id % 31 <> 0 AND storm_id = 'EV000003'""",
+)
+def _(spark, sf):
+    return arrays.storm_from_arrays(fx.storm_arrays(spark, sf), "EV000003")
+
+
+@Q.add(
+    "hemisphere_signs",
+    f"""SELECT storm_id, name, date_trunc('minute', "timestamp") AS "timestamp", {r(
+        "CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END * (event_id % 800 / 10e0) AS latitude",
+        "CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (event_id % 1790 / 10e0) AS longitude")} FROM base_tracks""",
+)
+def _(spark, sf):
+    event = F.col("event_id")
+
+    def degrees(steps, other, usual, opposite):
+        side = F.when(event % other == 0, F.lit(opposite)).otherwise(F.lit(usual))
+        return F.concat(F.format_string("%.1f", event % steps / 10.0), side)
+
+    fix = F.concat_ws(
+        ", ", F.date_format("timestamp", "yyyyMMdd"), F.date_format("timestamp", "HHmm"), F.lit(" "), F.lit("TS"),
+        degrees(800, 2, "N", "S"), degrees(1790, 3, "E", "W"), F.lit("50"), F.lit("-999"),
+    )
+    header = F.concat(F.col("storm_id"), F.lit(", "), F.col("name"), F.lit(", 1,"))
+    lines = fx.numbered_tracks(spark, sf).select(header.alias("_storm"), fix.alias("value"))
+    return best_track.decode_fixes(lines).select("storm_id", "name", "timestamp", "latitude", "longitude")
