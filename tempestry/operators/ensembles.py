@@ -27,17 +27,16 @@ def ensemble_median(
     long = clean.unpivot(by, columns, "_tempestry_variable", "_tempestry_value").filter(F.col("_tempestry_value").isNotNull())
     keys = [*by, "_tempestry_variable"]
     binned = ordered.spread(ordered.with_bins(long, keys, "_tempestry_value", min_rows), keys)
-    # the lowest value is asked for so that both uses of the exchange read the same columns
-    totals = ordered.bin_totals(binned, keys, _lowest=F.min("_tempestry_value"))
+    # totals read the values too, so that both uses of the exchange have the same columns and it is made once
+    totals = ordered.bin_totals(binned, keys, _tempestry_lowest=F.min("_tempestry_value"))
     lower = F.floor((F.col("_tempestry_rows") + 1) / 2)
     upper = F.floor((F.col("_tempestry_rows") + 2) / 2)
     middle = totals.filter((F.col("_tempestry_before") < upper) & (F.col("_tempestry_before") + F.col("_tempestry_in") >= lower))
-    inside = ordered.join_totals(binned, middle.drop("_tempestry_lowest"), keys)
+    inside = ordered.join_totals(binned, middle, keys)
     rank = F.row_number().over(Window.partitionBy(ordered.HOME, *keys, ordered.BIN).orderBy("_tempestry_value")) + F.col("_tempestry_before")
     chosen = inside.withColumn("_tempestry_rank", rank).filter(F.col("_tempestry_rank").between(lower, upper))
-    return chosen.groupBy(*by).agg(
-        *[F.avg(F.when(F.col("_tempestry_variable") == c, F.col("_tempestry_value"))).alias(c) for c in columns]
-    )
+    value = F.greatest("_tempestry_value", "_tempestry_lowest")
+    return chosen.groupBy(*by).agg(*[F.avg(F.when(F.col("_tempestry_variable") == c, value)).alias(c) for c in columns])
 
 
 def ensemble_blend(
@@ -80,16 +79,19 @@ def crps_ensemble(
     The observation joins the bins' totals first.  A NaN observation is a missing one: the score is missing.
     """
     narrow = members.select(*case, known(F.col(value).cast("double")).alias("_tempestry_x")).filter(F.col("_tempestry_x").isNotNull())
+    # rows of no case join no observation; without them both uses of the exchange are one
+    for c in case:
+        narrow = narrow.filter(F.col(c).isNotNull())
     truth = observations.select(*case, known(F.col(observed).cast("double")).alias("_tempestry_y"))
     binned = ordered.spread(ordered.with_bins(narrow, case, "_tempestry_x", min_rows), case)
-    totals = ordered.bin_totals(binned, case, _lowest=F.min("_tempestry_x")).drop("_tempestry_lowest", "_tempestry_in").join(truth, case)
+    totals = ordered.bin_totals(binned, case, _tempestry_sum=F.sum("_tempestry_x")).drop("_tempestry_in").join(truth, case)
     placed = ordered.join_totals(binned, totals, case)
     rank = F.row_number().over(Window.partitionBy(ordered.HOME, *case, ordered.BIN).orderBy("_tempestry_x")) + F.col("_tempestry_before")
     x = F.col("_tempestry_x")
     parts = placed.withColumn("_tempestry_rank", rank).groupBy(ordered.HOME, *case, ordered.BIN).agg(
         F.max("_tempestry_rows").alias("_tempestry_n"),
         F.sum(F.col("_tempestry_rank") * x).alias("_tempestry_ranked"),
-        F.sum(x).alias("_tempestry_sum"),
+        F.max("_tempestry_sum").alias("_tempestry_sum"),
         F.sum(F.abs(x - F.col("_tempestry_y"))).alias("_tempestry_off"),
     )
     n = F.max("_tempestry_n")
