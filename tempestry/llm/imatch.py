@@ -2,8 +2,8 @@
 
 The lexicon holds the words whose share of documents lies in a band, so neither function words nor accidents
 count. A fingerprint is a row of hashes, each of the sorted distinct terms of the text that one random subset of
-the lexicon keeps: all terms, a half, ... down to a 64th, so that small changes leave most hashes alone and large
-ones at least some of the sparsest. Likeness is the share of equal hashes among subsets that keep a term of
+the lexicon keeps: all terms, a quarter, ... down to a 512th, so that small changes leave most hashes alone. Sparse subsets
+are many: where half of a text is replaced, most of its terms change, and only subsets that keep one or two of them agree. Likeness is the share of equal hashes among subsets that keep a term of
 either text; two texts without any word are alike (1).
 
 The lexicon's size has a bound that does not depend on the number of documents: a share s of documents can be
@@ -28,7 +28,7 @@ from tempestry.llm.vocabulary import document_frequencies, words_of
 #: Shares of documents that bound the band of inverse document frequency.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.1
 #: How many subsets keep which share of the lexicon.
-SUBSETS = ((1, 1), (3, 2), (4, 4), (4, 8), (4, 16), (8, 32), (8, 64))
+SUBSETS = ((1, 1), (1, 4), (2, 8), (4, 16), (8, 32), (16, 64), (16, 128), (16, 256), (16, 512))
 RATES = tuple(1 / part for times, part in SUBSETS for _ in range(times))
 EMPTY = "0" * 8
 
