@@ -138,12 +138,23 @@ def load_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATS_SCHEMA).json(path)
 
 
-def require_complete(scores: DataFrame) -> None:
-    """Raise if any score is missing; one aggregate row comes back."""
+def missing_scores(scores: DataFrame) -> DataFrame:
+    """(metric, n_missing): how many scores of each metric are missing or NaN."""
+    kinds = dict(scores.dtypes)
     metrics = [c for c in scores.columns if c not in ("storm_id", "forecast")]
-    gaps = scores.agg(
-        *[F.count(F.when(F.col(m).isNull() | F.isnan(m), 1)).alias(m) for m in metrics]
-    ).first()
-    bad = {m: gaps[m] for m in metrics if gaps[m]}
+    if not metrics:
+        raise ValueError("the table has no metric")
+
+    def gaps(m):
+        gone = F.col(m).isNull() | F.isnan(m) if kinds[m] in ("float", "double") else F.col(m).isNull()
+        return F.struct(F.lit(m).alias("metric"), F.count(F.when(gone, 1)).alias("n_missing")).alias(m)
+
+    counted = scores.agg(*[gaps(m) for m in metrics])
+    return counted.select(F.inline(F.array(*metrics)))
+
+
+def require_complete(scores: DataFrame) -> None:
+    """Raise if any score is missing; a row per metric comes back."""
+    bad = {r["metric"]: r["n_missing"] for r in missing_scores(scores).collect() if r["n_missing"]}
     if bad:
         raise ValueError(f"missing scores: {bad}")

@@ -1,12 +1,16 @@
 """Queries on forecasts, scores and ensembles."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tempestry.operators import baselines as bl
 from tempestry.operators import ensembles as en
+from tempestry.operators import grid as gr
 from tempestry.operators import hooks
 from tempestry.operators import metrics as mt
 from tempestry.plans import evaluate as ev
+from tempestry.sources import sinks, staging
 from workload import fixtures as fx
 from workload.oracle_tables import OVER, r
 from workload.registry import Registry
@@ -230,6 +234,69 @@ def _(spark, sf):
     )
 
 
+# -- written and read back -----------------------------------------------------------------------
+
+
+def _folder(spark, name):
+    return f"{staging.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@Q.add(
+    "scores_written",
+    f"SELECT kind, storm_id, forecast, {r(*mt.DEFAULT_METRICS)} FROM scores, (VALUES ('csv'), ('json')) AS k(kind)",
+    _scored("baseline_rows"),
+)
+def _(spark, sf):
+    scores = ev.evaluate(fx.tracks(spark, sf), HISTORY, STEPS).per_storm
+    base = _folder(spark, "scores")
+    sinks.write_scores(scores, f"{base}/table")
+    sinks.write_scores(scores, f"{base}/table.json")
+    csv = spark.read.schema(scores.schema).option("header", True).csv(f"{base}/table").withColumn("kind", F.lit("csv"))
+    return csv.unionByName(spark.read.schema(scores.schema).json(f"{base}/table.json").withColumn("kind", F.lit("json")))
+
+
+@Q.add(
+    "storm_dataset_written",
+    f"""SELECT 'track' AS part, storm_id, "timestamp" AS "time", {r("latitude", "max_wind AS value")} FROM tracks UNION ALL
+        SELECT 'track by storm', storm_id, "timestamp", {r("latitude", "max_wind AS value")} FROM tracks UNION ALL
+        SELECT 'grid', NULL, "time", {r("latitude", "msl AS value")} FROM grid""",
+)
+def _(spark, sf):
+    tracks, grid = fx.tracks(spark, sf), fx.grid(spark, sf)
+    base = _folder(spark, "dataset")
+    sinks.write_storm_dataset(tracks, base, grid)
+    sinks.write_storm_dataset(tracks, f"{base}-by-storm", per_storm=True)
+
+    def part(path, name, time, value, storm):
+        rows = spark.read.parquet(path)
+        return rows.select(F.lit(name).alias("part"), storm.cast("string").alias("storm_id"), F.col(time).alias("time"), "latitude", F.col(value).alias("value"))
+
+    found = part(f"{base}/track", "track", "timestamp", "max_wind", F.col("storm_id"))
+    found = found.unionByName(part(f"{base}-by-storm/track", "track by storm", "timestamp", "max_wind", F.col("storm_id")))
+    return found.unionByName(part(f"{base}/grid", "grid", "time", "msl", F.lit(None)))
+
+
+@Q.add(
+    "stats_written",
+    f"""SELECT variable, {r("avg(value) AS mean", "stddev_pop(value) AS std")} FROM (
+          SELECT 'u10' AS variable, u10 AS value FROM grid UNION ALL SELECT 'msl', msl FROM grid) GROUP BY variable""",
+)
+def _(spark, sf):
+    path = _folder(spark, "stats")
+    sinks.save_stats(gr.grid_stats_fit(fx.grid(spark, sf), ["u10", "msl"]), path)
+    return sinks.load_stats(spark, path)
+
+
+@Q.add(
+    "missing_scores",
+    "\nUNION ALL ".join(f"SELECT '{m}' AS metric, count(*) - count({m}) AS n_missing FROM all_scores" for m in mt.DEFAULT_METRICS),
+    _WITH_MODEL,
+)
+def _(spark, sf):
+    scored = ev.evaluate(fx.tracks(spark, sf), HISTORY, STEPS, models=_analog(spark, sf), model_names=["analog"])
+    return sinks.missing_scores(scored.per_storm)
+
+
 @Q.add(
     "custom_baseline",
     f"""SELECT storm_id, forecast, step, {r("lat0 + 0.25e0 * step AS latitude", "lon0 AS longitude")}, wind0 AS max_wind
