@@ -110,6 +110,18 @@ def tracks_dirty(spark, sf):
     )
 
 
+def with_nan(df, column, where):
+    """The column with NaN where a condition holds, as padded archives have it."""
+    return df.withColumn(column, F.when(where, F.lit(float("nan"))).otherwise(F.col(column)))
+
+
+def tracks_nan(spark, sf):
+    """Latitudes and winds that are NaN here and there, where the SQL twin has NULL."""
+    event = F.col("event_id")
+    rows = with_nan(with_nan(numbered_tracks(spark, sf), "latitude", event % 173 == 0), "max_wind", event % 59 == 0)
+    return rows.select(*TRACK_COLUMNS)
+
+
 def _westward(longitude):
     moved = longitude - 110
     return F.when(moved < -180, moved + 360).otherwise(moved)
@@ -288,6 +300,11 @@ def grid_gap(spark, sf):
     return grid(spark, sf).withColumn("sst", F.when(F.col("longitude") >= -75, F.col("sst")))
 
 
+def grid_nan(spark, sf):
+    """The grid with NaN sea temperatures in its two western columns."""
+    return with_nan(grid(spark, sf), "sst", F.col("longitude") < -75)
+
+
 def levels(spark, sf):
     """Long pressure-level winds."""
     winds = F.array(

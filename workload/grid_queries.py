@@ -144,6 +144,11 @@ _Z = [
 ]
 
 
+@Q.add("grid_zscore_nan", f"SELECT {AT}, {r(*_Z)} FROM grid_gap", {"fitted": _STATS})
+def _(spark, sf):
+    return gr.grid_zscore(fx.grid_nan(spark, sf))
+
+
 @Q.add("grid_zscore", f"SELECT {AT}, {r(*_Z)} FROM grid_gap", {"fitted": _STATS})
 def _(spark, sf):
     return gr.grid_zscore(fx.grid_gap(spark, sf))

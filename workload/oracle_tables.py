@@ -55,6 +55,10 @@ TABLES = {
           CASE WHEN event_id % 41 <> 0 THEN min_pressure END AS min_pressure,
           r34_ne, r34_se, r34_sw, r34_nw
         FROM base_tracks""",
+    "tracks_nan": """
+        SELECT storm_id, name, "timestamp", storm_type, CASE WHEN event_id % 173 <> 0 THEN latitude END AS latitude, longitude,
+          CASE WHEN event_id % 59 <> 0 THEN max_wind END AS max_wind, min_pressure, r34_ne, r34_se, r34_sw, r34_nw
+        FROM base_tracks""",
     "tracks_dateline": """
         SELECT storm_id, name, "timestamp", storm_type, latitude,
           CASE WHEN user_id % 10 <> 0 THEN longitude

@@ -413,6 +413,56 @@ def _(spark, sf):
     return en.ensemble_blend(_baselines(spark, sf, None), {"gfs": 0.5, "ecmwf": 0.5}, _BY, _STATE)
 
 
+_CRPS = """SELECT case_id, n_members, {score} FROM (
+          SELECT case_id, count(*) AS n_members,
+            avg(abs(member - observed)) - sum((2 * rnk - n - 1) * member) / max(n * n) AS crps
+          FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY member) AS rnk,
+                  count(*) OVER (PARTITION BY case_id) AS n FROM {members}) GROUP BY case_id)"""
+
+
+@Q.add(
+    "crps_nan",
+    _CRPS.format(score=r("crps"), members="known"),
+    {
+        "known": """
+        SELECT l_orderkey AS case_id, ln(l_extendedprice) AS member, CASE WHEN l_orderkey % 10 <> 0 THEN ln(o_totalprice) END AS observed
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 0"""
+    },
+)
+def _(spark, sf):
+    lines, orders = fx.table(spark, sf, "lineitem"), fx.table(spark, sf, "orders")
+    members = lines.withColumn("member", F.ln("l_extendedprice"))
+    members = fx.with_nan(members, "member", F.col("l_linenumber") % 3 == 0).withColumnRenamed("l_orderkey", "case_id")
+    observed = orders.withColumn("observed", F.ln("o_totalprice"))
+    observed = fx.with_nan(observed, "observed", F.col("o_orderkey") % 10 == 0).withColumnRenamed("o_orderkey", "case_id")
+    return en.crps_ensemble(members, observed, ["case_id"], "member", "observed")
+
+
+@Q.add(
+    "median_nan",
+    """SELECT o_custkey AS case_id, round(median(o_totalprice), 6) + 0e0 AS price FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey""",
+)
+def _(spark, sf):
+    orders = fx.table(spark, sf, "orders").withColumns({"case_id": F.col("o_custkey"), "price": F.col("o_totalprice").cast("double")})
+    return en.ensemble_median(fx.with_nan(orders, "price", F.col("o_orderkey") % 7 == 0), ["case_id"], ["price"])
+
+
+_NAN_SCORES = ["track_error", "intensity_mae"]
+_NAN_TRUTH = {
+    **_scored("baseline_rows"),
+    "steps": _CASES["steps"].replace("FROM tracks", "FROM tracks_nan"),
+    "complete": f"""
+        SELECT storm_id, forecast, {", ".join(f"CASE WHEN count({c}) = count(*) THEN avg({c}) END AS {m}"
+            for m, c in (("track_error", "CASE WHEN lat + true_lat IS NOT NULL THEN km END"), ("intensity_mae", "abs(wind - true_wind)")))}
+        FROM plane GROUP BY storm_id, forecast""",
+}
+
+
+@Q.add("score_nan_truth", f"SELECT storm_id, forecast, {r(*_NAN_SCORES)} FROM complete", _NAN_TRUTH)
+def _(spark, sf):
+    return ev.evaluate(fx.tracks_nan(spark, sf), HISTORY, STEPS, metrics=_NAN_SCORES).per_storm
+
+
 @Q.add(
     "crps_ensemble",
     f"""SELECT case_id, n_members, {r("crps")} FROM (

@@ -477,6 +477,21 @@ def _(spark, sf):
     return scaled.select("storm_id", "timestamp", *ft.STATE_FEATURES)
 
 
+@Q.add("scaler_fit_nan", f"SELECT n_rows, {r(*_STATS)} FROM fitted", {"fitted": _fit_sql("tracks_nan")})
+def _(spark, sf):
+    return ft.scaler_fit(fx.tracks_nan(spark, sf))
+
+
+@Q.add(
+    "track_zscore_nan",
+    f'SELECT storm_id, "timestamp", {r(*_Z)} FROM tracks_nan AS t, fitted',
+    {"fitted": _fit_sql("tracks_nan")},
+)
+def _(spark, sf):
+    scaled = ft.track_zscore(fx.tracks_nan(spark, sf))
+    return scaled.select("storm_id", "timestamp", *ft.STATE_FEATURES)
+
+
 @Q.add(
     "track_zscore_by_storm",
     f'SELECT storm_id, "timestamp", {r(*_Z)} FROM tracks_dirty AS t JOIN fitted USING (storm_id)',
