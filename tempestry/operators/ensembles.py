@@ -74,29 +74,32 @@ def crps_ensemble(
 
     Mean distance to the observation minus half the mean distance between
     members.  The second term comes from ranks, sum((2i - n - 1) x_i) / n^2, so no
-    pairs of members are formed.  Members are exchanged by case and value bin and ranked within their bin; what a
-    bin adds to the sums over its case follows from the counts of the lower bins, so members of one case meet nowhere.
-    The observation joins the bins' totals first.  A NaN observation is a missing one: the score is missing.
+    pairs of members are formed.  Members are exchanged by case and value bin, meet the observation there and are
+    ranked within their bin.  What the lower bins add to a rank is put to the sums of a bin, so members of one case meet
+    nowhere.  A NaN observation is a missing one: the score is missing.
     """
-    narrow = members.select(*case, known(F.col(value).cast("double")).alias("_tempestry_x")).filter(F.col("_tempestry_x").isNotNull())
-    # rows of no case join no observation; without them both uses of the exchange are one
-    for c in case:
-        narrow = narrow.filter(F.col(c).isNotNull())
-    truth = observations.select(*case, known(F.col(observed).cast("double")).alias("_tempestry_y"))
-    binned = ordered.spread(ordered.with_bins(narrow, case, "_tempestry_x", min_rows), case)
-    totals = ordered.bin_totals(binned, case, _tempestry_sum=F.sum("_tempestry_x")).drop("_tempestry_in").join(truth, case)
-    placed = ordered.join_totals(binned, totals, case)
-    rank = F.row_number().over(Window.partitionBy(ordered.HOME, *case, ordered.BIN).orderBy("_tempestry_x")) + F.col("_tempestry_before")
     x = F.col("_tempestry_x")
+    narrow = members.select(*case, known(F.col(value).cast("double")).alias("_tempestry_x")).filter(x.isNotNull())
+    truth = observations.select(*case, known(F.col(observed).cast("double")).alias("_tempestry_y"))
+    binned = ordered.with_bins(narrow, case, "_tempestry_x", min_rows)
+    # an observation goes to bin 0, and to each further bin of a large case
+    further = binned.where(F.col(ordered.LARGE) & (F.col(ordered.BIN) > 0)).select(*case, ordered.BIN).distinct()
+    sent = truth.withColumn(ordered.BIN, F.lit(0).cast("long")).unionByName(further.join(truth, case))
+    sent = sent.withColumn(ordered.HOME, F.xxhash64(*case, ordered.BIN))
+    placed = ordered.join_totals(ordered.spread(binned, case), sent, case)
+    rank = F.row_number().over(Window.partitionBy(ordered.HOME, *case, ordered.BIN).orderBy("_tempestry_x"))
     parts = placed.withColumn("_tempestry_rank", rank).groupBy(ordered.HOME, *case, ordered.BIN).agg(
-        F.max("_tempestry_rows").alias("_tempestry_n"),
+        F.count(F.lit(1)).alias("_tempestry_in"),
         F.sum(F.col("_tempestry_rank") * x).alias("_tempestry_ranked"),
-        F.max("_tempestry_sum").alias("_tempestry_sum"),
+        F.sum(x).alias("_tempestry_sum"),
         F.sum(F.abs(x - F.col("_tempestry_y"))).alias("_tempestry_off"),
     )
-    n = F.max("_tempestry_n")
+    earlier = Window.partitionBy(*case).orderBy(ordered.BIN).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_tempestry_in").over(earlier), F.lit(0))
+    shifted = parts.withColumn("_tempestry_ranked", F.col("_tempestry_ranked") + before * F.col("_tempestry_sum"))
+    n = F.sum("_tempestry_in")
     spread = (F.sum("_tempestry_ranked") * 2.0 - (n + 1) * F.sum("_tempestry_sum")) / (n * n)
-    return parts.groupBy(*case).agg(n.alias("n_members"), (F.sum("_tempestry_off") / n - spread).alias("crps"))
+    return shifted.groupBy(*case).agg(n.alias("n_members"), (F.sum("_tempestry_off") / n - spread).alias("crps"))
 
 
 def reliability_curve(

@@ -137,11 +137,13 @@ def patch_images(
     patch_size: float = DEFAULT_PATCH,
     variables: list[str] | None = None,
     step_hours: int | None = None,
+    coordinates: DataFrame | None = None,
 ) -> DataFrame:
     """The cells of ``patch_extract`` with their ``row`` (north first) and ``col`` (west first) in the image.
 
     Numbers count the grid's own latitudes and longitudes from the north-west corner of the box, over the dateline
     too; ``n_rows`` and ``n_cols`` are those of the whole box, also where the grid lacks cells at that time.
+    ``coordinates`` names a table of the grid's latitudes and longitudes, if there is one that is quicker to read.
     """
     at = nearest_step(F.col("timestamp"), step_hours) if step_hours else F.col("timestamp")
     half = patch_size / 2
@@ -155,7 +157,7 @@ def patch_images(
             "east": F.col("longitude") + half,
         }
     )
-    table = axes.axis_table(grid)
+    table = axes.axis_table(grid if coordinates is None else coordinates)
     placed = axes.box_places(boxes, table).drop("lat_min", "lat_max", "west", "east")
     kept = patch_boxes(placed, at, patch_size, ["_tempestry_top", "_tempestry_left", "_tempestry_turn", "n_rows", "n_cols"])
     found = box_join(kept, axes.numbered_cells(wide, table), patch_size, on_times=True)

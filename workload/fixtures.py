@@ -110,6 +110,18 @@ def tracks_dirty(spark, sf):
     )
 
 
+def grid_coordinates(spark, sf):
+    """Times and places of the grid's cells, without its fields."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    times = table(spark, sf, "embeddings").select(F.expr("vec_id div 10").alias("number")).distinct()
+    cells = times.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return cells.select(
+        add_hours(start, F.col("number") * GRID_STEP_HOURS).alias("time"),
+        (F.lit(45.0) - F.expr("pos div 8") * 5.0).alias("latitude"),
+        (F.lit(-95.0) + (F.col("pos") % 8) * 10.0).alias("longitude"),
+    )
+
+
 def with_nan(df, column, where):
     """The column with NaN where a condition holds, as padded archives have it."""
     return df.withColumn(column, F.when(where, F.lit(float("nan"))).otherwise(F.col(column)))

@@ -380,8 +380,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     made = tp.aligned_windows_patches(
-        fx.tracks(spark, sf), fx.grid(spark, sf), fx.GRID_STEP_HOURS, 2, 1, numbered=ordered.POINT
-    )
+        fx.tracks(spark, sf), fx.grid(spark, sf), fx.GRID_STEP_HOURS, 2, 1, numbered=ordered.POINT,
+        coordinates=fx.grid_coordinates(spark, sf),
+    )
     return made.select(
         "storm_id", "window_index", F.col("position").alias("place"), "row", "col",
         F.element_at("state", 1).alias("latitude"), F.element_at("state", 3).alias("max_wind"),
