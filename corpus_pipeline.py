@@ -1,6 +1,11 @@
 """Corpus preparation: quality rules, language, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Null and empty texts have no words and go in the first stage; a stage that gets some keeps or packs them as its operator's
+module says. Repeated rows and null ids are kept, but for the near-duplicate stage, where one row of each group stays: the smallest id,
+a null id after all others, and of equal ids the first row. Ties of posterior quality and of language are settled as in `quality` and
+`language_id`. An empty table gives an empty table. Extra columns are passed on, whatever their names; very long texts are read whole.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +22,14 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality is at least a half and that pass the base bounds."""
+    """Documents whose posterior quality is at least a half and that pass the base bounds; without any, no rows."""
     counted = quality.counted_documents(docs, keep=[F.struct("*").alias("row")], text_col="text")
     verdict = quality.judged(counted, quality.fit_supervision(counted))
     return counted.where(verdict["kept"]).select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised; texts without a letter go, and all where no text has a known language."""
     model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
     found = language_id.predict_language(F.col("text"), model, spark)
     marked = docs.select(F.struct("*").alias("row"), found.alias("found"))
@@ -49,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents' tokens in sequences of 1024."""
+    """The pieces of all documents' tokens in sequences of 1024; a null or empty text is its end token."""
     return packing.pack(docs, byte_bpe.default_path())
 
 
