@@ -10,7 +10,8 @@ The lexicon's size has a bound that does not depend on the number of documents:
 reached by at most (mean distinct words of a document) / s words. So it is broadcast.
 
 A text without lexicon terms is hashed by all its words. Words are runs outside ASCII white space, A to Z in
-lower case. Null texts count as empty. An empty table gives no rows.
+lower case. Null texts count as empty. An empty table gives no rows. Null ids come first, rows of equal id go by text, and
+repeated rows are rows of their own. Very long texts are read whole. Ids are numbers.
 """
 
 import hashlib

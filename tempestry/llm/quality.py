@@ -6,7 +6,8 @@ vote is right on good and on bad documents. A document is kept when its posterio
 at least a half; no single rule decides.
 
 Only the counts of different vote patterns, at most 3 to the number of rules, reach the driver, and they cover
-every document. Null texts have no words. Repeated rows each count. An empty corpus gives no rows.
+every document. Null and empty texts have no words. Repeated rows each count. An empty corpus gives no rows. Very long texts are
+counted whole. Ids are only passed on, null or repeated ones too; a posterior of exactly a half keeps the document.
 """
 
 import math

@@ -5,7 +5,8 @@ which rules occur. Only for those rules are spans then fixed: leftmost first, as
 overlap within a kind. A match whose run of value characters is too short is consumed but not reported.
 
 Null texts count as empty: no spans. Spans are in code points with an exclusive end, ordered by start and then
-by the rules' order. Null ids and repeated rows are kept as they are; one output row per input row.
+by the rules' order. Null ids and repeated rows are kept as they are; one output row per input row, none for an empty
+table. Very long texts are scanned whole, as one Arrow value.
 """
 
 from dataclasses import dataclass

@@ -13,7 +13,8 @@ components is lost. Components come from alternating large-star and small-star s
 
 Null and empty texts have fingerprint 0, which is linked like any other. Documents with a null id take part and
 get their component's smallest id, null if it has none. Repeated rows get equal results. An empty table gives no
-rows. Words are runs outside ASCII white space; A to Z are lower-cased.
+rows. Words are runs outside ASCII white space; A to Z are lower-cased. Very long texts are read whole, their shingles hashed
+a bounded number at a time. Extra columns, whatever their names, are passed on by `keep_one`.
 """
 
 from itertools import combinations

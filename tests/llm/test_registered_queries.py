@@ -214,3 +214,27 @@ def test_pipeline_run_and_its_last_stages(spark, given):
     ids_of = {i: [*plain.encode(r.text or "", add_special_tokens=False).ids, 0] for i, r in clean.items()}
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert packed_well(rows, ids_of) == set(clean)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null, empty and very long texts, repeated rows, null ids and columns that stages use themselves."""
+    prose = [r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").where("n_chars > 1500 AND n_chars < 4000").limit(8).collect()]
+    long = " ".join(f"{w}{i % 89}" if i % 3 == 0 else w for i, w in enumerate(" ".join(prose).split() * 40))
+    texts = [None, "", " \n", *prose, prose[0], long, "AKIA" + "Q" * 20 + " " + prose[1]]
+    rows = [(None if i % 4 == 0 else i % 9, t, "en", None, None if t is None else len(t), "row", "fp", 3, "x") for i, t in enumerate(texts)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, fp string, at int, found string"
+    docs = spark.createDataFrame(rows + rows[:6], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        made = stages[name](spark, docs, SF_DIR)
+        assert made.columns == docs.columns and made.where("row != 'row' OR fp != 'fp' OR at != 3 OR found != 'x'").count() == 0
+        kept = Counter((r.doc_id, r.text) for r in made.collect())
+        if name != "secret_scan":
+            assert not kept - Counter((r[0], r[1]) for r in rows + rows[:6])
+        else:
+            assert sum(kept.values()) == docs.count() and not any("AKIAQ" in (t or "") for _, t in kept)
+        empty = stages[name](spark, docs.limit(0), SF_DIR)
+        assert empty.count() == 0 and empty.columns == docs.columns
+    packed = stages["packing"](spark, docs, SF_DIR)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert stages["packing"](spark, docs.limit(0), SF_DIR).count() == 0
