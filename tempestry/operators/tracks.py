@@ -14,12 +14,20 @@ SEASON_YEARS = {
 }
 
 
+def required(rows: DataFrame, message: str) -> DataFrame:
+    """The rows; an error with this message, when the plan is run, if there are none.
+
+    Whether there is one is asked by a subquery that stops at the first.
+    """
+    one = rows.select(F.lit(1).alias("one")).limit(1).agg(F.count("one").alias("n"))
+    there = F.when(F.col("n") == 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
+    return rows.filter(one.select(there.alias("there")).scalar())
+
+
 def storm_by_id(tracks: DataFrame, storm_id: str) -> DataFrame:
-    """Fixes of one storm in time order; an unknown storm is an error."""
+    """Fixes of one storm in time order; an unknown storm is an error when the plan is run."""
     rows = tracks.filter(F.col("storm_id") == storm_id)
-    if rows.isEmpty():
-        raise ValueError(f"storm {storm_id} is not in the track table")
-    return rows.orderBy("timestamp")
+    return required(rows, f"storm {storm_id} is not in the track table").orderBy("timestamp")
 
 
 def storms_by_year(tracks: DataFrame, year: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempestry.operators.tracks import required
 from tempestry.schema import GRID_VARIABLES
 
 
@@ -49,10 +50,8 @@ def explode_storm_arrays(
 
 
 def storm_from_arrays(archive: DataFrame, storm: str, storm_id: str = "sid", **columns) -> DataFrame:
-    """Track rows of one storm; an unknown id is an error."""
-    one = archive.filter(_text(archive, storm_id) == storm)
-    if one.isEmpty():
-        raise ValueError(f"storm {storm} is not in the archive")
+    """Track rows of one storm; an unknown id is an error when the plan is run."""
+    one = required(archive.filter(_text(archive, storm_id) == storm), f"storm {storm} is not in the archive")
     return explode_storm_arrays(one, storm_id=storm_id, **columns)
 
 

@@ -100,8 +100,8 @@ def test_storm_arrays(spark):
         ("TESTSID", "TEST", datetime(2023, 1, 2), 11.0, 21.0, 40.0, 995.0),
     ]
     assert arrays.storm_from_arrays(archive, "TESTSID").count() == 2
-    with pytest.raises(ValueError):
-        arrays.storm_from_arrays(archive, "OTHER")
+    with pytest.raises(Exception, match="storm OTHER is not in the archive"):
+        arrays.storm_from_arrays(archive, "OTHER").collect()
 
 
 REQUEST = (
