@@ -137,9 +137,8 @@ def look(rows: DataFrame, searches: list[Search], dims: list[str]) -> dict[int,
 
 
 def grow(rows: DataFrame, dims: list[str], shards=None, target_bytes=None):
-    """(rows with the number `node` of their leaf, {node: shard})."""
+    """(rows with the number `node` of their leaf, {node: shard}); they come with that of the root, 1."""
     extents = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
-    rows = rows.withColumn("node", F.lit(1).cast("long"))
     todo, leaves, whole = None, {}, None
     while todo is None or todo:
         wanted = rows if todo is None else rows.join(
@@ -203,6 +202,8 @@ def kd_shards(
         *[coordinate(c, kinds[c]).alias(d) for c, d in zip(dimensions, dims)],
         id_digest(F.col(id_col)).alias("tie"),
         F.monotonically_increasing_id().alias("row"),
+        # Written with the rest: joined as a constant, it would leave a join without a key.
+        F.lit(1).cast("long").alias("node"),
     )
     rows, leaves = grow(stored(measured, "measured"), dims, shards, target_bytes)
     numbers = local_rows(docs.sparkSession, [{"leaf": n, "shard": s} for n, s in leaves.items()], "leaf:bigint,shard:int")
