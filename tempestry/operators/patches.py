@@ -266,16 +266,25 @@ def nearest_hour_align(tracks: DataFrame, grid: DataFrame, step_hours: int) -> D
 
 
 def channel_concat(
-    tiles: DataFrame, fields: DataFrame, on: list[str], keep: list[str] | None = None
+    tiles: DataFrame, fields: DataFrame, on: list[str], keep: list[str] | None = None, within: list[str] | None = None
 ) -> DataFrame:
     """Satellite channels first, field channels after, for every field cell.
 
     ``on`` matches cells with tiles; ``keep`` names the columns of the result, ``on``
-    by default.
+    by default.  Rows are brought together by ``on`` alone; whole numbers ``within`` are compared after that, for
+    where few tiles have equal ``on``.
     """
-    left = tiles.select(*on, F.col("channels").alias("_tempestry_tile"))
-    return fields.join(left, on, "left").select(
-        *(keep or on), F.concat(F.col("_tempestry_tile"), F.col("channels")).alias("channels")
+    within = within or []
+    own = [F.col(c).alias(f"_tempestry_own_{c}") for c in [*on, *within]]
+    left = tiles.select(*own, F.col("channels").alias("_tempestry_tile"))
+    matching = F.lit(True)
+    for c in on:
+        matching = matching & (F.col(c) == F.col(f"_tempestry_own_{c}"))
+    for c in within:
+        # a difference is no key to exchange rows by
+        matching = matching & (F.col(c) - F.col(f"_tempestry_own_{c}") == 0)
+    return fields.join(left, matching, "left").select(
+        *(keep or [*on, *within]), F.concat(F.col("_tempestry_tile"), F.col("channels")).alias("channels")
     )
 
 

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.functions.clock import from_micros, micros
@@ -11,6 +11,8 @@ from tempestry.sources.tiles import corner_tiles, tile_placeholders
 
 SOURCES = ("best_track", "arrays")
 FIELD_CHANNELS = ["u10", "v10", "msl", "sst"]
+#: Tile cells of a fix that each of its field cells is compared with; where there are more, they are keys of the join.
+FEW_TILES = 16
 #: Columns of tiles that are no channels.
 TILE_KEYS = ["storm_id", "time", "latitude", "longitude", "row", "col"]
 
@@ -108,7 +110,11 @@ def patch_channels(
         tiles = corner_tiles(tracks, patch_size, fixes=fixes)
     sources = [c for c in tiles.columns if c not in TILE_KEYS]
     tiles = tiles.withColumnsRenamed({"time": "timestamp", "row": "tile_row", "col": "tile_col"})
-    return patches.channel_concat(patches.as_channels(tiles, sources, quarter), fields, quarter, keep=on)
+    if tile_shape[0] * tile_shape[1] <= FEW_TILES:
+        tiles = tiles.where(F.col("tile_row").between(0, tile_shape[0] - 1) & F.col("tile_col").between(0, tile_shape[1] - 1))
+    # by fix alone, so that a later join of fixes needs no other exchange and sort of all cells
+    keys = 2 if tile_shape[0] * tile_shape[1] <= FEW_TILES else 4
+    return patches.channel_concat(patches.as_channels(tiles, sources, quarter), fields, quarter[:keys], on, quarter[keys:])
 
 
 def aligned_windows_patches(
@@ -129,24 +135,24 @@ def aligned_windows_patches(
 
     One row per (window index, storm, input position, cell).  A position whose fix
     has no cells stays as one row with NULL channels, and ``complete`` tells whether
-    every position of the window has some; it is known per position, before cells are joined.  Windows refer to
+    every position of the window has some; it is known per fix, before windows are cut.  Windows refer to
     fixes by timestamp, so channels join on (storm, timestamp) and no image is
     copied before the join.  ``coordinates`` names a table (time, latitude, longitude) of the grid's cells, if there is
     one that is quicker to read than the grid.
     """
     kept = features.shared_fixes(tracks, sequence_length, forecast_length, order, numbered)
-    stamped = kept.withColumn("_tempestry_stamp", micros(F.col(order)).cast("double"))
+    cells = grid if coordinates is None else coordinates
+    shown = patches.fixes_with_cells(cells, kept, patch_size, step_hours).withColumn("_tempestry_shown", F.lit(1.0))
+    stamped = kept.withColumn("_tempestry_stamp", micros(F.col(order)).cast("double")).join(shown, ["storm_id", "timestamp"], "left")
     windows = features.sliding_sequences(
-        stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_tempestry_stamp"], order, block_rows, ordered.NUMBER
+        stamped, sequence_length, forecast_length, [*features.STATE_FEATURES, "_tempestry_stamp", "_tempestry_shown"], order, block_rows, ordered.NUMBER
     )
-    steps = windows.select("storm_id", "window_index", F.posexplode("inputs").alias("position", "_tempestry_in"))
+    complete = F.forall("inputs", lambda fix: F.element_at(fix, -1).isNotNull())
+    steps = windows.select("storm_id", "window_index", complete.alias("complete"), F.posexplode("inputs").alias("position", "_tempestry_in"))
     steps = steps.withColumn(
         "timestamp",
-        from_micros(F.element_at("_tempestry_in", -1).cast("long")),
-    ).withColumn("state", F.slice("_tempestry_in", 1, len(features.STATE_FEATURES))).drop("_tempestry_in")
-    shown = patches.fixes_with_cells(grid if coordinates is None else coordinates, kept, patch_size, step_hours).withColumn("_tempestry_shown", F.lit(True))
-    window = Window.partitionBy("storm_id", "window_index")
-    steps = steps.join(shown, ["storm_id", "timestamp"], "left")
-    steps = steps.withColumn("complete", F.min(F.col("_tempestry_shown").isNotNull()).over(window)).drop("_tempestry_shown")
+        from_micros(F.element_at("_tempestry_in", -2).cast("long")),
+    ).withColumn("state", F.slice("_tempestry_in", 1, len(features.STATE_FEATURES)))
     images = patch_channels(tracks, grid, step_hours, patch_size, fixes=kept, tiles=tiles, tile_shape=tile_shape, coordinates=coordinates)
-    return steps.join(images, ["storm_id", "timestamp"], "left")
+    joined = steps.join(images, ["storm_id", "timestamp"], "left")
+    return joined.select("storm_id", "timestamp", "window_index", "position", "state", "complete", "row", "col", "channels")
