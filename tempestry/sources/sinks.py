@@ -1,12 +1,32 @@
 """Writers, and the guard against incomplete scores."""
 
+import itertools
+import os
+import re
+import uuid
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tempestry.functions.clock import MICROS_PER_HOUR, micros
 from tempestry.functions.geo import wrap_longitude
 
 STATS_SCHEMA = "variable string, mean double, std double"
+#: Pages of Parquet files carry checksums, compared on reading.
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+#: Name of the directory of missing values.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: Characters that names of directories write as %XX, as Spark does.
+ESCAPED = re.compile(r"""["#%'*/:=?\\\x7f{\[\]^\x00-\x1f]""")
+#: Columns that Arrow writes as Spark reads them.
+ARROW_TYPES = ("string", "double", "float", "bigint", "int", "smallint", "tinyint", "boolean", "date", "timestamp", "timestamp_ntz", "binary")
+#: Rows of a group in files of one storm.
+GROUP_ROWS = 200_000
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
@@ -29,7 +49,7 @@ def write_storm_dataset(
     By default the tables are range-partitioned by storm and time, so files cover
     few storms, a lookup skips the others by file statistics, and a very long
     storm is spread over several files.  ``per_storm`` makes one directory per
-    storm instead, which suits a handful of storms.
+    storm instead; ``read_by_storm`` reads many of them.
     """
     _write_by_storm(tracks, f"{path}/track", "timestamp", csv, per_storm)
     if grid is not None:
@@ -39,6 +59,10 @@ def write_storm_dataset(
 def _write_by_storm(df, path, time, csv, per_storm):
     order = [c for c in ("storm_id", time, "latitude", "longitude") if c in df.columns]
     laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    folder = local_folder(df.sparkSession, path)
+    if per_storm and not csv and folder and _plain(df):
+        _write_storm_folders(df, order, path, folder)
+        return
     writer = laid_out.write.mode("overwrite")
     if per_storm:
         writer = writer.partitionBy("storm_id")
@@ -48,6 +72,97 @@ def _write_by_storm(df, path, time, csv, per_storm):
         writer.parquet(path)
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder of a path in the local file system, as Hadoop understands it; None for paths in other stores."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return place.makeQualified(store.getUri(), store.getWorkingDirectory()).toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
+def _plain(df):
+    kinds = dict(df.dtypes)
+    return kinds["storm_id"] == "string" and len(kinds) > 1 and all(k in ARROW_TYPES or k.startswith("decimal") for k in kinds.values())
+
+
+def _write_storm_folders(df, order, path, folder):
+    """One directory per storm in a local folder.
+
+    Hadoop starts five processes for each small file and its directory there, to set permissions; here tasks write the files with
+    Arrow.  A file has the same name in each attempt of its task and appears whole.  ``_SUCCESS`` comes last.
+    """
+    # what was there before goes; an empty id has the directory of missing ones, as in Spark
+    begun = df.limit(0).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    begun.partitionBy("storm_id").parquet(path)
+    known = df.withColumn("storm_id", F.nullif("storm_id", F.lit("")))
+    laid_out = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid_out.mapInArrow(_storm_writer(folder, uuid.uuid4().hex), "files bigint").agg(F.sum("files")).collect()
+    os.makedirs(folder, exist_ok=True)
+    open(f"{folder}/_SUCCESS", "w").close()
+
+
+def _storm_writer(folder, run):
+    def save(storm, parts, name):
+        """Write the parts of a storm's table to its file under a hidden name."""
+        text = NO_VALUE if storm is None else ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", storm)
+        os.makedirs(at := f"{folder}/storm_id={text}", exist_ok=True)
+        hidden = f"{at}/.{name}-{uuid.uuid4().hex}"
+        first = next(parts)
+        with pq.ParquetWriter(hidden, first.schema, write_page_checksum=True) as out:
+            for part in itertools.chain([first], parts):
+                out.write_table(part, row_group_size=GROUP_ROWS)
+        os.replace(hidden, f"{at}/{name}")
+
+    def runs(batches):
+        """(storm, rows) of runs of one storm in each batch."""
+        for batch in batches:
+            rows, start = batch.drop_columns(["storm_id"]), 0
+            storms = pc.run_end_encode(batch.column("storm_id"))
+            for storm, end in zip(storms.values.to_pylist(), storms.run_ends.to_pylist()):
+                yield storm, rows.slice(start, end - start)
+                start = end
+
+    def grouped(rows):
+        """Tables of GROUP_ROWS rows or a little more, the last one excepted."""
+        held, n = [], 0
+        for part in rows:
+            held.append(part)
+            n += part.num_rows
+            if n >= GROUP_ROWS:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def write(batches):
+        name, files = f"part-{TaskContext.get().partitionId():05d}-{run}.snappy.parquet", 0
+        for storm, rows in itertools.groupby(runs(batches), key=lambda run: run[0]):
+            save(storm, grouped(part for _, part in rows), name)
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
+def read_by_storm(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The Parquet table of one directory per storm at ``path``, with ``schema``, ``storm_id`` coming last.
+
+    Ids are taken from the directories' names row by row.  Spark's own discovery takes time that grows with the square of the number
+    of directories, and reads ids such as 0042 as numbers.
+    """
+    inside = StructType([f for f in schema.fields if f.name != "storm_id"])
+    rows = spark.read.schema(inside).options(recursiveFileLookup="true", **VERIFIED).parquet(path)
+
+    def decoded(text):
+        # a plus stands for itself here
+        return F.when(text.contains("%"), F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))).otherwise(text)
+
+    folder = F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1)
+    # the path is that of a URL, and the directory's name is escaped
+    value = decoded(decoded(F.substring_index(folder, "=", -1)))
+    known = F.when(value != NO_VALUE, value).cast(schema["storm_id"].dataType)
+    return rows.select("*", known.alias("storm_id"))
+
+
 def write_grid(grid: DataFrame, path: str) -> None:
     """Wide grid in directories by year, rows in order of time and place.
 

@@ -267,13 +267,13 @@ def _(spark, sf):
     sinks.write_storm_dataset(tracks, base, grid)
     sinks.write_storm_dataset(tracks, f"{base}-by-storm", per_storm=True)
 
-    def part(path, name, time, value, storm):
-        rows = spark.read.parquet(path)
+    def part(rows, name, time, value, storm):
         return rows.select(F.lit(name).alias("part"), storm.cast("string").alias("storm_id"), F.col(time).alias("time"), "latitude", F.col(value).alias("value"))
 
-    found = part(f"{base}/track", "track", "timestamp", "max_wind", F.col("storm_id"))
-    found = found.unionByName(part(f"{base}-by-storm/track", "track by storm", "timestamp", "max_wind", F.col("storm_id")))
-    return found.unionByName(part(f"{base}/grid", "grid", "time", "msl", F.lit(None)))
+    found = part(spark.read.parquet(f"{base}/track"), "track", "timestamp", "max_wind", F.col("storm_id"))
+    by_storm = sinks.read_by_storm(spark, f"{base}-by-storm/track", tracks.schema)
+    found = found.unionByName(part(by_storm, "track by storm", "timestamp", "max_wind", F.col("storm_id")))
+    return found.unionByName(part(spark.read.parquet(f"{base}/grid"), "grid", "time", "msl", F.lit(None)))
 
 
 @Q.add(
