@@ -58,11 +58,11 @@ def write_storm_dataset(
 
 def _write_by_storm(df, path, time, csv, per_storm):
     order = [c for c in ("storm_id", time, "latitude", "longitude") if c in df.columns]
-    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    folder = local_folder(df.sparkSession, path)
-    if per_storm and not csv and folder and _plain(df):
+    folder = local_folder(df.sparkSession, path) if per_storm and not csv and _plain(df) else None
+    if folder:
         _write_storm_folders(df, order, path, folder)
         return
+    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = laid_out.write.mode("overwrite")
     if per_storm:
         writer = writer.partitionBy("storm_id")
@@ -81,7 +81,7 @@ def local_folder(spark: SparkSession, path: str) -> str | None:
 
 def _plain(df):
     kinds = dict(df.dtypes)
-    return kinds["storm_id"] == "string" and len(kinds) > 1 and all(k in ARROW_TYPES or k.startswith("decimal") for k in kinds.values())
+    return kinds.get("storm_id") == "string" and len(kinds) > 1 and all(k in ARROW_TYPES or k.startswith("decimal") for k in kinds.values())
 
 
 def _write_storm_folders(df, order, path, folder):
@@ -135,7 +135,7 @@ def _storm_writer(folder, run):
 
     def write(batches):
         name, files = f"part-{TaskContext.get().partitionId():05d}-{run}.snappy.parquet", 0
-        for storm, rows in itertools.groupby(runs(batches), key=lambda run: run[0]):
+        for storm, rows in itertools.groupby(runs(batches), key=lambda pair: pair[0]):
             save(storm, grouped(part for _, part in rows), name)
             files += 1
         yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
